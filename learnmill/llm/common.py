@@ -58,18 +58,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, train: Column | None = None) -> DataFrame:
-    """(doc_id, text, y) of about ``cap`` labelled training documents, drawn by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, train: Column | None = None, balanced: bool = False) -> DataFrame:
+    """(doc_id, text, y, rate) of about ``cap`` labelled training documents, drawn by a hash of the id.
 
-    The label rows are thinned before the join, so the broadcast side has about ``cap`` rows however
-    large the table is. Rows that repeat an id count once; null ids and null labels do not count.
+    ``rate`` is the share of the row's class that was drawn: one for all, or with ``balanced`` as
+    near to half the cap for each class as its rows allow. The label rows are thinned before the
+    join, so the broadcast side has about ``cap`` rows however large the table is. Rows that repeat
+    an id count once; null ids and null labels do not count.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.lit(True) if train is None else train))
-    rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    n = rows.count()
+    rows = rows.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    total = sum(sizes.values())
+    share = {y: min(1.0, cap / (2 * n if balanced else total)) for y, n in sizes.items()}
     parts = 1 << 20
-    rate = min(1.0, cap / max(1, n))
-    rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(parts)) < int(rate * parts) + 1)
+    rate = F.when(F.col("y") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(parts)) / parts
+    rows = rows.withColumn("rate", rate).where(draw < F.col("rate"))
     picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     return picked.dropDuplicates(["doc_id"])
 

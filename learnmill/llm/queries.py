@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression_rules, language_id, quality_nbsvm, url_filter
+from . import bpe, compression_rules, decontaminate, language_id, quality_nbsvm, sharding, simhash, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,36 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_nbsvm, op2_compression_bands, op3_url_digest_array, op4_rank_order_profiles, op5_chunked_bpe)
+    for f in (
+        op1_quality_nbsvm, op2_compression_bands, op3_url_digest_array, op4_rank_order_profiles, op5_chunked_bpe,
+        op6_decontaminate, op7_simhash_golay, op8_toxicity_neighbours, op9_sampled_splitters, op10_warc_normaliser,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op3_url_digest_array": url_filter.ORACLE_SQL,
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_warc_normaliser": warc.ORACLE_SQL,
 }
-
-ORACLES: dict[str, str] = {"op3_url_digest_array": url_filter.ORACLE_SQL}

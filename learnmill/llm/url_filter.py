@@ -200,11 +200,11 @@ def join_urls(pages: DataFrame, rules: DataFrame, keep: list[str] | None = None,
 #: The default list as DuckDB SQL.
 ORACLE_SQL = r"""
 with parts as (
-  select page_id, strpos(coalesce(url, ''), '://') as at, coalesce(url, '') as url from pages),
+  select page_id, strpos(coalesce(url, ''), '://') as pos, coalesce(url, '') as url from pages),
 cut as (
   select page_id,
-    case when at > 0 then translate(regexp_extract(substr(url, at + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
-    case when at > 0 then regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
+    case when pos > 0 then translate(regexp_extract(substr(url, pos + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+    case when pos > 0 then regexp_extract(substr(url, pos + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
   from parts),
 rules(h, p, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 hits as (
