@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,10 +28,17 @@ MAX_TERMS = 4096
 #: A term is used if its chi-square and odds ratio in the sample, and its documents there, are at least these.
 MIN_CHI2, MIN_ODDS, MIN_DOCS = 15.0, 3.0, 5
 NEIGHBOURS, BLOCK = 15, 64
+#: Letters of the beginnings that are terms beside the words themselves.
+STEMS = (5, 6, 7, 8, 9)
+
+
+def forms(word: str) -> list[str]:
+    """A word and its longer beginnings, which stand for its other endings and compounds."""
+    return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
 
 
 def distinct_terms(text: str) -> list[str]:
-    return list(set(TERM.findall(text.lower())))
+    return list({f for w in set(TERM.findall(text.lower())) for f in forms(w)})
 
 
 def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
@@ -58,18 +66,21 @@ def term_counts(docs: DataFrame, keep: list[str], terms: list[str]) -> DataFrame
 
     def make():
         known = shared.value
-        names = known.keys()
+
+        @lru_cache(1 << 17)
+        def numbers(word: str) -> tuple[int, ...]:
+            return tuple(known[f] for f in forms(word) if f in known)
 
         def run(texts: list) -> list:
             ids, counts = [], []
             for text in texts:
-                words = TERM.findall((text or "").lower())
-                if names.isdisjoint(words):
-                    found: list = []
-                else:
-                    found = sorted(Counter(known[w] for w in words if w in known).items())
-                ids.append([i for i, _ in found])
-                counts.append([n for _, n in found])
+                found: Counter = Counter()
+                for word, n in Counter(TERM.findall((text or "").lower())).items():
+                    for i in numbers(word):
+                        found[i] += n
+                rows = sorted(found.items())
+                ids.append([i for i, _ in rows])
+                counts.append([n for _, n in rows])
             return [ids, counts]
 
         return run
