@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,8 +154,6 @@ def embed(df: DataFrame, function: Callable | None = None, text: str = "content"
     batches of distinct texts, or by hashed TF-IDF."""
     whole = F.substring(F.concat_ws("\n\n", title, text) if title else F.col(text), 1, limit)
     if function is not None:
-        import pandas as pd
-
         @F.pandas_udf("array<float>")
         def vectors(t: pd.Series) -> pd.Series:
             return pd.Series(list(function(t.tolist())))
