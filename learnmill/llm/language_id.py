@@ -131,7 +131,7 @@ def train_language_profiles(docs: DataFrame, train: Column | None = None, sample
             for lang, found in by.items():
                 keys, inverse = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
                 sums = np.bincount(inverse, weights=np.concatenate([n for _, n in found]), minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(sums.astype(np.int64))], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(sums.astype(np.int64))], names=["lang", "gram", "n"])
 
     sums = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
