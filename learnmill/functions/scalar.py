@@ -30,9 +30,10 @@ def concept_id(book: Column | str, name: Column | str) -> Column:
 
 
 def safe_title(title: Column | str, size: int = 50) -> Column:
-    """A title for file names: word signs, spaces and hyphens only, blanks as one underscore, cut."""
-    kept = F.regexp_replace(col(title), r"[^\w\s-]", "")
-    return F.substring(F.regexp_replace(F.trim(kept), r"[-\s]+", "_"), 1, size)
+    """A title for file names: letters, digits, underscores, spaces and hyphens only, each stretch of
+    white space as one underscore, cut."""
+    kept = F.regexp_replace(col(title), r"(?U)[^\w\s-]", "")
+    return F.substring(F.regexp_replace(kept, r"(?U)\s+", "_"), 1, size)
 
 
 def truncate(text: Column | str, size: int, ellipsis: str = "...") -> Column:
@@ -42,12 +43,12 @@ def truncate(text: Column | str, size: int, ellipsis: str = "...") -> Column:
 
 def chapter_number(ident: Column | str) -> Column:
     """The number behind ``chapter`` in an id; 0 if there is none."""
-    found = F.regexp_extract(F.lower(col(ident)), r"chapter[-_ ]?(\d+)", 1)
+    found = F.regexp_extract(F.lower(col(ident)), r"chapter(\d+)", 1)
     return F.when(found == "", F.lit(0)).otherwise(found.cast("int"))
 
 
 #: Parts of a book id and the subject they stand for, the first that fits.
-BOOK_SUBJECTS = (("biology", "biology"), ("chemistry", "chemistry"), ("physics", "physics"), ("math", "mathematics"), ("algebra", "mathematics"), ("history", "history"))
+BOOK_SUBJECTS = (("government", "government"), ("biology", "biology"), (("math", "algebra"), "mathematics"))
 
 
 def first_match(text: Column, rules, default: Column | None = None) -> Column:

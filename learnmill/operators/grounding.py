@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmill.functions.scalar import col
@@ -113,6 +113,27 @@ def enriched_hits(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: D
     return hits.join(best.groupBy("hit.query_id", "hit.key").agg(F.array_sort(F.collect_set("name")).alias("neighbours")), ["query_id", "key"], "left")
 
 
+def graph_search(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 5) -> DataFrame:
+    """Concepts related to the first concept of each query's best chunk: query_id, node, label, score.
+
+    ``hits`` has (query_id, key, rank), ``chunks`` (chunk_id, key_concepts)."""
+    first = hits.where("rank = 1").join(chunks.select(F.col("chunk_id").alias("key"), F.get("key_concepts", F.lit(0)).alias("concept")), "key")
+    seeds = first.join(nodes.select(F.lower("label").alias("low"), F.col("node_id").alias("seed")), F.lower("concept") == F.col("low")).select("query_id", "seed")
+    rows = seeds.join(graph.related(edges, seeds, 2), "seed").join(nodes.select(F.col("node_id").alias("node"), "label"), "node")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
+    return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).select("query_id", "node", "label", "score")
+
+
+def path_search(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, best: int = 2) -> DataFrame:
+    """Learning paths between the first two concepts of each query's best chunks: query_id, key, names."""
+    two = hits.where(F.col("rank") <= best).join(chunks.select(F.col("chunk_id").alias("key"), F.get("key_concepts", F.lit(0)).alias("x"), F.get("key_concepts", F.lit(1)).alias("y")), "key")
+    ids = nodes.select(F.lower("label").alias("low"), "node_id", "label")
+    asked = two.join(ids.select(F.col("low").alias("lx"), F.col("node_id").alias("a")), F.lower("x") == F.col("lx")).join(ids.select(F.col("low").alias("ly"), F.col("node_id").alias("b")), F.lower("y") == F.col("ly")).select("query_id", "key", "a", "b")
+    legs = graph.learning_paths(edges, asked).select("a", "b", F.posexplode("path").alias("i", "node_id")).join(ids, "node_id")
+    named = legs.groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda s: s["label"]).alias("names"))
+    return asked.join(named, ["a", "b"]).select("query_id", "key", "names")
+
+
 def answer_messages(messages: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, embedder=None, signals: DataFrame | None = None, thresholds=(("fact", 0.7), ("concept", 0.5))) -> DataFrame:
     """The whole pipeline over (message_id, user_id, message[, query]): mask, mood, route, retrieve,
     graph, mode, answer, citations. Each step adds columns to one table."""
@@ -148,7 +169,5 @@ def search_concepts_of_query(queries: DataFrame, nodes: DataFrame, edges: DataFr
     best = graph.best_of_seeds(hits, top).join(nodes.select(F.col("label").alias("name"), "node_id"), "name")
     ways = graph.both_ways(edges).join(nodes.select(F.col("node_id").alias("dst"), F.col("label").alias("other")), "dst")
     rows = best.join(ways, best["node_id"] == ways["src"]).select("message_id", F.col("name").alias("concept"), "rank", "other", "edge_label")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("message_id", "concept").orderBy("other", "edge_label")
     return rows.distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each)

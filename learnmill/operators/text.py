@@ -213,9 +213,10 @@ def table_chunks(tables: DataFrame) -> DataFrame:
 
 
 def full_text(body: Column | str, sections: Column | str) -> Column:
-    """A chapter's text, then each section's title, text and subsections' texts, in order."""
-    part = lambda s: F.concat_ws("\n\n", s["title"], s["content"], F.array_join(F.transform(s["subsections"], lambda x: F.concat_ws("\n\n", x["title"], x["content"])), "\n\n"))
-    return F.concat_ws("\n\n", col(body), F.array_join(F.transform(col(sections), part), "\n\n"))
+    """A chapter's text, then the title and text of each section and its subsections, in order."""
+    piece = lambda s: F.concat(F.lit("\n\n"), s["title"], F.lit("\n"), s["content"])
+    whole = lambda s: F.concat(piece(s), F.array_join(F.transform(s["subsections"], piece), ""))
+    return F.concat(F.coalesce(col(body), F.lit("")), F.coalesce(F.array_join(F.transform(col(sections), whole), ""), F.lit("")))
 
 
 def chapter_chunks(chapters: DataFrame, sections: DataFrame, tables: DataFrame, separator: str = r"\n\n+") -> DataFrame:

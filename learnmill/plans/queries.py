@@ -780,8 +780,8 @@ def a16_content_totals(spark, d):
 # scalar functions ---------------------------------------------------------------------------------
 
 
-@query("""select doc_id, source || '_' || replace(lower(trim(left(text, 30))), chr(10), '_') as slug_raw, case when length(text) > 100 then left(text, 100) || '...' else text end as short, (regexp_extract(lower(source || '-chapter' || (doc_id % 10)), 'chapter(\\d+)', 1))::int as chapter
-  from documents""".replace("\\\\", "\\").replace("replace(lower(trim(left(text, 30))), chr(10), '_')", "replace(replace(lower(trim(left(text, 30))), chr(10), ' '), ' ', '_')"))
+@query(r"""select doc_id, source || '_' || replace(replace(lower(trim(left(text, 30))), chr(10), ' '), ' ', '_') as slug_raw, case when length(text) > 100 then left(text, 100) || '...' else text end as short,
+  (regexp_extract(lower(source || '-chapter' || (doc_id % 10)), 'chapter(\d+)', 1))::int as chapter from documents""")
 def x4_x6_x7_strings(spark, d):
     return V.table(spark, d, "documents").select("doc_id", X.concept_id("source", F.substring("text", 1, 30)).alias("slug_raw"), X.truncate("text", 100).alias("short"), X.chapter_number(F.concat("source", F.lit("-chapter"), (F.col("doc_id") % 10).cast("string"))).alias("chapter"))
 
