@@ -1,8 +1,8 @@
 """Byte-level BPE by content-defined chunks.
 
 Texts are cut where a rolling hash of the last bytes says so, so equal passages give equal chunks in
-whatever document they stand. A worker encodes each chunk once and keeps it in a bounded memory. The
-joins are then repaired: between the last place in one chunk and the first place in the next where
+whatever document they stand. A Python worker encodes each chunk once and keeps it, across tasks, in a
+bounded memory. The joins are then repaired: between the last place in one chunk and the first place in the next where
 the pieces of the tokenizer must break whatever surrounds them, the text is encoded again, over more
 chunks if need be, so that the ids are those of the whole text.
 """
@@ -14,6 +14,7 @@ import hashlib
 import json
 import re
 from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -129,6 +130,15 @@ class ChunkEncoder:
         return ids
 
 
+@lru_cache(1)
+def worker_encoder(files: tuple[str, str] | None, pattern: str | None) -> ChunkEncoder:
+    """The encoder of a Python worker: tasks that run one after the other in it share its chunks."""
+    import public_tokenizers
+
+    names = files or (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return ChunkEncoder(ByteBpe(*names, pattern or public_tokenizers.PATTERN))
+
+
 def encode_documents(docs: DataFrame, keep: list[str], with_ids: bool = False, files: tuple[str, str] | None = None, pattern: str | None = None) -> DataFrame:
     """Add n_tokens, ids_sha256 and decoded_sha256 (and ids) to each document, in one narrow pass.
 
@@ -139,11 +149,8 @@ def encode_documents(docs: DataFrame, keep: list[str], with_ids: bool = False, f
     tune(docs.sparkSession)
 
     def make():
-        import public_tokenizers
-
-        names = files or (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-        bpe = ByteBpe(*names, pattern or public_tokenizers.PATTERN)
-        encoder = ChunkEncoder(bpe)
+        encoder = worker_encoder(files, pattern)
+        bpe = encoder.bpe
         name = bpe.names.__getitem__
 
         def run(texts: list) -> list:
@@ -167,9 +174,7 @@ def decode_documents(encoded: DataFrame, keep: list[str], ids: str = "ids") -> D
     tune(encoded.sparkSession)
 
     def make():
-        import public_tokenizers
-
-        bpe = ByteBpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        bpe = worker_encoder(None, None).bpe
         return lambda rows: [[None if r is None else bpe.decode(list(r)) for r in rows]]
 
     return map_texts(encoded, keep, ids, make, "decoded string")
