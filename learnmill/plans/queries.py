@@ -183,13 +183,13 @@ def j2_skills_with_students(spark, d):
     return V.skills(spark).join(states(spark, d), "skill_id", "left").select("skill_id", "user_id")
 
 
-@query("select user_id, skill_id, last_attempt_us, rank from (select *, row_number() over (order by last_attempt_us desc, user_id, skill_id) as rank from st) where rank <= 50")
+@query("select user_id, skill_id, last_attempt_us, rank::int as rank from (select *, row_number() over (order by last_attempt_us desc, user_id, skill_id) as rank from st) where rank <= 50")
 def l2_latest_attempts(spark, d):
     top = states(spark, d).orderBy(F.desc("last_attempt_us"), "user_id", "skill_id").limit(50)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last_attempt_us"), "user_id", "skill_id"))).select("user_id", "skill_id", "last_attempt_us", "rank")
 
 
-@query("select event_id, user_id, rn from (select *, row_number() over (partition by user_id order by us desc, event_id desc) as rn from le) where rn <= 10")
+@query("select event_id, user_id, rn::int as rn from (select *, row_number() over (partition by user_id order by us desc, event_id desc) as rn from le) where rn <= 10")
 def w1_last_events(spark, d):
     return M.last_events(V.learning_events(spark, d), 10, "user_id").select("event_id", "user_id", "rn")
 
@@ -199,7 +199,7 @@ def w2_error_streaks(spark, d):
     return M.error_streaks(V.learning_events(spark, d))
 
 
-STREAK = """select event_id, seq.user_id, seq.skill_id, is_correct, r as consecutive_correct, w as consecutive_incorrect, n as total_attempts, ok as correct_attempts,
+STREAK = """select event_id, seq.user_id, seq.skill_id, is_correct, r::int as consecutive_correct, w::int as consecutive_incorrect, n as total_attempts, ok as correct_attempts,
   round((seq.us - lag(seq.us) over (partition by seq.user_id, seq.skill_id order by seq.us, event_id)) / 3.6e9, 6) as hours_since from seq join fold f on f.user_id = seq.user_id and f.skill_id = seq.skill_id and f.rn = seq.rn"""
 
 
@@ -508,7 +508,7 @@ def v5_search_strict(spark, d):
     return vectors.search_strict(V.chunks(spark, d), first_query(spark, d), threshold=0.25).select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
-MANY = f"select query_id, vec_id as key, round(s, 6) as similarity, row_number() over (partition by query_id order by s desc, vec_id) as rank from (select query_id, vec_id, {COS} as s from embeddings, qv) qualify rank <= 5"
+MANY = f"select query_id, vec_id as key, round(s, 6) as similarity, (row_number() over (partition by query_id order by s desc, vec_id))::int as rank from (select query_id, vec_id, {COS} as s from embeddings, qv) qualify rank <= 5"
 
 
 @query(MANY)
@@ -695,7 +695,7 @@ def j14_exclusion(spark, d):
     return e.select(F.col("end_node_id").alias("node_id")).distinct().join(e.select(F.col("start_node_id").alias("node_id")).distinct(), "node_id", "left_anti")
 
 
-@query("""select start_node_id, a.label as start_label, row_number() over (order by start_node_id % 6, start_node_id) as place from edges join nodes a on a.node_id = start_node_id where end_node_id = 5 and edge_label = 'PREREQUISITE'""")
+@query("""select start_node_id, a.label as start_label, (row_number() over (order by start_node_id % 6, start_node_id))::int as place from edges join nodes a on a.node_id = start_node_id where end_node_id = 5 and edge_label = 'PREREQUISITE'""")
 def l5_prerequisites_by_grade(spark, d):
     grade = F.to_json(F.struct((F.col("node_id") % 6).alias("grade_level"), G.domain().alias("domain")))
     got = G.prerequisites_by_grade(V.nodes(spark, d).withColumn("properties", grade), V.edges(spark, d), "part_5")
