@@ -329,9 +329,13 @@ def b8_mode_history(spark, d):
     return B.mode_history(rows).select("event_id", "user_id", "mode", "from_mode")
 
 
-@query()
+UPTO = "us <= 1705000000000000"
+B9 = SIGNALS.replace("from le", f"from (select * from le where {UPTO} qualify row_number() over (partition by user_id order by us desc, event_id desc) <= 20)").replace("from clicks", f"from (select * from clicks where {UPTO})")
+
+
+@query(B9)
 def b9_behavioral_status(spark, d):
-    return B.behavioral_status(V.learning_events(spark, d), V.clicks(spark, d), 1706745600000000)
+    return B.behavioral_status(V.learning_events(spark, d), V.clicks(spark, d), 1705000000000000).select("user_id", "is_frustrated", "is_struggling", "consecutive_errors", "urgency", "suggested_mode")
 
 
 @query("""select event_id, user_id, round(g, 6) as gap_seconds, case when g is null then 'abandonment' else 'long_pause' end as kind from (
@@ -702,10 +706,28 @@ def l5_prerequisites_by_grade(spark, d):
     return got.select("start_node_id", "start_label", F.row_number().over(Window.orderBy("grade_level", "start_node_id")).alias("place"))
 
 
-@query()
-def g9_concepts_from_chunks(spark, d):
-    chunks = V.chunks(spark, d).select("book_id", "chunk_id", F.col("chunk_id").alias("seq"), text.capital_terms("content").alias("key_concepts"), text.definitions("content").alias("definitions"))
-    return G.concepts_from_chunks(chunks)
+def concept_chunks(spark, d) -> DataFrame:
+    """Chunks with their first eight words as concepts, and a definition of the first in every third."""
+    words = F.slice(F.split("content", " "), 1, 8)
+    return V.chunks(spark, d).select(
+        "book_id", "chunk_id", F.col("chunk_id").alias("seq"), words.alias("key_concepts"), F.when(F.col("chunk_id") % 3 == 0, F.create_map(words[0], F.concat(F.lit("of "), F.col("chunk_id").cast("string")))).alias("definitions")
+    )
+
+
+EACH = """each_concept as (select book_id, chunk_id, pos, name, book_id || '_' || replace(lower(name), ' ', '_') as id, def, first from (
+    select book_id, chunk_id, pos, trim(replace(raw, chr(10), ' ')) as name, case when chunk_id % 3 = 0 then 'of ' || chunk_id end as def, raw = k[1] as first from (
+      select *, k[pos] as raw from (select book_id, chunk_id, string_split(content, ' ')[1:8] as k, unnest(range(1, 9)) as pos from chunks) where pos <= len(k))) where length(name) >= 3)"""
+
+
+@query("with " + EACH + " select id as concept_id, book_id, arg_min(name, (chunk_id, pos)) as name, arg_min(def, (chunk_id, pos)) filter (first and def is not null) as definition, list_sort(list(distinct chunk_id)) as chunk_ids from each_concept group by id, book_id")
+def g9_w13_concepts_from_chunks(spark, d):
+    return G.concepts_from_chunks(concept_chunks(spark, d))
+
+
+@query("with " + EACH + """ select a.id as source_id, b.id as target_id, 'RELATED_TO' as relationship_type, 0.8::double as strength, arg_min(a.chunk_id, (a.chunk_id, a.pos, b.pos)) as chunk_id
+  from each_concept a join each_concept b on a.chunk_id = b.chunk_id and a.pos < b.pos and a.id <> b.id group by a.id, b.id""")
+def g10_cooccurrences(spark, d):
+    return G.cooccurrences(concept_chunks(spark, d))
 
 
 # text ---------------------------------------------------------------------------------------------
@@ -752,7 +774,8 @@ def t5_chapter_texts(spark, d):
     return text.chapter_texts(pages).select(F.col("chapter_id").alias("source"), "text")
 
 
-@query()
+@query(r"""select doc_id, list_sort(list_distinct(list_filter(flatten(list_transform(string_split_regex(text, '[.!?]'), lambda s: (list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''))[2:])),
+  lambda w: regexp_matches(w, '^\p{Lu}') and length(w) > 3 and (ends_with(w, 's') or (upper(w) = w and lower(w) <> w) or contains(w, '_'))))) as terms from documents""")
 def t14_capital_terms(spark, d):
     return V.table(spark, d, "documents").select("doc_id", text.capital_terms("text").alias("terms"))
 
@@ -786,6 +809,19 @@ def x4_x6_x7_strings(spark, d):
     return V.table(spark, d, "documents").select("doc_id", X.concept_id("source", F.substring("text", 1, 30)).alias("slug_raw"), X.truncate("text", 100).alias("short"), X.chapter_number(F.concat("source", F.lit("-chapter"), (F.col("doc_id") % 10).cast("string"))).alias("chapter"))
 
 
+@query(r"""select doc_id, left(regexp_replace(regexp_replace(left(text, 90), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '_', 'g'), 50) as title, case when contains(book, 'government') then 'government' when contains(book, 'biology') then 'biology' when contains(book, 'math') then 'mathematics' else 'general' end as subject,
+  regexp_extract(text, '([a-z]+)', 1) as first_word, starts_with(text, 'The') as the, coalesce(nullif(lang, 'en'), 'none') as lang_or_none, case when doc_id % 2 = 0 then 'x' || doc_id end as looked_up
+  from (select *, case doc_id % 4 when 0 then 'american-government-3e' when 1 then 'biology-2e' when 2 then 'mathematics-1e' else 'art' end as book from documents)""")
+def x1_x3_x5_x8_x18_x20_strings(spark, d):
+    i = F.col("doc_id")
+    book = F.when(i % 4 == 0, "american-government-3e").when(i % 4 == 1, "Biology-2e").when(i % 4 == 2, "mathematics-1e").otherwise("art")
+    terms = F.map_from_entries(F.array(F.struct(F.lit(0).alias("k"), F.concat(F.lit("x"), i.cast("string")).alias("v"))))
+    return V.table(spark, d, "documents").select(
+        "doc_id", X.safe_title(F.substring("text", 1, 90)).alias("title"), X.book_subject(book).alias("subject"), F.regexp_extract("text", "([a-z]+)", 1).alias("first_word"), F.startswith("text", F.lit("The")).alias("the"),
+        F.coalesce(F.when(F.col("lang") != "en", F.col("lang")), F.lit("none")).alias("lang_or_none"), F.element_at(terms, (i % 2).cast("int")).alias("looked_up"),
+    )
+
+
 @query("select event_id, greatest(50.0, least(200.0, value))::double as clamped, regexp_extract(props, '([0-9]+)', 1) as k, lower(trim(event_type)) = 'click' as same from events")
 def x12_x13_x14_values(spark, d):
     return V.table(spark, d, "events").select("event_id", X.clamp(F.col("value"), 50.0, 200.0).alias("clamped"), F.get_json_object("props", "$.k").alias("k"), X.same_answer("event_type", F.lit(" Click ")).alias("same"))
