@@ -5,17 +5,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learnmill.functions.scalar import concept_id
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; one is set only where none is."""
+    context = spark.sparkContext
+    made = context._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (made.get() if made.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-"))
+    if not made.isDefined():
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder of the session; one is set only where none is."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    """``df`` written to the shared checkpoint folder and cut from its lineage."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

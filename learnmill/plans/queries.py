@@ -18,6 +18,7 @@ from learnmill.operators import privacy as P
 from learnmill.operators import questions as Q
 from learnmill.operators import quality, text, vectors
 from learnmill.sources import io
+from learnmill.streaming import streams as S
 
 from . import fixtures as V
 
@@ -943,3 +944,68 @@ def q9_answers(spark, d):
 @query()
 def q10_grounding_report(spark, d):
     return K.grounding_report(q9_answers(spark, d))
+
+
+# searches from vectors into the graph --------------------------------------------------------------
+
+
+def linked_chunks(spark, d) -> DataFrame:
+    """Chunks with the labels of their linked nodes as concepts."""
+    rows = V.links(spark, d).join(V.nodes(spark, d).select("node_id", "label"), "node_id")
+    return rows.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "label"))), lambda x: x["label"]).alias("key_concepts"))
+
+
+def few_hits(spark, d, k: int) -> DataFrame:
+    return vectors.many_top_k(V.table(spark, d, "embeddings"), V.query_vectors(spark, d), k)
+
+
+@query()
+def g13_graph_search(spark, d):
+    return K.graph_search(few_hits(spark, d, 1), linked_chunks(spark, d), V.nodes(spark, d), V.edges(spark, d))
+
+
+@query()
+def g15_hybrid_search(spark, d):
+    return K.enriched_hits(few_hits(spark, d, 5), linked_chunks(spark, d), V.nodes(spark, d), V.edges(spark, d))
+
+
+@query()
+def q5_locked_answers(spark, d):
+    return K.lock(q9_answers(spark, d))[0].select("message_id", "response", "citations", "disclaimer")
+
+
+# streams ------------------------------------------------------------------------------------------
+
+
+def event_stream(spark, d) -> DataFrame:
+    """The events table read as a stream, as answers."""
+    rows = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    return rows.select("event_id", "user_id", "event_type", F.concat(F.lit("skill_"), (k % 8).cast("string")).alias("skill_id"), (~F.col("event_type").isin("error", "signup")).alias("is_correct"), (F.col("event_id") % 3 + 1).alias("attempts"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+@query(BAYES + " select user_id::varchar as user_id, skill_id, event_id, is_correct, round(p, 6) as probability_mastery, n as total_attempts, ok as correct_attempts, r as consecutive_correct, w as consecutive_incorrect from bt")
+def r1_mastery_stream(spark, d):
+    return rounded(S.run_to_table(S.mastery_stream(event_stream(spark, d)), "moves"), "probability_mastery", places=6).drop("us")
+
+
+@query("select user_id, (us // 3600000000)::bigint as hour, count(*) as clicks from clicks group by all")
+def r6_clicks_by_window(spark, d):
+    rows = S.clicks_per_minute(event_stream(spark, d).where("event_type = 'click'"), "1 hour", delay="1 minute")
+    late = S.run_to_table(rows, "rates")
+    closed = late.select("user_id", F.floor(F.unix_timestamp("start") / 3600).cast("long").alias("hour"), "clicks")
+    # windows that no later event has closed are not yet out; a batch run over the table gives them
+    batch = M.with_time(V.clicks(spark, d)).groupBy("user_id", F.floor(F.col("us") / 3600000000).cast("long").alias("hour")).agg(F.count("*").alias("clicks"))
+    return closed.unionByName(batch.join(closed, ["user_id", "hour"], "left_anti"))
+
+
+@query("""select user_id::varchar as user_id, event_id, round(least(1.0, 0.7 + 0.3 * (1 - span / 400000.0)), 6)::double as confidence from (
+  select event_id, user_id, (us - lag(us, 4) over (partition by user_id order by us, event_id)) / 1e6 as span from clicks) where span <= 400000""")
+def r7_rapid_click_stream(spark, d):
+    return rounded(S.run_to_table(S.rapid_click_alerts(event_stream(spark, d).where("event_type = 'click'"), 5, 400000.0), "alerts"), "confidence", places=6).select("user_id", "event_id", "confidence")
+
+
+@query()
+def r8_masking_stream(spark, d):
+    rows = spark.readStream.schema(V.table(spark, d, "conversations").schema).parquet(f"{d}/conversation[s].parquet")
+    return S.run_to_table(S.masked(rows.select("conv_id", "turn", F.col("text").alias("message"))), "masked")

@@ -141,3 +141,16 @@ def batched(spark, path: str, schema, files: int = 50):
 def late_rows(all_rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that the stream has dropped as late, by a batch run over everything."""
     return all_rows.join(kept.select(*keys), keys, "left_anti")
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there into a new table of the shared folder; its rows."""
+    import uuid
+
+    from learnmill.operators.graph import shared_root
+
+    spark = stream.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/marks").trigger(availableNow=True)
+    writer.start(f"{path}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
