@@ -8,6 +8,8 @@ each record among all bytes follows from its place in its range, and with it its
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,22 +82,15 @@ def splitters(rows: DataFrame, total: int, ranges: int = RANGES) -> tuple[list[t
             break
         more = drawn(rows.where(number.isin(list(full))), ranges * PER_RANGE / total, again + 1)
         by: dict[int, list] = {}
-        edges = [*bounds, None]
-        for key, ident, w in more:
-            by.setdefault(_place(bounds, (key, ident)), []).append((key, ident, w))
-        new = {b for k, part in by.items() for b in quantiles(part, -(-full[k] * ranges // total))} if edges else set()
+        for row in more:
+            by.setdefault(bisect_right(bounds, row[:2]), []).append(row)
+        new = {b for k, part in by.items() for b in quantiles(part, -(-full[k] * ranges // total))}
         if new <= set(bounds):
             break
         bounds = sorted({*bounds, *new})
     return bounds, totals
 
 
-def _place(bounds: list[tuple[int, int]], key: tuple[int, int]) -> int:
-    from bisect import bisect_right
-
-    return bisect_right(bounds, key)
-
-
 def assign_shards(docs: DataFrame, shards: int = 16, ranges: int = RANGES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
 
@@ -134,8 +129,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, ranges: int = RAN
     """Write the whole documents under ``path`` in folders shard=N and return the splitters.
 
     The splitters are the quantiles of the exact range totals, so shards are equal to about one part
-    in ``ranges``; rows equal in id and text stay together. Rows are spread over tasks within a shard.
+    in ``ranges``; rows equal in id and text stay together. A task of the scan writes its part of every
+    shard; no text is shuffled. Columns named key, id or shard are refused.
     """
+    taken = {"key", "id", "shard"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are taken")
     rows = checkpointed(records(docs))
     total = rows.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 1
     bounds, totals = splitters(rows, total, ranges)
@@ -145,8 +144,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, ranges: int = RAN
         if done * shards >= (len(cuts) + 1) * total and len(cuts) < shards - 1:
             cuts.append(bound)
     keyed = docs.withColumns({"key": F.xxhash64(F.coalesce("text", F.lit(""))), "id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
-    out = keyed.withColumn("shard", range_of(cuts)).drop("key", "id") if not {"key", "id", "shard"} & set(docs.columns) else None
-    if out is None:
-        raise ValueError("the columns key, id and shard are taken")
-    out.write.partitionBy("shard").parquet(path)
+    keyed.withColumn("shard", range_of(cuts)).drop("key", "id").write.partitionBy("shard").parquet(path)
     return cuts
