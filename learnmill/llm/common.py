@@ -94,6 +94,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Keys to drop or keep (an id and a hash a row) are broadcast up to so many rows.
+BROADCAST_KEYS = 500_000
+
+
+def sized_side(keys: DataFrame) -> DataFrame:
+    """``keys`` written and counted: marked for broadcast if few, else left to a shuffled join."""
+    keys = checkpointed(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and cut from its lineage."""
     context = df.sparkSession.sparkContext

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower
+from .common import LOWER, UPPER, ascii_lower, sized_side
 
 N = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     """Remove contaminated documents, or (``mode="span"``) the hit words with what stands before each.
 
     Documents without hits come back as they are, with all their columns. Rows are matched by id and
-    text; Spark picks the join by the size of the hits.
+    text; the keys of few hit documents are broadcast, else Spark shuffles.
     """
     if mode not in ("document", "span"):
         raise ValueError(mode)
@@ -117,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
     own = F.xxhash64("text")
     same = (own == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     if mode == "document":
-        return docs.join(hits.drop("__hits"), same, "left_anti")
+        return docs.join(sized_side(hits.drop("__hits")), same, "left_anti")
     joined = docs.join(hits, same, "left")
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     kept = F.filter(pieces, lambda _, i: ~F.exists("__hits", lambda h: (i >= h["i"]) & (i < h["i"] + h["k"])))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, map_texts, tune
+from .common import checkpointed, map_texts, sized_side, tune
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -247,13 +247,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component: of those with the least doc_id, the one with the least hash
-    of its text; equal rows count once. Texts are shuffled once, by id and hash."""
+    of its text; equal rows count once.
+
+    Ids and hashes decide which rows go. Texts are shuffled only where the keys to drop are too many
+    to broadcast, and for rows that repeat both id and text.
+    """
     tune(docs.sparkSession)
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
     rows = checkpointed(fingerprints(hashed, ["doc_id", "__hash"]))
     named = rows.join(components(rows.select("doc_id", "fp")), "fp")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")).alias("s"))
-    kept = checkpointed(first.select(F.col("s.doc_id").alias("__id"), F.col("s.__hash").alias("__kept")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept"))
-    left = hashed.join(kept, same, "left_semi")
-    return left.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    each = checkpointed(named.groupBy("component_id", "doc_id", "__hash").agg(F.count("*").alias("n")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")
+    first = checkpointed(each.groupBy("component_id").agg(F.min(key).alias("first")))
+    judged = each.join(first, F.col("first.__hash").eqNullSafe(F.col("__hash")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    marked = judged.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__key"), F.col("first").isNull().alias("other"), "n")
+    same = (F.col("__hash") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = hashed.join(sized_side(marked.where("other or n > 1").select("__id", "__key")), same, "left_anti")
+    again = checkpointed(marked.where("not other and n > 1").select("__id", "__key"))
+    if not again.isEmpty():
+        kept = kept.unionByName(hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    return kept.drop("__hash")
