@@ -28,6 +28,8 @@ MAX_TERMS = 4096
 #: A term is used if its chi-square and odds ratio in the sample, and its documents there, are at least these.
 MIN_CHI2, MIN_ODDS, MIN_DOCS = 15.0, 3.0, 5
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks opened one by one, in order of their bounds, before the rest is opened at once.
+FEW = 4
 #: Letters of the beginnings that are terms beside the words themselves.
 STEMS = (5, 6, 7, 8, 9)
 
@@ -108,6 +110,7 @@ class Index:
     idf: np.ndarray
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    starts: list[list[int]] = field(default_factory=list)  # of each term's blocks in its postings
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.full(1, 0.5))
     blank: float = 0.5
 
@@ -125,6 +128,8 @@ class Index:
                 lists[term].append((e, w))
                 self.maxima[term, e // BLOCK] = max(self.maxima[term, e // BLOCK], w)
         self.postings = [(np.array([e for e, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
+        edges = np.arange(blocks + 1) * BLOCK
+        self.starts = [np.searchsorted(rows, edges).tolist() for rows, _ in self.postings]
 
     def nearest(self, t: list[int], n: list[int], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest positive cosine, ties by example; exact. A block is opened only
@@ -132,18 +137,34 @@ class Index:
         terms, weights = self.vector(t, n)
         bounds = weights @ self.maxima[terms]
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] * (1 + 1e-9) < best[-1][0]):
-                break
-            score = np.zeros(BLOCK)
-            for term, w in zip(terms, weights, strict=True):
-                rows, values = self.postings[term]
-                lo, hi = np.searchsorted(rows, (block * BLOCK, (block + 1) * BLOCK))
-                score[rows[lo:hi] - block * BLOCK] += w * values[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            best += [(float(score[i]), int(block * BLOCK + i)) for i in hit if block * BLOCK + i != without]
+        lists = [(*self.postings[i], self.starts[i], w) for i, w in zip(terms.tolist(), weights.tolist(), strict=True)]
+
+        def take(score: np.ndarray, first: int) -> None:
+            hit = np.flatnonzero((score > 0) & (score >= (best[-1][0] if len(best) == k else 0.0)))
+            if len(hit) > k + 1:  # ties of the last place stay
+                hit = hit[score[hit] >= np.partition(score[hit], -k - 1)[-k - 1]]
+            best.extend((x, first + i) for i, x in zip(hit.tolist(), score[hit].tolist(), strict=True) if first + i != without)
             best.sort(key=lambda x: (-x[0], x[1]))
             del best[k:]
+
+        order = np.argsort(-bounds, kind="stable").tolist()
+        for block in order[:FEW]:
+            if bounds[block] <= 0 or (len(best) == k and bounds[block] * (1 + 1e-9) < best[-1][0]):
+                return best
+            score, first = np.zeros(BLOCK), block * BLOCK
+            for rows, values, starts, w in lists:
+                lo, hi = starts[block], starts[block + 1]
+                if lo < hi:
+                    score[rows[lo:hi] - first] += w * values[lo:hi]
+            take(score, first)
+        # the blocks that may still reach a place are opened together
+        open_blocks = bounds * (1 + 1e-9) >= (best[-1][0] if len(best) == k else 0.0)
+        open_blocks[order[:FEW]] = False
+        if open_blocks.any():
+            score = np.zeros(len(bounds) * BLOCK)
+            for rows, values, _, w in lists:
+                score[rows] += w * values
+            take(np.where(np.repeat(open_blocks, BLOCK), score, 0.0), 0)
         return best
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -208,10 +229,14 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, terms: list[str], keep: l
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
-        score = shared.value.score
+        index = shared.value
+
+        @lru_cache(1 << 15)
+        def score(t: tuple, n: tuple) -> tuple[float, list[int]]:
+            return index.score(list(t), list(n))
 
         def run(rows: list) -> list:
-            found = [score(r["t"], r["n"]) for r in rows]
+            found = [score(tuple(r["t"]), tuple(r["n"])) for r in rows]
             return [[s for s, _ in found], [int(s >= threshold) for s, _ in found], [e for _, e in found]]
 
         return run
