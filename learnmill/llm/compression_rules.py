@@ -1,6 +1,7 @@
 """Quality rules by compression bands.
 
-A text is compressed with zstandard as a whole and in fixed chunks. Prose falls into a narrow band of
+A text is compressed with zstandard as a whole and in fixed chunks; the last chunk ends at the end of
+the text, so each byte of a text longer than a chunk is in a tested one. Prose falls into a narrow band of
 ratios that depends on the length; repetition lies above it, random or encoded data below it.
 """
 
@@ -75,7 +76,7 @@ def verdict(data: bytes, compress, bands=BANDS, chunk_band=CHUNK_BAND, max_bad=M
     band = [b for b in bands if b.min_bytes <= len(data)][-1]
     ratio = len(data) / len(compress(data)) if data else 0.0
     size = chunk_band.min_bytes
-    chunks = [data[i : i + size] for i in range(0, len(data) - size + 1, size)] if len(data) > size else []
+    chunks = [data[i : i + size] for i in (*range(0, len(data) - size, size), len(data) - size)] if len(data) > size else []
     out = sum(not chunk_band.low <= size / len(compress(c)) <= chunk_band.high for c in chunks)
     bad = out / len(chunks) if chunks else 0.0
     reason = None

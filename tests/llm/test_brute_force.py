@@ -117,6 +117,26 @@ def test_compression_verdicts():
     assert compression_rules.verdict(b"", compress) == (0.0, 0.0, None)
 
 
+def test_compression_chunks_reach_the_end(spark, sf_dir):
+    """Prose with junk behind the last full chunk: its second half is tested too."""
+    import base64
+    import random
+
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=3).compress
+    rnd = random.Random(1)
+    docs = texts(spark, sf_dir)
+    prose = next(p for _, t in sorted(docs.items()) if len(p := t.encode()[:4100]) == 4100 and not compression_rules.verdict(p, compress)[2])
+    junk = b" ".join(base64.b64encode(rnd.randbytes(9)) for _ in range(400))[:4030]
+    ratio, bad, reason = compression_rules.verdict(prose + junk, compress)
+    assert (bad, reason) == (0.5, "chunks")
+    assert compression_rules.verdict(prose * 2, lambda c: bytes(len(c) // 2)) == (2.0, 0.0, None)
+    seen = []
+    compression_rules.verdict(prose + junk, lambda c: seen.append(c) or compress(c))
+    assert seen[1:] == [(prose + junk)[:4096], (prose + junk)[-4096:]]
+
+
 def test_chunk_joins_agree_with_the_whole_text():
     import random
 
