@@ -6,6 +6,10 @@ The [23, 12, 7] Golay code is perfect: each 23-bit word lies within three bits o
 segments with at most two differing bits have a word in the middle, at most one bit from each; so
 decoding a segment and all its one-bit neighbours gives each segment one to seven codeword indices,
 at least one of which both share. A key is a full segment with one codeword index of the next.
+
+Two bits are much narrower than a shingle similarity of 0.8, whose fingerprints differ by some ten
+bits, beyond what Golay keys of 64 bits can hold. So ``drop_near_duplicates`` finds its candidates by
+bands of least hashes instead, and checks each by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 DENSE = 128
 #: Fixed value: the generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
 GENERATOR = 0b110001110101
+#: Near copies that ``drop_near_duplicates`` removes: words of a shingle, keys a text, least hashes a key.
+COPY_SHINGLE, BANDS, BAND_ROWS = 5, 30, 5
 
 
 def fingerprint(text: str | None) -> int:
@@ -245,17 +251,116 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", shown, "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of a text's distinct five-word shingles, sorted; of all its words if they are fewer."""
+    words = WORD.findall((text or "").encode("utf-8", "replace").lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - COPY_SHINGLE + 1)
+    spans = map(b" ".join, zip(*(words[i:] for i in range(COPY_SHINGLE)), strict=False)) if len(words) >= COPY_SHINGLE else iter([b" ".join(words)])
+    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in spans), np.uint64, n))
+
+
+def sketch(shingles: np.ndarray, factors: np.ndarray) -> tuple[int, list[int]]:
+    """A hash of the whole set and the keys of its bands; sets without shingles have no keys."""
+    whole = _signed(xxh64_intdigest(shingles.tobytes(), SEED))
+    if not len(shingles):
+        return whole, []
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 2048):
+        np.minimum(least, np.multiply.outer(shingles[i : i + 2048], factors).min(axis=0), out=least)
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return whole, [_signed(xxh64_intdigest(b.tobytes(), i)) for i, b in enumerate(bands)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Add ``s``, the hash of the shingle set, and ``bands`` to each document, in one narrow pass."""
+    tune(docs.sparkSession)
+
+    def make():
+        factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+        return lambda texts: list(zip(*(sketch(shingle_set(t), factors) for t in texts), strict=True)) if texts else [[], []]
+
+    return map_texts(docs, keep, "text", make, "s long, bands array<long>")
+
+
+def _follow_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, s) sorted by both: (key, s, first of the run, the one before) of each but the
+    first of a run. Only the last row and the first of its run are held from batch to batch."""
+    held = np.zeros((0, 3), np.int64)
+    for batch in batches:
+        keys, sets = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(keys):
+            continue
+        keys, sets = np.concatenate([held[:, 0], keys]), np.concatenate([held[:, 1], sets])
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        starts = np.flatnonzero(new)
+        firsts = sets[starts]
+        if len(held):
+            firsts[0] = held[0, 2]
+        first = firsts[np.cumsum(new) - 1]
+        rest = np.flatnonzero(~new)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[rest], sets[rest], first[rest], sets[rest - 1])], names=["key", "s", "first", "prior"])
+        held = np.array([[keys[-1], sets[-1], first[-1]]], np.int64)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least 4/5, counted exactly."""
+    x, y = sets.select(F.col("s").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("s").alias("b"), F.col("shingles").alias("y"))
+    both = F.size("x") + F.size("y")
+    near = (5 * F.least(F.size("x"), F.size("y")) >= 4 * F.greatest(F.size("x"), F.size("y"))) & (9 * F.size(F.array_intersect("x", "y")) >= 4 * both)
+    return checkpointed(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
+
+
+def copy_links(hashed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) links between shingle sets of ``rows`` (doc_id, __hash, s, bands), whose closure is that of
+    all pairs that share a band and have a Jaccard similarity of at least 4/5.
+
+    First each set is compared with the first and the one before it of each of its keys. What this links
+    need not be compared again; then all pairs of a key that are still apart are. So a key full of copies
+    takes a number of pairs in proportion to its members, and no pair is left out.
+    """
+    distinct = rows.where(F.size("bands") > 0).select("s", "bands").dropDuplicates(["s"])
+    keyed = distinct.select(F.explode("bands").alias("key"), "s")
+    runs = checkpointed(keyed.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_follow_runs, "key long, s long, first long, prior long"))
+    members = checkpointed(runs.select("key", "s").unionByName(runs.select("key", F.col("first").alias("s")).distinct()))
+    home = rows.join(members.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "__hash")).alias("at"))
+    home = sized_side(home.select("s", F.col("at.doc_id").alias("__id"), F.col("at.__hash").alias("__key")))
+    met = hashed.join(home, (F.col("__hash") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    full = map_texts(met, ["s"], "text", lambda: lambda texts: [[shingle_set(t).view(np.int64) for t in texts]], "shingles array<long>")
+    sets = checkpointed(full.dropDuplicates(["s"]))
+
+    tried = checkpointed(runs.select(F.col("first").alias("a"), F.col("s").alias("b")).unionByName(runs.select(F.col("prior").alias("a"), F.col("s").alias("b"))).distinct())
+    linked = _alike(tried, sets)
+    roots = checkpointed(connected(linked))
+    named = members.join(roots.withColumnRenamed("node", "s"), "s", "left").select("key", "s", F.coalesce("root", "s").alias("root"))
+    mixed = checkpointed(named).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = checkpointed(named.join(mixed, "key", "left_semi"))
+    left, right = apart.select("key", F.col("s").alias("a"), F.col("root").alias("of_a")), apart.select("key", F.col("s").alias("b"), F.col("root").alias("of_b"))
+    others = left.join(right, "key").where("a < b and of_a <> of_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    return linked.unionByName(_alike(checkpointed(others), sets))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component: of those with the least doc_id, the one with the least hash
-    of its text; equal rows count once.
+    """One document of each component of near copies: of those with the least doc_id, the one with the
+    least hash of its text; equal rows count once.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+    Candidates share one of BANDS keys of BAND_ROWS least hashes each: a pair at just 0.8 shares none
+    once in 150,000 times. Every candidate link is checked exactly. Texts without words are alike.
 
     Ids and hashes decide which rows go. Texts are shuffled only where the keys to drop are too many
     to broadcast, and for rows that repeat both id and text.
     """
     tune(docs.sparkSession)
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = checkpointed(fingerprints(hashed, ["doc_id", "__hash"]))
-    named = rows.join(components(rows.select("doc_id", "fp")), "fp")
+    rows = checkpointed(sketches(hashed, ["doc_id", "__hash"]))
+    roots = checkpointed(connected(copy_links(hashed, rows)))
+    named = rows.join(roots, rows["s"] == roots["node"], "left").select("doc_id", "__hash", F.coalesce("root", "s").alias("component_id"))
     each = checkpointed(named.groupBy("component_id", "doc_id", "__hash").agg(F.count("*").alias("n")))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")
     first = checkpointed(each.groupBy("component_id").agg(F.min(key).alias("first")))

@@ -63,3 +63,67 @@ def test_stages(spark, sf_dir):
         path = f"{spark.conf.get('spark.checkpoint.dir')}/stage-{name}-{xxhash.xxh64_hexdigest(name)}"
         out.write.mode("overwrite").parquet(path)
         docs, before = spark.read.parquet(path), rows
+
+
+def brute_survivors(rows):
+    """Least ids of the components of texts whose five-word shingle sets have Jaccard >= 0.8: all pairs
+    that share a shingle are counted."""
+    sets, holders = {}, {}
+    for i, text in rows.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset([()])
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i in sorted(rows):
+        common = {}
+        for x in sets[i]:
+            for j in holders[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if 9 * n >= 4 * (len(sets[i]) + len(sets[j])):
+                pairs += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in rows if find(i) == i}, pairs
+
+
+def test_near_copies_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want, pairs = brute_survivors({r["doc_id"]: r["text"] for r in docs.collect()})
+    got = [r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and pairs
+
+
+def test_crowded_keys_of_near_copies(spark):
+    """One base with copies of 0 to 14 changed words of 400, so that some pairs lie beside 0.8."""
+    rng = np.random.default_rng(4)
+    rows = {}
+    for base in range(2):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        for n in range(300):
+            mine = list(words)
+            for at in rng.integers(0, 400, n % 15):
+                mine[at] = f"x{rng.integers(0, 10**9)}"
+            rows[len(rows) * 7 % 601] = " ".join(mine)
+    want, pairs = brute_survivors(rows)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == want and pairs > 1000
+
+
+def test_a_changed_word_is_a_near_copy(spark):
+    """One changed word of 80 leaves 71 of 81 shingles; two apart ones leave 66 of 86, below 0.8."""
+    words = [f"w{i}" for i in range(80)]
+    one, two = list(words), list(words)
+    one[40], two[20], two[60] = "other", "new", "newer"
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, one, two))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 2}
