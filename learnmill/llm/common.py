@@ -15,10 +15,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Rows and bytes of an Arrow batch, so that long texts do not pile up in a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows and bytes, so that long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound Arrow batches where the session has no sizes of its own; what a user has set stays."""
+    given = spark.conf.getAll
+    for name, value in BATCH.items():
+        if name not in given:
+            spark.conf.set(name, value)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def map_texts(
@@ -31,22 +45,24 @@ def map_texts(
     """Keep columns ``keep`` and add the columns of DDL ``added``, computed from column ``text``.
 
     ``make()`` runs once a task and returns a function from a list of texts (None for null) to one
-    list for each added column. Narrow: no shuffle, and one Arrow batch in memory at a time.
+    list for each added column. Narrow: no shuffle, and one Arrow batch in memory at a time. A kept
+    column with the name of an added one gives way to it.
     """
-    fields = StructType([df.schema[c] for c in keep])
     extra = _parse_datatype_string(added)
-    out = StructType(fields.fields + extra.fields)
+    new = {f.name.lower() for f in extra.fields}
+    keep = [c for c in keep if c.lower() not in new]
+    out = StructType([df.schema[c] for c in keep] + extra.fields)
     kinds = [f.type for f in to_arrow_schema(extra)]
     names = [f.name for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            new = f(b.column(len(keep)).to_pylist())
-            arrays = [pa.array(v, type=k) for v, k in zip(new, kinds, strict=True)]
+            added = f(b.column(len(keep)).to_pylist())
+            arrays = [pa.array(v, type=k) for v, k in zip(added, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + arrays, names=names)
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)
+    return df.select(*keep, F.col(text).alias(fresh(df, "__text"))).mapInArrow(run, out)
 
 
 def fold(doc_id: Column, mod: int) -> Column:
@@ -64,7 +80,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, tr
     ``rate`` is the share of the row's class that was drawn: one for all, or with ``balanced`` as
     near to half the cap for each class as its rows allow. The label rows are thinned before the
     join, so the broadcast side has about ``cap`` rows however large the table is. Rows that repeat
-    an id count once; null ids and null labels do not count.
+    an id count once, with the least of their texts and the greatest of their labels; null ids and null
+    labels do not count.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.lit(True) if train is None else train))
     rows = rows.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
@@ -76,17 +93,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, tr
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(parts)) / parts
     rows = rows.withColumn("rate", rate).where(draw < F.col("rate"))
     picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    return picked.dropDuplicates(["doc_id"])
+    return picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"), F.max("rate").alias("rate"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared checkpoint folder; one is set only where none is set."""
+    """A new folder name under the shared checkpoint folder. Where none is set, a local session makes one
+    of its own; on a cluster that is an error, since executors and driver share no other folder."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         made = context._jsc.sc().getCheckpointDir()
         root = made.get() if made.isDefined() else None
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-")

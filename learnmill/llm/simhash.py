@@ -9,7 +9,8 @@ at least one of which both share. A key is a full segment with one codeword inde
 
 Two bits are much narrower than a shingle similarity of 0.8, whose fingerprints differ by some ten
 bits, beyond what Golay keys of 64 bits can hold. So ``drop_near_duplicates`` finds its candidates by
-bands of least hashes instead, and checks each by the shingles themselves.
+bands of least hashes instead, turns away what outlines of the shingle sets rule out, and checks the rest
+by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, map_texts, sized_side, tune
+from .common import checkpointed, fresh, map_texts, sized_side, tune
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -36,6 +37,8 @@ DENSE = 128
 GENERATOR = 0b110001110101
 #: Near copies that ``drop_near_duplicates`` removes: words of a shingle, keys a text, least hashes a key.
 COPY_SHINGLE, BANDS, BAND_ROWS = 5, 30, 5
+#: Bits of the outline of a shingle set, which turns pairs away before their shingles are compared.
+OUTLINE_BITS = 1024
 
 
 def fingerprint(text: str | None) -> int:
@@ -205,15 +208,15 @@ def links(prints: DataFrame) -> DataFrame:
     return found.where("not dense").select("a", "b").unionByName(stars).distinct()
 
 
-def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the least node of its component.
 
-    Large-star and small-star rounds until nothing changes. The least-neighbour tables are written
+    Large-star and small-star rounds until nothing changes, however many that takes. The least-neighbour tables are written
     before each join, so that Spark can split the rows of a hub among tasks.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
             break
@@ -308,41 +311,69 @@ def _follow_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.array([[keys[-1], sets[-1], first[-1]]], np.int64)
 
 
+def outline(shingles: np.ndarray) -> np.ndarray:
+    """OUTLINE_BITS bits, each the parity of the shingles that fall on it. The bits in which two outlines
+    differ are at most the shingles in which the sets differ."""
+    odd = np.bincount((shingles >> np.uint64(20)) % np.uint64(OUTLINE_BITS), minlength=OUTLINE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def shingle_sets(texts: list) -> list:
+    found = [shingle_set(t) for t in texts]
+    return [[x.view(np.int64) for x in found], [len(x) for x in found], [outline(x) for x in found]]
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether outlines and sizes of two sets allow a Jaccard similarity of 4/5: sets that similar differ
+    in at most a ninth of their added sizes. Exact in that it turns away no such pair."""
+    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    apart = F.lit(0)
+    for i in range(OUTLINE_BITS // 64):
+        apart = apart + F.bit_count(F.col(f"{a}.outline")[i].bitwiseXOR(F.col(f"{b}.outline")[i]))
+    return (5 * F.least(f"{a}.size", f"{b}.size") >= 4 * F.greatest(f"{a}.size", f"{b}.size")) & (9 * apart <= both)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least 4/5, counted exactly."""
     x, y = sets.select(F.col("s").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("s").alias("b"), F.col("shingles").alias("y"))
-    both = F.size("x") + F.size("y")
-    near = (5 * F.least(F.size("x"), F.size("y")) >= 4 * F.greatest(F.size("x"), F.size("y"))) & (9 * F.size(F.array_intersect("x", "y")) >= 4 * both)
+    near = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
     return checkpointed(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
 
 
-def copy_links(hashed: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b) links between shingle sets of ``rows`` (doc_id, __hash, s, bands), whose closure is that of
-    all pairs that share a band and have a Jaccard similarity of at least 4/5.
+def copy_links(hashed: DataFrame, rows: DataFrame, own: tuple[str, str]) -> DataFrame:
+    """(a, b) links between shingle sets of ``rows`` (doc_id, key, s, bands), whose closure is that of
+    all pairs that share a band and have a Jaccard similarity of at least 4/5. ``own`` names the columns
+    of ``hashed`` that ``doc_id`` and ``key`` stand for.
 
     First each set is compared with the first and the one before it of each of its keys. What this links
-    need not be compared again; then all pairs of a key that are still apart are. So a key full of copies
-    takes a number of pairs in proportion to its members, and no pair is left out.
+    need not be compared again. Of the pairs of a key that are still apart, those come out of the join
+    whose outlines allow the similarity, and only they are counted by their shingles: no pair is left
+    out, and a key full of texts that are not alike gives no rows.
     """
     distinct = rows.where(F.size("bands") > 0).select("s", "bands").dropDuplicates(["s"])
     keyed = distinct.select(F.explode("bands").alias("key"), "s")
     runs = checkpointed(keyed.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_follow_runs, "key long, s long, first long, prior long"))
     members = checkpointed(runs.select("key", "s").unionByName(runs.select("key", F.col("first").alias("s")).distinct()))
-    home = rows.join(members.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "__hash")).alias("at"))
-    home = sized_side(home.select("s", F.col("at.doc_id").alias("__id"), F.col("at.__hash").alias("__key")))
-    met = hashed.join(home, (F.col("__hash") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    full = map_texts(met, ["s"], "text", lambda: lambda texts: [[shingle_set(t).view(np.int64) for t in texts]], "shingles array<long>")
+    home = rows.join(members.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "key")).alias("at"))
+    home = sized_side(home.select("s", F.col("at.doc_id").alias("__id"), F.col("at.key").alias("__key")))
+    met = hashed.select(F.col(own[0]).alias("doc_id"), F.col(own[1]).alias("key"), "text").join(home, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    full = map_texts(met, ["s"], "text", lambda: shingle_sets, "shingles array<long>, size int, outline array<long>")
     sets = checkpointed(full.dropDuplicates(["s"]))
+    facts = sets.select("s", F.struct("size", "outline").alias("f"))
+
+    def with_facts(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.join(facts.select(F.col("s").alias(column), F.col("f").alias(name)), column)
 
-    tried = checkpointed(runs.select(F.col("first").alias("a"), F.col("s").alias("b")).unionByName(runs.select(F.col("prior").alias("a"), F.col("s").alias("b"))).distinct())
-    linked = _alike(tried, sets)
+    tried = runs.select(F.col("first").alias("a"), F.col("s").alias("b")).unionByName(runs.select(F.col("prior").alias("a"), F.col("s").alias("b"))).distinct()
+    likely = with_facts(with_facts(tried, "a", "fa"), "b", "fb").where(_near("fa", "fb")).select("a", "b")
+    linked = _alike(likely, sets)
     roots = checkpointed(connected(linked))
-    named = members.join(roots.withColumnRenamed("node", "s"), "s", "left").select("key", "s", F.coalesce("root", "s").alias("root"))
-    mixed = checkpointed(named).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    apart = checkpointed(named.join(mixed, "key", "left_semi"))
-    left, right = apart.select("key", F.col("s").alias("a"), F.col("root").alias("of_a")), apart.select("key", F.col("s").alias("b"), F.col("root").alias("of_b"))
-    others = left.join(right, "key").where("a < b and of_a <> of_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return linked.unionByName(_alike(checkpointed(others), sets))
+    named = checkpointed(members.join(roots.withColumnRenamed("node", "s"), "s", "left").select("key", "s", F.coalesce("root", "s").alias("root")))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = checkpointed(with_facts(named.join(mixed, "key", "left_semi"), "s", "f"))
+    left, right = (apart.select("key", F.col("s").alias(n), F.col("root").alias(f"of_{n}"), F.col("f").alias(f"f{n}")) for n in "ab")
+    others = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near("fa", "fb")).select("a", "b").distinct()
+    return linked.unionByName(_alike(others, sets))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -351,24 +382,28 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
     Candidates share one of BANDS keys of BAND_ROWS least hashes each: a pair at just 0.8 shares none
-    once in 150,000 times. Every candidate link is checked exactly. Texts without words are alike.
+    once in 150,000 times. Every candidate link is checked exactly. Null, empty and blank texts have no
+    shingles and are alike; a null doc_id comes after the others; other columns are kept as they are,
+    whatever their names; an empty table gives an empty table.
 
     Ids and hashes decide which rows go. Texts are shuffled only where the keys to drop are too many
     to broadcast, and for rows that repeat both id and text.
     """
     tune(docs.sparkSession)
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    rows = checkpointed(sketches(hashed, ["doc_id", "__hash"]))
-    roots = checkpointed(connected(copy_links(hashed, rows)))
-    named = rows.join(roots, rows["s"] == roots["node"], "left").select("doc_id", "__hash", F.coalesce("root", "s").alias("component_id"))
-    each = checkpointed(named.groupBy("component_id", "doc_id", "__hash").agg(F.count("*").alias("n")))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash")
-    first = checkpointed(each.groupBy("component_id").agg(F.min(key).alias("first")))
-    judged = each.join(first, F.col("first.__hash").eqNullSafe(F.col("__hash")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")), "left")
-    marked = judged.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__key"), F.col("first").isNull().alias("other"), "n")
-    same = (F.col("__hash") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    kept = hashed.join(sized_side(marked.where("other or n > 1").select("__id", "__key")), same, "left_anti")
-    again = checkpointed(marked.where("not other and n > 1").select("__id", "__key"))
+    own = fresh(docs, "__hash")
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    rows = checkpointed(sketches(hashed.select("doc_id", F.col(own).alias("key"), "text"), ["doc_id", "key"]))
+    roots = checkpointed(connected(copy_links(hashed, rows, ("doc_id", own))))
+    named = rows.join(roots, rows["s"] == roots["node"], "left").select("doc_id", "key", F.coalesce("root", "s").alias("component_id"))
+    each = checkpointed(named.groupBy("component_id", "doc_id", "key").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = checkpointed(each.groupBy("component_id").agg(F.min(order).alias("first")))
+    judged = each.join(first, F.col("first.key").eqNullSafe(F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    ident, mark = fresh(docs, "__id"), fresh(docs, "__key")
+    marked = judged.select(F.col("doc_id").alias(ident), F.col("key").alias(mark), F.col("first").isNull().alias("other"), "n")
+    same = (F.col(own) == F.col(mark)) & F.col("doc_id").eqNullSafe(F.col(ident))
+    kept = hashed.join(sized_side(marked.where("other or n > 1").select(ident, mark)), same, "left_anti")
+    again = checkpointed(marked.where("not other and n > 1").select(ident, mark))
     if not again.isEmpty():
-        kept = kept.unionByName(hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", "__hash"]))
-    return kept.drop("__hash")
+        kept = kept.unionByName(hashed.join(again, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return kept.drop(own)

@@ -5,8 +5,10 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from learnmill.llm import compression_rules, simhash
+from learnmill.llm import bpe, compression_rules, decontaminate, language_id, quality_nbsvm, simhash
 
 
 def test_stages(spark, sf_dir):
@@ -32,19 +34,7 @@ def test_stages(spark, sf_dir):
                 bad = n < 50 or 100 * repeats > 50 * n or compression_rules.verdict(r["text"].encode(), compress)[2]
                 assert (i in gone) == bool(bad)
         elif name == "near_duplicates":
-            ids = sorted(before)
-            bits = np.array([simhash.fingerprint(before[i]["text"]) for i in ids], np.int64).view(np.uint64)
-            seen, want = set(), set()
-            for n, i in enumerate(ids):
-                if n in seen:
-                    continue
-                want.add(i)
-                stack = [n]
-                while stack:
-                    k = stack.pop()
-                    if k not in seen:
-                        seen.add(k)
-                        stack += np.flatnonzero(np.bitwise_count(bits ^ bits[k]) <= 2).tolist()
+            want, _ = brute_survivors({i: r["text"] for i, r in before.items()})
             assert set(rows) == want and gone
         elif name == "decontaminate":
             word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -127,3 +117,47 @@ def test_a_changed_word_is_a_near_copy(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate((words, one, two))]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == {0, 2}
+
+
+def test_unlike_texts_of_a_crowded_key_give_no_pairs():
+    """Outlines rule out every pair below 0.8 here, and no pair at 0.8 or more."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in range(150)]
+    sets = []
+    for n in range(120):
+        mine = list(base)
+        for at in rng.choice(150, n % 9, replace=False):
+            mine[at] = f"x{rng.integers(0, 10**9)}"
+        sets.append(simhash.shingle_set(" ".join(mine)))
+    lines = [simhash.outline(x).view(np.uint64) for x in sets]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(x, sets[j]))
+            apart = int(np.bitwise_count(lines[i] ^ lines[j]).sum())
+            assert apart <= len(x) + len(sets[j]) - 2 * common
+            if 9 * common >= 4 * (len(x) + len(sets[j])):
+                assert 9 * apart <= len(x) + len(sets[j])
+
+
+def test_components_of_a_long_chain(spark):
+    """300 nodes in a row, and a ring: one root each, however many rounds it takes."""
+    rows = [(i, i + 1) for i in range(1000, 1300)] + [(i, i + 1) for i in range(50)] + [(50, 0)]
+    got = {r["node"]: r["root"] for r in simhash.connected(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 51)} | {i: 1000 for i in range(1001, 1301)}
+
+
+def test_clashing_columns_are_kept(spark):
+    """Columns named like those that the stages use inside come back untouched."""
+    text = " ".join("".join(x) for x in np.random.default_rng(8).choice(list("etaoinshrdlu"), (90, 6)))
+    row = {"doc_id": 1, "text": text, "__hash": "h", "__row": "r", "row": "q", "__text": "t", "kept": "k", "score": "s", "lang": "en", "key": "y", "s": "z"}
+    docs = spark.createDataFrame([row, {**row, "doc_id": 2, "text": text + " more"}])
+    for out in (
+        simhash.drop_near_duplicates(docs), compression_rules.apply_quality_rules(docs), language_id.keep_identified(docs, language_id.train_language_profiles(docs)),
+        decontaminate.decontaminate(docs, spark.createDataFrame([(1, "none of these words stands there")], "item_id long, text string")),
+    ):
+        assert out.columns == docs.columns
+        first = {r["doc_id"]: r.asDict() for r in out.collect()}[1]
+        assert first == docs.where(F.col("doc_id") == 1).first().asDict()
+    scored = quality_nbsvm.score_quality(docs, quality_nbsvm.fit([], np.array([])), docs.columns)
+    assert scored.columns.count("score") == 1 and "s" in scored.columns
+    assert bpe.encode_documents(docs.withColumn("n_tokens", F.lit("x")), ["doc_id", "n_tokens"]).first()["n_tokens"] > 0
