@@ -2,7 +2,8 @@
 
 A text is compressed with zstandard as a whole and in fixed chunks; the last chunk ends at the end of
 the text, so each byte of a text longer than a chunk is in a tested one. Prose falls into a narrow band of
-ratios that depends on the length; repetition lies above it, random or encoded data below it.
+ratios that depends on the length; repetition lies above it, random or encoded data below it. The bands are
+those measured on labelled texts; another corpus passes its own as ``bands`` and ``chunk_band``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts, tune
 
@@ -29,18 +31,32 @@ class Band:
     high: float
 
 
-#: Below 256 bytes the frame header and the cold dictionary say more than the text: only the top counts.
+#: Limits in steps of half an octave. ``high`` lies between the ratios of good and of poor labelled texts
+#: that pass the base rule (sf0.1, level 3): midway between the largest good and the least poor one where
+#: they part (from 2896 bytes on), else just above the 99th percentile of the good ones. ``low`` lies well
+#: below the least ratio of good text (1.38 at 256 bytes, 2.12 at 4096): encoded data reaches 1.33.
 BANDS = (
-    Band(0, 0.0, 3.0),
-    Band(256, 1.10, 3.0),
-    Band(512, 1.20, 3.0),
-    Band(1024, 1.35, 3.2),
-    Band(4096, 1.45, 3.6),
-    Band(16384, 1.50, 4.0),
-    Band(65536, 1.50, 4.5),
+    Band(0, 0.0, 1.75),
+    Band(256, 1.10, 1.75),
+    Band(362, 1.15, 1.86),
+    Band(512, 1.20, 1.90),
+    Band(724, 1.28, 1.97),
+    Band(1024, 1.35, 2.05),
+    Band(1448, 1.38, 2.12),
+    Band(2048, 1.40, 2.18),
+    Band(2896, 1.42, 2.24),
+    Band(4096, 1.45, 2.33),
+    Band(5792, 1.46, 2.40),
+    Band(8192, 1.48, 2.46),
+    Band(11585, 1.49, 2.52),
+    Band(16384, 1.50, 2.56),
+    Band(23170, 1.50, 2.64),
+    Band(32768, 1.50, 2.70),
+    Band(65536, 1.50, 2.85),
+    Band(131072, 1.50, 3.00),
 )
 CHUNK_BYTES = 4096
-CHUNK_BAND = Band(CHUNK_BYTES, 1.35, 3.6)
+CHUNK_BAND = Band(CHUNK_BYTES, 1.35, 2.30)
 MAX_BAD_CHUNKS = 0.25
 LEVEL = 3
 ADDED = (
@@ -89,7 +105,7 @@ def verdict(data: bytes, compress, bands=BANDS, chunk_band=CHUNK_BAND, max_bad=M
     return ratio, bad, reason
 
 
-def score_quality_rules(docs: DataFrame, keep: list[str] | None = None, bands=BANDS) -> DataFrame:
+def score_quality_rules(docs: DataFrame, keep: list[str] | None = None, bands=BANDS, chunk_band=CHUNK_BAND) -> DataFrame:
     """Add the base counts, the compression ratio and the verdict to each document.
 
     ``keep``: the columns carried along (all by default; one named like an added column is replaced).
@@ -97,8 +113,6 @@ def score_quality_rules(docs: DataFrame, keep: list[str] | None = None, bands=BA
     rows get equal rows, an empty table gives an empty table.
     """
     tune(docs.sparkSession)
-    new = {f.split()[0] for f in ADDED.split(", ")}
-    keep = [c for c in (keep or docs.columns) if c not in new]
 
     def make():
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
@@ -109,19 +123,16 @@ def score_quality_rules(docs: DataFrame, keep: list[str] | None = None, bands=BA
                 t = t or ""
                 n, chars, symbols, dups, repeats = base_counts(t)
                 failed = n < 50 or 100 * repeats > 50 * n
-                ratio, bad, reason = verdict(t.encode("utf-8", "replace"), compress, bands)
+                ratio, bad, reason = verdict(t.encode("utf-8", "replace"), compress, bands, chunk_band)
                 rows.append((n, chars, symbols, dups, repeats, failed, ratio, bad, "base" if failed else reason, not failed and reason is None))
-            return list(zip(*rows, strict=True)) if rows else [[] for _ in new]
+            return list(zip(*rows, strict=True)) if rows else [[] for _ in ADDED.split(", ")]
 
         return run
 
-    return map_texts(docs, keep, "text", make, ADDED)
+    return map_texts(docs, keep or docs.columns, "text", make, ADDED)
 
 
-def apply_quality_rules(docs: DataFrame, bands=BANDS) -> DataFrame:
-    """The documents that the rules keep, with their own columns only."""
-    from pyspark.sql import functions as F
-
-    flagged = docs.withColumn("__row", F.struct(*docs.columns))
-    judged = score_quality_rules(flagged, ["__row"], bands)
-    return judged.where("kept").select("__row.*")
+def apply_quality_rules(docs: DataFrame, bands=BANDS, chunk_band=CHUNK_BAND) -> DataFrame:
+    """The documents that the rules keep, with their own columns only, whatever their names."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score_quality_rules(whole, ["row"], bands, chunk_band).where("kept").select("row.*")

@@ -143,7 +143,8 @@ def identify_language(docs: DataFrame, profiles: Profiles, keep: list[str]) -> D
     """Add lang_pred and score to each document in one narrow pass over whole texts.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. Equal
-    distances go to the first language in order of names.
+    distances go to the first language in order of names. Equal texts get equal rows; a kept column
+    named lang_pred or score is replaced; an empty table gives an empty table.
     """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
@@ -161,12 +162,15 @@ def identify_language(docs: DataFrame, profiles: Profiles, keep: list[str]) -> D
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, min_score: float = 0.0) -> DataFrame:
-    """The documents with a known language and at least ``min_score``, with their own columns only."""
-    found = identify_language(docs.withColumn("__row", F.struct(*docs.columns)), profiles, ["__row"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("__row.*")
+    """The documents with a known language and at least ``min_score``, with their own columns only,
+    whatever their names. Null and empty texts go; an empty table gives an empty table."""
+    found = identify_language(docs.select(F.struct(*docs.columns).alias("row"), "text"), profiles, ["row"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
 
 
 def language_query(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; rows with crc32 mod 4 = 2 teach nothing.
+    A null doc_id counts as the empty text; rows that repeat are each returned."""
     profiles = train_language_profiles(docs, fold(F.col("doc_id"), 4) != 2)
     flagged = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     return identify_language(flagged, profiles, ["doc_id", "held_out"])

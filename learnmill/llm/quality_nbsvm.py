@@ -174,7 +174,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column | None = Non
 def score_quality(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3) -> DataFrame:
     """Add score (0 to 1) and predicted to each document in one narrow pass.
 
-    Null and empty texts get the score of a text without tokens. Equal texts get equal scores.
+    Null and empty texts get the score of a text without tokens. Equal texts get equal scores; a kept
+    column named score or predicted is replaced; an empty table gives an empty table.
     """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,6 +193,9 @@ def score_quality(docs: DataFrame, model: Model, keep: list[str], threshold: flo
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; rows with crc32 mod 5 = 0 teach nothing.
+    A null doc_id counts as the empty text, rows that repeat are each returned, and without labels every
+    score is 0.5."""
     model = train_quality(docs, labels, fold(F.col("doc_id"), 5) != 0)
     flagged = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return score_quality(flagged, model, ["doc_id", "held_out"])
