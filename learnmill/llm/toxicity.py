@@ -1,10 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
-Documents and examples are TF-IDF vectors over the words that tell the classes apart. The nearest
-examples by exact cosine are found in an inverted index whose postings are cut into blocks with
-their greatest weights, so that blocks which cannot reach the nearest are never opened. The
-neighbours vote by nearness; a monotone curve fitted on the examples, each left out in turn, makes
-the vote a probability. The neighbours are the evidence.
+Documents and examples are TF-IDF vectors over all their terms. The nearest examples by exact cosine
+are found in an inverted index whose postings are cut into blocks with their greatest weights, so that
+blocks which cannot reach the nearest are never opened. The neighbours vote by nearness; a monotone
+curve fitted on the examples, each left out in turn, makes the vote a probability. The neighbours are
+the evidence.
+
+The cosine of plain TF-IDF finds texts of like subject rather than of like tone, so a term's weight is
+its TF-IDF times how unevenly the examples' classes use it. No term is left out: one that both classes
+use alike, or that no example has, keeps the share EVEN.
 """
 
 from __future__ import annotations
@@ -19,161 +23,184 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, labelled_sample, map_texts, tune
+from .common import checkpointed, fold, fresh, labelled_sample, map_texts, tune
 
 TERM = re.compile(r"[^\W_]+")
 #: About so many labelled documents are examples, half of them of each class where there are enough.
 EXAMPLES = 6000
-MAX_TERMS = 4096
-#: A term is used if its chi-square and odds ratio in the sample, and its documents there, are at least these.
-MIN_CHI2, MIN_ODDS, MIN_DOCS = 15.0, 3.0, 5
 NEIGHBOURS, BLOCK = 15, 64
-#: Blocks opened one by one, in order of their bounds, before the rest is opened at once.
-FEW = 4
-#: Letters of the beginnings that are terms beside the words themselves.
-STEMS = (5, 6, 7, 8, 9)
+#: Terms of at least this share of the examples keep their postings as rows of whole blocks.
+DENSE = 0.08
+#: Blocks opened in the first round; each further round opens twice as many, until no bound reaches.
+FIRST = 4
+#: Class weight of a term that tells nothing, and documents by which a term's class counts are smoothed.
+EVEN, SMOOTH = 0.05, 20.0
 
 
-def forms(word: str) -> list[str]:
-    """A word and its longer beginnings, which stand for its other endings and compounds."""
-    return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
-
-
-def distinct_terms(text: str) -> list[str]:
-    return list({f for w in set(TERM.findall(text.lower())) for f in forms(w)})
-
-
-def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """The terms of the sample (y, text) that tell its classes apart, counted by Spark; at most
-    ``max_terms`` of them, by chi-square, reach the driver."""
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        return []
-    spread = map_texts(sample, ["y"], "text", lambda: lambda ts: [[distinct_terms(t or "") for t in ts]], "terms array<string>")
-    counts = spread.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), (F.count("*") - F.sum("y")).cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    c, d = pos - a, neg - b
-    chi2 = (pos + neg) * F.pow(a * d - b * c, 2) / (pos * neg * (a + b) * (c + d) + 1e-9)
-    odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
-    scored = counts.where(a + b >= MIN_DOCS).select("term", chi2.alias("chi2"), odds.alias("odds"))
-    telling = scored.where((F.col("chi2") >= MIN_CHI2) & ((F.col("odds") >= MIN_ODDS) | (F.col("odds") <= 1 / MIN_ODDS)))
-    return [r["term"] for r in telling.orderBy(F.desc("chi2"), "term").limit(max_terms).collect()]
+def vocabulary(sample: DataFrame) -> list[str]:
+    """All terms of the sample's whole texts, in order."""
+    spread = map_texts(sample, ["y"], "text", lambda: lambda ts: [[sorted(set(TERM.findall((t or "").lower()))) for t in ts]], "terms array<string>")
+    return sorted(r["term"] for r in spread.select(F.explode("terms").alias("term")).distinct().collect())
 
 
 def term_counts(docs: DataFrame, keep: list[str], terms: list[str]) -> DataFrame:
-    """Add t (term numbers) and n (their counts in the whole text) in one narrow pass."""
+    """Add t (term numbers), n (their counts in the whole text) and rest (the sum of (1 + log n) squared
+    over the text's terms that have no number) in one narrow pass."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def make():
-        known = shared.value
-
-        @lru_cache(1 << 17)
-        def numbers(word: str) -> tuple[int, ...]:
-            return tuple(known[f] for f in forms(word) if f in known)
+        number = shared.value.get
+        square = [0.0] + [(1 + math.log(n)) ** 2 for n in range(1, 64)]
 
         def run(texts: list) -> list:
-            ids, counts = [], []
+            ids, counts, rests = [], [], []
             for text in texts:
-                found: Counter = Counter()
+                rows, rest = [], 0.0
                 for word, n in Counter(TERM.findall((text or "").lower())).items():
-                    for i in numbers(word):
-                        found[i] += n
-                rows = sorted(found.items())
+                    i = number(word)
+                    if i is None:
+                        rest += square[n] if n < 64 else (1 + math.log(n)) ** 2
+                    else:
+                        rows.append((i, n))
+                rows.sort()
                 ids.append([i for i, _ in rows])
                 counts.append([n for _, n in rows])
-            return [ids, counts]
+                rests.append(rest)
+            return [ids, counts, rests]
 
         return run
 
-    return map_texts(docs, keep, "text", make, "t array<int>, n array<int>")
+    return map_texts(docs, keep, "text", make, "t array<int>, n array<int>, rest double")
 
 
-def inverse_frequencies(counted: DataFrame, size: int) -> np.ndarray:
-    """Inverse document frequency of each term over all rows of ``counted``."""
+def inverse_frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, float]:
+    """Inverse document frequency of each term over all rows of ``counted``, and that of a term which
+    one document has."""
     total = counted.count()
     df = np.zeros(size)
     for r in counted.select(F.explode("t").alias("t")).groupBy("t").count().collect():
         df[r["t"]] = r["count"]
-    return np.log((1 + total) / (1 + df)) + 1
+    return np.log((1 + total) / (1 + df)) + 1, math.log((1 + total) / 2) + 1
+
+
+def class_weights(y: np.ndarray, rows: list[tuple[list[int], list[int]]], size: int) -> np.ndarray:
+    """EVEN plus the square of each term's smoothed log ratio of use in the two classes."""
+    counts = np.zeros((2, size))
+    for label, (t, _) in zip(y, rows, strict=True):
+        counts[int(label > 0), t] += 1
+    sizes = np.array([(y <= 0).sum(), (y > 0).sum()], np.float64)
+    if not sizes.all():
+        return np.full(size, 1.0)
+    prior = SMOOTH * sizes / sizes.sum()
+    share = (counts + prior[:, None]) / (sizes + prior)[:, None]
+    return EVEN + np.log(share[1] / share[0]) ** 2
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors in an inverted index; the postings of a term stand in order of the
-    examples, with one greatest weight for each block of BLOCK examples."""
+    """Examples as unit vectors in an inverted index. Postings stand in order of term and example; those
+    of a term in one block of BLOCK examples are an entry, with its greatest weight. A common term has a
+    weight for every example of every block, zeros included, so that its blocks are added as they are."""
 
-    ids: list[int]
+    ids: list
     y: np.ndarray
     rate: np.ndarray
-    idf: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    maxima: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    starts: list[list[int]] = field(default_factory=list)  # of each term's blocks in its postings
+    scale: np.ndarray
+    unseen: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.full(1, 0.5))
     blank: float = 0.5
+    opened: int = 0
+    blocks: int = 0
+    parts: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def vector(self, t: list[int], n: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, t: list[int], n: list[int], rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a unit vector; ``rest`` lengthens it by the terms without a number."""
         terms = np.array(t, np.int64)
-        w = (1 + np.log(np.array(n, np.float64))) * self.idf[terms]
-        return terms, w / (np.sqrt(w @ w) or 1.0)
+        w = (1 + np.log(np.array(n, np.float64))) * self.scale[terms]
+        return terms, w / (math.sqrt(w @ w + rest * self.unseen**2) or 1.0)
 
     def build(self, rows: list[tuple[list[int], list[int]]]) -> None:
-        size, blocks = len(self.idf), -(-len(rows) // BLOCK)
-        lists: list[list] = [[] for _ in range(size)]
-        self.maxima = np.zeros((size, blocks))
-        for e, (t, n) in enumerate(rows):
-            for term, w in zip(*self.vector(t, n), strict=True):
-                lists[term].append((e, w))
-                self.maxima[term, e // BLOCK] = max(self.maxima[term, e // BLOCK], w)
-        self.postings = [(np.array([e for e, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
-        edges = np.arange(blocks + 1) * BLOCK
-        self.starts = [np.searchsorted(rows, edges).tolist() for rows, _ in self.postings]
-
-    def nearest(self, t: list[int], n: list[int], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest positive cosine, ties by example; exact. A block is opened only
-        if its bound reaches the k-th cosine so far."""
-        terms, weights = self.vector(t, n)
-        bounds = weights @ self.maxima[terms]
-        best: list[tuple[float, int]] = []
-        lists = [(*self.postings[i], self.starts[i], w) for i, w in zip(terms.tolist(), weights.tolist(), strict=True)]
-
-        def take(score: np.ndarray, first: int) -> None:
-            hit = np.flatnonzero((score > 0) & (score >= (best[-1][0] if len(best) == k else 0.0)))
-            if len(hit) > k + 1:  # ties of the last place stay
-                hit = hit[score[hit] >= np.partition(score[hit], -k - 1)[-k - 1]]
-            best.extend((x, first + i) for i, x in zip(hit.tolist(), score[hit].tolist(), strict=True) if first + i != without)
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-
-        order = np.argsort(-bounds, kind="stable").tolist()
-        for block in order[:FEW]:
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] * (1 + 1e-9) < best[-1][0]):
-                return best
-            score, first = np.zeros(BLOCK), block * BLOCK
-            for rows, values, starts, w in lists:
-                lo, hi = starts[block], starts[block + 1]
-                if lo < hi:
-                    score[rows[lo:hi] - first] += w * values[lo:hi]
-            take(score, first)
-        # the blocks that may still reach a place are opened together
-        open_blocks = bounds * (1 + 1e-9) >= (best[-1][0] if len(best) == k else 0.0)
-        open_blocks[order[:FEW]] = False
-        if open_blocks.any():
-            score = np.zeros(len(bounds) * BLOCK)
-            for rows, values, _, w in lists:
-                score[rows] += w * values
-            take(np.where(np.repeat(open_blocks, BLOCK), score, 0.0), 0)
-        return best
+        self.blocks = -(-len(rows) // BLOCK)
+        vectors = [self.vector(t, n) for t, n in rows]
+        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in vectors])
+        term, weight = (np.concatenate([v[i] for v in vectors]) if vectors else np.zeros(0, kind) for i, kind in ((0, np.int64), (1, np.float64)))
+        order = np.lexsort((example, term))
+        example, term, weight = example[order], term[order], weight[order]
+        df = np.bincount(term, minlength=len(self.scale))
+        common = np.flatnonzero(df >= max(BLOCK, DENSE * len(rows)))
+        row_of = np.full(len(self.scale), -1)
+        row_of[common] = np.arange(len(common))
+        dense = np.zeros((len(common), self.blocks, BLOCK))
+        at = row_of[term] >= 0
+        dense[row_of[term[at]], example[at] // BLOCK, example[at] % BLOCK] = weight[at]
+        example, term, weight = example[~at], term[~at], weight[~at]
+        block = example // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
+        self.parts = {
+            "row": row_of, "dense": dense, "dense_most": dense.max(axis=2) if len(common) else np.zeros((0, self.blocks)),
+            "example": example, "weight": weight, "first": first, "size": np.diff(np.append(first, len(term))), "block": block[first],
+            "most": np.maximum.reduceat(weight, first) if len(first) else weight, "start": np.searchsorted(term[first], np.arange(len(self.scale) + 1)),
+        }
+
+    def nearest(self, t: list[int], n: list[int], k: int = NEIGHBOURS, without: int = -1, rest: float = 0.0) -> list[tuple[float, int]]:
+        """The k examples of greatest positive cosine, ties by example; exact. Blocks are opened in order
+        of their bounds, and only while a bound reaches the k-th cosine of the round before."""
+        p = self.parts
+        terms, q = self.vector(t, n, rest)
+        row = p["row"][terms]
+        often = row >= 0
+        rows, q_rows, terms, q = row[often], q[often], terms[~often], q[~often]
+        lo = p["start"][terms]
+        sizes = p["start"][terms + 1] - lo
+        entries, at_entry = spans(lo, sizes), np.repeat(q, sizes)
+        block = p["block"][entries]
+        bounds = np.bincount(block, at_entry * p["most"][entries], self.blocks) + q_rows @ p["dense_most"][rows]
+        order = np.argsort(-bounds, kind="stable")
+        place = np.full(self.blocks, -1)
+        best, who = np.zeros(0), np.zeros(0, np.int64)
+        at, step = 0, FIRST
+        while at < self.blocks:
+            reach = best[-1] if len(best) == k else 0.0
+            batch = order[at : at + step]
+            batch = batch[(bounds[batch] > 0) & (bounds[batch] * (1 + 1e-9) >= reach)]
+            if not len(batch):
+                break  # bounds fall: no later block reaches either
+            self.opened += len(batch)
+            place[batch] = np.arange(len(batch))
+            mine = np.flatnonzero(place[block] >= 0)
+            e = entries[mine]
+            postings = spans(p["first"][e], p["size"][e])
+            where = p["example"][postings]
+            score = np.bincount(place[where // BLOCK] * BLOCK + where % BLOCK, np.repeat(at_entry[mine], p["size"][e]) * p["weight"][postings], len(batch) * BLOCK)
+            if len(rows):
+                score = score + q_rows @ p["dense"][rows[:, None], batch].reshape(len(rows), -1)
+            place[batch] = -1
+            hit = np.flatnonzero((score > 0) & (score >= reach))
+            ids = batch[hit // BLOCK] * BLOCK + hit % BLOCK
+            hit, ids = hit[ids != without], ids[ids != without]
+            if len(hit) > 4 * k:
+                top = score[hit] >= np.partition(score[hit], -k)[-k]
+                hit, ids = hit[top], ids[top]
+            best, who = np.concatenate([best, score[hit]]), np.concatenate([who, ids])
+            top = np.lexsort((who, -best))[:k]
+            best, who = best[top], who[top]
+            at, step = at + step, 2 * step
+        return list(zip(best.tolist(), who.tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of the toxic neighbours, weighted by nearness and by how thinly a class was drawn."""
         w = np.array([s / (1.05 - min(s, 1.0)) for s, _ in found]) / self.rate[[e for _, e in found]]
         return float((w * self.y[[e for _, e in found]]).sum() / w.sum())
 
-    def score(self, t: list[int], n: list[int]) -> tuple[float, list[int]]:
-        found = self.nearest(t, n) if t else []
+    def score(self, t: list[int], n: list[int], rest: float = 0.0) -> tuple[float, list]:
+        found = self.nearest(t, n, rest=rest) if t else []
         if not found:
             return self.blank, []
         return float(np.interp(self.vote(found), *self.curve)), [self.ids[e] for _, e in found[:3]]
@@ -191,8 +218,8 @@ def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def make_index(ids: list[int], y: list[int], rate: list[float], rows: list[tuple[list[int], list[int]]], idf: np.ndarray) -> Index:
-    index = Index(ids, np.array(y, np.float64), np.array(rate, np.float64), idf)
+def make_index(ids: list, y: list[int], rate: list[float], rows: list[tuple[list[int], list[int]]], scale: np.ndarray, unseen: float = 0.0) -> Index:
+    index = Index(ids, np.array(y, np.float64), np.array(rate, np.float64), scale, unseen)
     index.build(rows)
     weight = 1 / index.rate if len(ids) else np.zeros(0)
     votes, at = [], []
@@ -210,42 +237,54 @@ def make_index(ids: list[int], y: list[int], rate: list[float], rows: list[tuple
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, label: str = "toxic", examples: int = EXAMPLES) -> tuple[DataFrame, list[str]]:
-    """(sample of labelled documents, terms)."""
+    """(sample of labelled documents, all their terms)."""
     sample = checkpointed(labelled_sample(docs, labels, label, examples, train, balanced=True))
-    return sample, choose_terms(sample)
+    return sample, vocabulary(sample)
+
+
+def fit_index(counted: DataFrame, sample: DataFrame, terms: list[str]) -> Index:
+    """The index of the sample, with document frequencies over all rows of ``counted``. Examples stand
+    in order of their most frequent term and of the term that tells most, so that like ones share blocks."""
+    own = sorted(term_counts(sample, ["doc_id", "y", "rate"], terms).collect(), key=lambda r: (r["t"], str(r["doc_id"])))
+    idf, once = inverse_frequencies(counted, len(terms))
+    scale = idf * class_weights(np.array([r["y"] for r in own]), [(r["t"], r["n"]) for r in own], len(terms))
+    own.sort(key=lambda r: (r["t"][int(np.argmax(r["n"]))], r["y"], r["t"][int(np.argmax(scale[r["t"]]))]) if r["t"] else (-1, r["y"], -1))
+    return make_index([r["doc_id"] for r in own], [r["y"] for r in own], [r["rate"] for r in own], [(r["t"], r["n"]) for r in own], scale, once * EVEN)
 
 
 def score_toxicity(docs: DataFrame, sample: DataFrame, terms: list[str], keep: list[str], threshold: float = 0.7) -> DataFrame:
     """Add score, predicted and evidence (ids of the three nearest examples) to each document.
 
     Texts are read once: the counts of the terms are written, give the document frequencies over all
-    documents, and are scored. Null and empty texts, and texts without any term, get the share of
-    toxic examples among those without terms. Equal texts get equal scores.
+    documents, and are scored. Null and empty texts, and texts without any term of an example, get the
+    share of toxic examples among those without terms. Equal texts get equal scores; a kept column named
+    like an added one is replaced; an empty table gives an empty table.
     """
-    counted = checkpointed(term_counts(docs, keep, terms))
-    idf = inverse_frequencies(counted, len(terms))
-    own = sorted(term_counts(sample, ["doc_id", "y", "rate"], terms).collect(), key=lambda r: (r["y"], r["t"], r["doc_id"]))
-    index = make_index([r["doc_id"] for r in own], [r["y"] for r in own], [r["rate"] for r in own], [(r["t"], r["n"]) for r in own], idf)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    counted = checkpointed(term_counts(docs.select(F.struct(*keep).alias("row"), "text"), ["row"], terms))
+    shared = docs.sparkSession.sparkContext.broadcast(fit_index(counted, sample, terms))
 
     def make():
         index = shared.value
 
-        @lru_cache(1 << 15)
-        def score(t: tuple, n: tuple) -> tuple[float, list[int]]:
-            return index.score(list(t), list(n))
+        @lru_cache(1 << 13)
+        def score(t: tuple, n: tuple, rest: float) -> tuple[float, list]:
+            return index.score(list(t), list(n), rest)
 
         def run(rows: list) -> list:
-            found = [score(tuple(r["t"]), tuple(r["n"])) for r in rows]
+            found = [score(tuple(r["t"]), tuple(r["n"]), r["rest"]) for r in rows]
             return [[s for s, _ in found], [int(s >= threshold) for s, _ in found], [e for _, e in found]]
 
         return run
 
-    ready = counted.select(*keep, F.struct("t", "n").alias("x"))
-    return map_texts(ready, keep, "x", make, "score double, predicted int, evidence array<long>")
+    x = fresh(docs, "x")
+    ready = counted.select("row.*", F.struct("t", "n", "rest").alias(x))
+    return map_texts(ready, keep, x, make, f"score double, predicted int, evidence array<{sample.schema['doc_id'].dataType.simpleString()}>")
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence of every document; rows with crc32 mod 3 = 1 teach
+    nothing. A null doc_id counts as the empty text, rows that repeat are each returned, and without
+    labels every score is 0.5."""
     sample, terms = train_toxicity(docs, labels, fold(F.col("doc_id"), 3) != 1)
     flagged = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
     return score_toxicity(flagged, sample, terms, ["doc_id", "held_out"])

@@ -7,9 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
-from learnmill.llm import bpe, compression_rules, simhash
+from learnmill.llm import bpe, compression_rules, decontaminate, language_id, quality_nbsvm, simhash, toxicity
 from learnmill.llm.queries import QUERIES, table
 
 
@@ -32,14 +31,38 @@ def test_base_counts_of_quality_rules(spark, sf_dir):
         assert not (r["kept"] and r["base_failed"])
 
 
+def test_compression_verdict_of_every_document(spark, sf_dir):
+    """Ratio, share of bad chunks and verdict by a plain loop; poor texts go far more often than good ones."""
+    import zstandard
+
+    def ratio(data):
+        return len(data) / len(zstandard.ZstdCompressor(level=3).compress(data))
+
+    docs = texts(spark, sf_dir)
+    quality = {r["doc_id"]: r["quality"] for r in table(spark, sf_dir, "labels").collect()}
+    seen = defaultdict(Counter)
+    for r in QUERIES["op2_compression_bands"](spark, sf_dir).collect():
+        data = docs[r["doc_id"]].encode()
+        low, high = max((b.min_bytes, b.low, b.high) for b in compression_rules.BANDS if b.min_bytes <= len(data))[1:]
+        ends = sorted({*range(4096, len(data) + 1, 4096), len(data)}) if len(data) > 4096 else []
+        parts = [ratio(data[e - 4096 : e]) for e in ends]
+        bad = sum(not 1.35 <= x <= 2.30 for x in parts) / len(parts) if parts else 0.0
+        good = bool(data) and low <= ratio(data) <= high and bad <= 0.25
+        assert (r["ratio"], r["bad_chunks"]) == (ratio(data) if data else 0.0, bad)
+        assert r["kept"] == (good and not r["base_failed"])
+        if not r["base_failed"]:
+            seen[quality.get(r["doc_id"])][good] += 1
+    assert seen[0][False] > 2 * seen[0][True]
+    assert seen[1][False] <= 0.01 * seen[1][True]
+
+
 def test_bpe_is_that_of_the_library(spark, sf_dir):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = texts(spark, sf_dir)
-    some = {k: v for k, v in docs.items() if len(v) < 6000}
-    for r in QUERIES["op5_chunked_bpe"](spark, sf_dir).where(F.col("doc_id").isin(list(some)[:400])).collect():
+    for r in QUERIES["op5_chunked_bpe"](spark, sf_dir).collect():
         ids = t.encode(docs[r["doc_id"]], add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
@@ -153,3 +176,103 @@ def test_chunk_joins_agree_with_the_whole_text():
         assert bpe.cut_points(t)[-1:] == ([len(t)] if t else [])
     assert encoder.hits > encoder.misses / 4
     assert encoder.held <= 200_000 or len(encoder.cache) == 1
+
+
+def test_windows_beyond_the_broadcast_bound(spark, sf_dir):
+    """With a bound of 0 every window is joined by shuffle: the same rows, below four times the text."""
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    want = decontaminate.contamination(docs, benchmark).collect()
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = decontaminate.contamination(docs, benchmark, bound=0).collect()
+        size = sum(len((r["text"] or "").encode()) for r in docs.collect())
+        assert shuffled(spark) - before < 4 * size
+        kept = decontaminate.decontaminate(docs, benchmark, bound=0).select("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and any(r["contaminated"] for r in got)
+    assert sorted(r[0] for r in kept) == sorted(r["doc_id"] for r in want if not r["contaminated"])
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def tokens_of(pattern, text):
+    return Counter(re.findall(pattern, (text or "").lower()))
+
+
+def test_toxicity_against_plain_cosine(spark, sf_dir):
+    """Every document's score from dense vectors over whole texts, a sorted list of all cosines, and a vote;
+    and fewer blocks are opened than there are."""
+    docs = texts(spark, sf_dir)
+    labels = {}
+    for r in table(spark, sf_dir, "labels").collect():
+        if r["toxic"] is not None:
+            labels[r["doc_id"]] = max(labels.get(r["doc_id"], 0), int(r["toxic"] > 0))
+    train = sorted(i for i in labels if i in docs and binascii.crc32(str(i).encode()) % 3 != 1)
+    counts = {i: tokens_of(r"[^\W_]+", t) for i, t in docs.items()}
+    df = Counter(w for c in counts.values() for w in c)
+    by = {y: [i for i in train if labels[i] == y] for y in (0, 1)}
+    used = {y: Counter(w for i in ids for w in counts[i]) for y, ids in by.items()}
+    known = set(used[0]) | set(used[1])
+    prior = {y: 20 * len(by[y]) / len(train) for y in by}
+
+    def weight(w, n):
+        if w not in known:
+            return (1 + np.log(n)) * (np.log((1 + len(docs)) / 2) + 1) * 0.05
+        share = [(used[y][w] + prior[y]) / (len(by[y]) + prior[y]) for y in (0, 1)]
+        return (1 + np.log(n)) * (np.log((1 + len(docs)) / (1 + df[w])) + 1) * (0.05 + np.log(share[1] / share[0]) ** 2)
+
+    vectors = {}
+    for i, c in counts.items():
+        v = {w: weight(w, n) for w, n in c.items()}
+        size = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors[i] = {w: x / size for w, x in v.items()}
+    column = {w: j for j, w in enumerate(sorted(known))}
+    dense = np.zeros((len(train), len(column)))
+    for e, i in enumerate(train):
+        for w, x in vectors[i].items():
+            dense[e, column[w]] = x
+    y = np.array([labels[i] for i in train], float)
+
+    def vote(v, without=None):
+        own = [(column[w], x) for w, x in v.items() if w in column]
+        s = dense[:, [j for j, _ in own]] @ np.array([x for _, x in own]) if own else np.zeros(len(train))
+        if without is not None:
+            s[without] = 0
+        # equal examples may change places: what counts are their cosines and their labels
+        top = sorted(((-x, e) for e, x in enumerate(s) if x > 0))[:15]
+        w = np.array([-x / (1.05 - min(-x, 1.0)) for x, _ in top])
+        return (w * y[[e for _, e in top]]).sum() / w.sum() if top else None
+
+    left = [(vote(vectors[i], e), y[e]) for e, i in enumerate(train)]
+    points = [(v, x) for v, x in left if v is not None]
+    curve = toxicity.rising(np.array([v for v, _ in points]), np.array([x for _, x in points]), np.ones(len(points)))
+    got = {r["doc_id"]: r for r in QUERIES["op8_toxicity_neighbours"](spark, sf_dir).collect()}
+    assert set(got) == set(docs)
+    near = sum(abs(got[i]["score"] - float(np.interp(v, curve[0], curve[1] * 0.98 + 0.01))) < 0.02 for i in docs if (v := vote(vectors[i])) is not None)
+    assert near >= 0.99 * sum(1 for i in docs if set(counts[i]) & known)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+
+
+def test_far_blocks_stay_closed():
+    """Examples in 40 groups of their own terms: the search opens a few blocks of 40, and is exact."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for e in range(40 * toxicity.BLOCK):
+        t = sorted(rng.choice(20, 6, replace=False) + 20 * (e // toxicity.BLOCK))
+        rows.append(([int(x) for x in t] + [800], [1] * 7))
+    index = toxicity.Index(list(range(len(rows))), np.zeros(len(rows)), np.ones(len(rows)), np.concatenate([rng.random(800) + 1, [0.1]]))
+    index.build(rows)
+    for e in range(0, len(rows), 97):
+        index.opened = 0
+        got = index.nearest(*rows[e])
+        terms, q = index.vector(*rows[e])
+        want = sorted(((-sum(w * x for t, w in zip(*index.vector(*r)) for u, x in zip(terms, q) if t == u), i) for i, r in enumerate(rows)))[:15]
+        assert [round(x, 9) for x, _ in got] == [round(-x, 9) for x, _ in want]
+        assert index.opened <= 12
