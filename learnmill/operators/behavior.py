@@ -26,7 +26,7 @@ def frustration(events: DataFrame) -> DataFrame:
     score = F.when(a, 0.5).otherwise(0.0) + F.when(b, 0.3).otherwise(0.0) + F.when(c, 0.3).otherwise(0.0)
     why = compact(
         F.when(a, F.concat(F.col("streak").cast("string"), F.lit(" consecutive errors detected"))), F.when(b, F.concat(F.col("rapid").cast("string"), F.lit(" rapid failures (<10s each)"))),
-        F.when(c, F.concat(F.col("long").cast("string"), F.lit(" long struggles (>120s with errors)"))),
+        F.when(c, F.concat(F.col("long").cast("string"), F.lit(" long struggles (>2min)"))),
     )
     return ten.select("user_id", (score >= 0.5).alias("is_frustrated"), F.least(score, F.lit(1.0)).alias("frustration_confidence"), why.alias("frustration_reasons"))
 
@@ -50,8 +50,11 @@ def engagement(rates: DataFrame, low: float = 5, high: float = 30, too_high: flo
     diverse = F.coalesce(F.col("elements") >= 3, F.lit(False))
     task = F.when((t >= 30) & (t <= 600), 0.4).when(t > 600, -0.2).otherwise(0.0)
     score = F.when(wild, 0.0).otherwise(F.when(good, 0.3).otherwise(0.0) + task + F.when(diverse, 0.3).otherwise(0.0))
+    rate, seconds = F.format_string("%.1f", r), t.cast("long").cast("string")
     why = compact(
-        F.when(wild, "very high click rate").when(good, "healthy click rate"), F.when(~wild & (t >= 30) & (t <= 600), "good time on task").when(~wild & (t > 600), "long time on task"), F.when(~wild & diverse, "diverse interactions"),
+        F.when(wild, F.concat(F.lit("Very high click rate: "), rate, F.lit("/min (indicates frustration)"))).when(good, F.concat(F.lit("Healthy click rate: "), rate, F.lit("/min"))),
+        F.when(~wild & (t >= 30) & (t <= 600), F.concat(F.lit("Good time on task: "), seconds, F.lit("s"))).when(~wild & (t > 600), F.concat(F.lit("Long time on task: "), seconds, F.lit("s (may indicate struggle)"))),
+        F.when(~wild & diverse, F.concat(F.lit("Diverse interactions: "), F.col("elements").cast("string"), F.lit(" different elements"))),
     )
     return rates.select("user_id", (~wild & (score >= 0.4)).alias("is_engaged"), F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))).alias("engagement_confidence"), why.alias("engagement_reasons"))
 
@@ -65,11 +68,16 @@ def struggling(events: DataFrame) -> DataFrame:
     """is_struggling, struggling_confidence, reasons; the time on task is that of the last answer."""
     recent = last_events(events, 5, "user_id")
     base = recent.groupBy("user_id").agg(F.count_if(~F.col("is_correct")).alias("errors"), F.max(F.when(F.col("rn") == 1, F.col("time_spent_seconds"))).alias("time_on_task"))
-    loops = retry_counts(events).groupBy("user_id").agg(F.count_if(F.col("attempts") >= 3).alias("loops"))
+    # of five answers one skill at most can have three
+    loop = F.when(F.col("attempts") >= 3, F.struct("skill_id", "attempts"))
+    loops = retry_counts(events).groupBy("user_id").agg(F.max(loop).alias("loop"))
     rows = base.join(loops, "user_id")
-    a, b = F.col("errors") >= 3, F.col("time_on_task") > LONG_SECONDS
-    score = F.when(a, 0.4).otherwise(0.0) + F.when(b, 0.5).otherwise(0.0) + F.col("loops") * F.lit(0.3)
-    why = compact(F.when(a, F.concat(F.col("errors").cast("string"), F.lit("/5 recent attempts incorrect"))), F.when(b, "long time on task"), F.when(F.col("loops") > 0, "retry loop"))
+    a, b, c = F.col("errors") >= 3, F.col("time_on_task") > LONG_SECONDS, F.col("loop").isNotNull()
+    score = F.when(a, 0.4).otherwise(0.0) + F.when(b, 0.5).otherwise(0.0) + F.when(c, 0.3).otherwise(0.0)
+    why = compact(
+        F.when(a, F.concat(F.col("errors").cast("string"), F.lit("/5 recent attempts incorrect"))), F.when(b, F.concat(F.lit("Long time on task: "), F.col("time_on_task").cast("long").cast("string"), F.lit("s"))),
+        F.when(c, F.concat(F.lit("Retry loop on "), F.col("loop.skill_id"), F.lit(": "), F.col("loop.attempts").cast("string"), F.lit(" attempts"))),
+    )
     return rows.select("user_id", "time_on_task", (score >= 0.5).alias("is_struggling"), F.least(score, F.lit(1.0)).alias("struggling_confidence"), why.alias("struggling_reasons"))
 
 
@@ -98,6 +106,16 @@ def suggest_mode(frustrated: Column, errors: Column, is_struggling: Column, rapi
     return F.when(frustrated & (errors >= ERRORS), "high_contrast_focus").when(is_struggling | rapid, "focus").otherwise("standard")
 
 
+def mode_reason(frustrated: Column, errors: Column, is_struggling: Column, rapid: Column, engaged: Column, seconds: Column) -> Column:
+    """Why ``suggest_mode`` says so."""
+    high = F.concat(F.lit("High frustration + "), errors.cast("string"), F.lit(" errors"))
+    hard = F.concat(F.lit("User struggling (time: "), seconds.cast("string"), F.lit("s)"))
+    return (
+        F.when(frustrated & (errors >= ERRORS), high).when(is_struggling, hard).when(rapid, "Rapid clicking detected")
+        .when(engaged, "User engaged, maintaining standard mode").otherwise("Default mode selection")
+    )
+
+
 def signals(events: DataFrame, clicks: DataFrame, as_of_us: int) -> DataFrame:
     """All signals of each user with answers or clicks: urgency, confidence, reasons, mode."""
     no, none = F.lit(False), F.array().cast("array<string>")
@@ -105,15 +123,16 @@ def signals(events: DataFrame, clicks: DataFrame, as_of_us: int) -> DataFrame:
     both = answers.join(click_rates(clicks), "user_id", "full").withColumn("time_on_task", F.coalesce("time_on_task", F.lit(0)))
     rows = both.join(engagement(both), "user_id", "left").join(rapid_now(clicks), "user_id", "left")
     f, s, r = F.coalesce("is_frustrated", no), F.coalesce("is_struggling", no), F.coalesce("is_rapid_clicking", no)
-    errors = F.coalesce("consecutive_errors", F.lit(0))
+    errors, g = F.coalesce("consecutive_errors", F.lit(0)).cast("long"), F.coalesce("is_engaged", no)
+    seconds = F.col("time_on_task").cast("long")
     urgency = F.when(f & (errors >= ERRORS), "intervention").when(s, "attention").otherwise("none")
     zero = F.lit(0.0)
     top = F.greatest(F.coalesce("frustration_confidence", zero), F.coalesce("struggling_confidence", zero), F.coalesce("engagement_confidence", zero))
-    why = F.concat(*[F.coalesce(f"{k}_reasons", none) for k in ("frustration", "engagement", "struggling")])
+    why = F.concat(*[F.coalesce(f"{k}_reasons", none) for k in ("frustration", "engagement", "struggling")], F.array(mode_reason(f, errors, s, r, g, seconds)))
     ago = F.when(F.col("last_click_us").isNotNull(), F.floor((F.lit(as_of_us) - F.col("last_click_us")) / 1e6)).otherwise(0)
     return rows.select(
-        "user_id", f.alias("is_frustrated"), F.coalesce("is_engaged", no).alias("is_engaged"), s.alias("is_struggling"), r.alias("is_rapid_clicking"), errors.cast("long").alias("consecutive_errors"),
-        F.col("time_on_task").cast("long").alias("time_on_task_seconds"), ago.cast("long").alias("last_activity_seconds_ago"), urgency.alias("urgency"), top.alias("confidence"), why.alias("reasoning"),
+        "user_id", f.alias("is_frustrated"), g.alias("is_engaged"), s.alias("is_struggling"), r.alias("is_rapid_clicking"), errors.alias("consecutive_errors"),
+        seconds.alias("time_on_task_seconds"), ago.cast("long").alias("last_activity_seconds_ago"), urgency.alias("urgency"), top.alias("confidence"), why.alias("reasoning"),
         suggest_mode(f, errors, s, r).alias("suggested_mode"),
     )
 

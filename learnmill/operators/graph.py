@@ -12,10 +12,15 @@ from learnmill.functions.scalar import concept_id
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; one is set only where none is."""
+    """The session's shared checkpoint folder. Where none is set, a local session makes one of its own; on
+    a cluster that is an error, since executors and driver share no other folder."""
     context = spark.sparkContext
     made = context._jsc.sc().getCheckpointDir()
-    root = spark.conf.get("spark.checkpoint.dir", None) or (made.get() if made.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or (made.get() if made.isDefined() else None)
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not made.isDefined():
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -70,13 +75,15 @@ def cross_domain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("start_label", "start_domain", "edge_label", "end_label", "end_domain").distinct()
 
 
-def bfs(seeds: DataFrame, steps: DataFrame, max_depth: int) -> DataFrame:
+def bfs(seeds: DataFrame, steps: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, node, depth) of what each seed reaches over ``steps`` (src, dst), least depth, without
-    the seed itself. ``seeds`` has column ``seed``."""
+    the seed itself; to any depth if none is given. ``seeds`` has column ``seed``. What is kept has a row
+    for each seed and node reached: bound the seeds or the depth on graphs that hang together."""
     start = seeds.select("seed").distinct()
     seen = pinned(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node")).distinct()
         nxt = nxt.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = pinned(nxt)
@@ -108,14 +115,16 @@ def related(edges: DataFrame, seeds: DataFrame, max_distance: int = 2, kind: str
     return found.join(typed, ["seed", "node"], "left").where((F.col("depth") > 1) | F.col("typed")).drop("typed")
 
 
-def paths(pairs: DataFrame, steps: DataFrame, max_hops: int = 10) -> DataFrame:
+def paths(pairs: DataFrame, steps: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(a, b, path) of least hops, among equal ones the least sequence of ids; a = b is the path of
-    itself; pairs without a path are left out. A node is entered once from each start and goal."""
+    itself; pairs without a path, or without one of ``max_hops`` if that is given, are left out. A node
+    is entered once from each start and goal."""
     pairs = pairs.select("a", "b").distinct()
     frontier = pinned(pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")))
     found, seen = frontier.where("node = b"), frontier.select("a", "b", "node")
-    frontier = frontier.where("node <> b")
-    for _ in range(max_hops):
+    frontier, hops = frontier.where("node <> b"), 0
+    while max_hops is None or hops < max_hops:
+        hops += 1
         grown = frontier.join(steps, frontier["node"] == steps["src"]).select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         best = grown.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen, ["a", "b", "node"], "left_anti")
         now = pinned(best)
@@ -127,7 +136,7 @@ def paths(pairs: DataFrame, steps: DataFrame, max_hops: int = 10) -> DataFrame:
     return found.select("a", "b", "path")
 
 
-def learning_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 10) -> DataFrame:
+def learning_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     return paths(pairs, arrows(edges), max_hops)
 
 
@@ -182,7 +191,8 @@ def concepts_from_chunks(chunks: DataFrame) -> DataFrame:
 
 def cooccurrences(chunks: DataFrame, kind: str = "RELATED_TO", strength: float = 0.8) -> DataFrame:
     """(source_id, target_id, relationship_type, strength, chunk_id): pairs i < j of one chunk's
-    concepts, each once, from the first chunk that has it."""
+    concepts, each once, from the first chunk that has it. A chunk of n concepts has n squared pairs by
+    definition; chunks are bounded by their words (``text.MAX_WORDS``), and so are their concepts."""
     each = chunks.select("chunk_id", "seq", "book_id", F.posexplode("key_concepts").alias("pos", "raw")).where(F.length(F.trim("raw")) >= 3)
     ids = each.select("chunk_id", "seq", "pos", concept_id("book_id", F.regexp_replace("raw", "\n", " ")).alias("id"))
     a, b = ids.select("chunk_id", "seq", F.col("pos").alias("i"), F.col("id").alias("source_id")), ids.select("chunk_id", F.col("pos").alias("j"), F.col("id").alias("target_id"))
@@ -209,36 +219,53 @@ def add_relationships(nodes: DataFrame, new: DataFrame, key: str = "concept_id")
     return good.dropDuplicates(["source_id", "target_id", "relationship_type"]), new.join(has_a, "source_id", "left_anti").unionByName(new.join(has_a, "source_id", "left_semi").join(has_b, "target_id", "left_anti").select(new.columns))
 
 
-def least_labels(ids: DataFrame, steps: DataFrame, max_rounds: int = 100) -> DataFrame:
+def least_labels(ids: DataFrame, steps: DataFrame) -> DataFrame:
     """(node, label): the least id that reaches each node over ``steps``, itself included."""
-    now = pinned(ids.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    now, moved = pinned(ids.select("node", F.col("node").alias("label"))), True
+    while moved:
         sent = steps.join(now, steps["src"] == now["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
         nxt = pinned(now.join(sent, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("label"), (F.col("got") < F.col("label")).alias("moved")))
-        now = nxt.select("node", "label")
-        if nxt.where("moved").isEmpty():
-            break
+        now, moved = nxt.select("node", "label"), not nxt.where("moved").isEmpty()
     return now
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def weak_components(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least id of each node's weak component. Each round ties every node to the least
+    neighbour of its neighbours, so that a chain halves; rounds go on until nothing changes."""
+    e = edges.select(F.greatest("start_node_id", "end_node_id").alias("hi"), F.least("start_node_id", "end_node_id").alias("lo")).where("hi <> lo")
+    e, mark = pinned(e.distinct()), None
+    while True:
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
+        if now == mark:
+            break
+        mark = now
+        ends = e.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(e.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
+        least = pinned(ends.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("m")))
+        # the larger ends move to the least neighbour of the lower end, then all ends of a node to its least one
+        far = pinned(e.join(least, e["lo"] == least["n"]).select("hi", F.col("m").alias("lo")).distinct())
+        own = pinned(far.groupBy("hi").agg(F.min("lo").alias("m")))
+        rest = far.join(own, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        e = pinned(rest.unionByName(own.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
+    return ids.select("node").join(e, F.col("node") == F.col("hi"), "left").select("node", F.coalesce("lo", "node").alias("label"))
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) by forward colours and backward reach, after nodes without edges in or out
-    are taken off; each round settles the component of every colour."""
-    left, e, done = pinned(nodes.select(F.col("node_id").alias("node")).distinct()), pinned(arrows(edges).where("src <> dst")), None
-    for _ in range(max_rounds):
+    are taken off; each round settles the component of every colour, until no node is left."""
+    left, e = pinned(nodes.select(F.col("node_id").alias("node")).distinct()), pinned(arrows(edges).where("src <> dst"))
+    done = left.select("node", F.col("node").alias("component")).where("false")
+    while not left.isEmpty():
         ends = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node")
         alone = left.join(ends, "node", "left_anti").select("node", F.col("node").alias("component"))
         core = pinned(left.join(ends, "node"))
         colour = least_labels(core, e.join(core.withColumnRenamed("node", "src"), "src").join(core.withColumnRenamed("node", "dst"), "dst"))
         inside = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst").where("ls = ld")
         roots = colour.where("node = label").select(F.col("node").alias("seed"))
-        back = bfs(roots, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), 1000)
+        back = bfs(roots, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         settled = back.select("node", F.col("seed").alias("component")).unionByName(roots.select(F.col("seed").alias("node"), F.col("seed").alias("component")))
         settled = pinned(alone.unionByName(settled))
-        done = settled if done is None else done.unionByName(settled)
+        done = done.unionByName(settled)
         left = pinned(left.join(settled.select("node"), "node", "left_anti"))
-        if left.isEmpty():
-            break
         e = pinned(e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
     return done
 
@@ -248,7 +275,7 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n, m = nodes.select("node_id").distinct().count(), edges.count()
     pairs = arrows(edges).count()
     ids = nodes.select(F.col("node_id").alias("node")).distinct()
-    weak = least_labels(ids, both_ways(edges).select("src", "dst").distinct()).select("label").distinct().count()
+    weak = weak_components(ids, edges).select("label").distinct().count()
     strong = strong_components(nodes, edges).select("component").distinct().count() if n else 0
     row = (n, m, pairs / (n * (n - 1)) if n > 1 else 0.0, weak == 1, strong)
     return nodes.sparkSession.createDataFrame([row], "nodes long, relationships long, density double, weakly_connected boolean, strong_components long")
@@ -280,16 +307,17 @@ def word_groups(n: int):
     return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
 
 
-def concepts_in_text(messages: DataFrame, concepts: DataFrame, ident: str = "message_id", text: str = "message", name: str = "label", longest: int = 4) -> DataFrame:
-    """(message, concept) pairs where the concept's name stands in the message as whole words: word
-    groups up to ``longest`` words are joined with the names, no row meets every other."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    rows = messages.select(ident, words.alias("w"))
-    groups = [word_groups(n) for n in range(1, longest + 1)]
-    safe = [F.when(F.size("w") >= n, g).otherwise(F.array().cast("array<string>")) for n, g in enumerate(groups, 1)]
-    spread = rows.select(ident, F.explode(F.array_distinct(F.concat(*safe))).alias("key"))
-    key = F.array_join(F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), " ")
-    return spread.join(concepts.select(key.alias("key"), F.col(name).alias("concept")).where("key <> ''").distinct(), "key").select(ident, "concept").distinct()
+def concepts_in_text(messages: DataFrame, concepts: DataFrame, ident: str = "message_id", text: str = "message", name: str = "label") -> DataFrame:
+    """(message, concept) pairs where the concept's name stands in the message as whole words. Messages
+    are spread to word groups as long as the longest name and joined with the names; no row meets every
+    other."""
+    cut = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    names = concepts.select(cut(F.col(name)).alias("w"), F.col(name).alias("concept")).where(F.size("w") > 0)
+    sizes = [r[0] for r in names.select(F.size("w")).distinct().collect()]
+    rows = messages.select(ident, cut(F.col(text)).alias("w"))
+    groups = [F.when(F.size("w") >= n, word_groups(n)).otherwise(F.array().cast("array<string>")) for n in sorted(sizes) or [1]]
+    spread = rows.select(ident, F.explode(F.array_distinct(F.concat(*groups))).alias("key"))
+    return spread.join(names.select(F.array_join("w", " ").alias("key"), "concept").distinct(), "key").select(ident, "concept").distinct()
 
 
 def best_of_seeds(rows: DataFrame, k: int, key: str = "message_id", name: str = "name", order=("seed_rank", "place")) -> DataFrame:

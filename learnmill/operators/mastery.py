@@ -53,29 +53,44 @@ def needs_intervention(p: Column, attempts: Column, wrong_in_a_row: Column) -> C
     return (p < 0.6) & (attempts > 3) & (wrong_in_a_row >= 2)
 
 
+STATE = "probability_mastery double, total_attempts long, correct_attempts long, consecutive_correct long, consecutive_incorrect long, last_attempt_us long"
+
+
 def rule_states(events: DataFrame) -> DataFrame:
     """State of each (user, skill) by the simple rule: +.1 or -.05 an answer, kept in [0, 1].
 
-    One shuffle by key; a key's answers are folded in order of (timestamp, event_id) in one array.
+    The events are dealt by key and sorted by (timestamp, event_id); a task walks through them once and
+    holds one state, so a key of any length takes no memory.
     """
-    rows = events.select(*KEY, F.struct(micros("timestamp").alias("us"), "event_id", "is_correct", "attempts").alias("e"))
-    grouped = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    zero = F.struct(F.lit(START).alias("p"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("ok"), F.lit(0).cast("long").alias("right"), F.lit(0).cast("long").alias("wrong"), F.lit(0).cast("long").alias("us"))
-
-    def step(s: Column, e: Column) -> Column:
-        hit = e["is_correct"]
-        p = F.when(hit, F.least(F.lit(1.0), s["p"] + F.lit(0.1))).otherwise(F.greatest(F.lit(0.0), s["p"] - F.lit(0.05)))
-        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-        return F.struct(
-            p.alias("p"), (s["n"] + e["attempts"]).cast("long").alias("n"), (s["ok"] + F.when(hit, one).otherwise(none)).alias("ok"),
-            F.when(hit, s["right"] + 1).otherwise(none).alias("right"), F.when(hit, none).otherwise(s["wrong"] + 1).alias("wrong"), e["us"].alias("us"),
-        )
-
-    done = grouped.select(*KEY, F.aggregate("es", zero, step).alias("s"))
-    return done.select(
-        *KEY, F.col("s.p").alias("probability_mastery"), F.col("s.n").alias("total_attempts"), F.col("s.ok").alias("correct_attempts"),
-        F.col("s.right").alias("consecutive_correct"), F.col("s.wrong").alias("consecutive_incorrect"), F.col("s.us").alias("last_attempt_us"),
-    )
+    rows = events.select(*KEY, micros("timestamp").alias("us"), "event_id", "is_correct", F.col("attempts").cast("long").alias("attempts"))
+    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "us", "event_id").drop("event_id")
+    names = [*KEY, *(x.split()[0] for x in STATE.split(", "))]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, kinds = None, None, None
+        for b in batches:
+            kinds = b.schema.types[:2]
+            out = []
+            for user, skill, us, hit, attempts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (user, skill) != key or state is None:
+                    if state is not None:
+                        out.append((*key, *state))
+                    key, state = (user, skill), (START, 0, 0, 0, 0, None)
+                p, n, ok, right, wrong, _ = state
+                n += attempts or 0
+                state = (min(1.0, p + 0.1), n, ok + 1, right + 1, 0, us) if hit else (max(0.0, p - 0.05), n, ok, 0, wrong + 1, us)
+            if out:
+                yield _batch(out, kinds, names)
+        if state is not None:
+            yield _batch([(*key, *state)], kinds, names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in KEY}
+    return rows.mapInArrow(walk, f"user_id {kinds['user_id']}, skill_id {kinds['skill_id']}, {STATE}")
+
+
+def _batch(rows: list[tuple], keys: list, names: list[str]) -> pa.RecordBatch:
+    kinds = [*keys, pa.float64(), *[pa.int64()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 TRAJECTORY = (

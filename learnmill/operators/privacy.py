@@ -12,30 +12,31 @@ from pyspark.sql import types as T
 from learnmill.functions.scalar import col
 
 # Kind, confidence, label, patterns (as Java regular expressions).
-STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|Place|Pl"
-BYTE = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 RULES = (
     ("email", 0.95, "[EMAIL]", (r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",)),
     ("phone", 0.85, "[PHONE]", (r"\(\d{3}\)\s*\d{3}[-.\s]?\d{4}", r"\d{3}[-.\s]\d{3}[-.\s]\d{4}", r"\b\d{10}\b", r"\b1?\d{10}\b")),
     ("ssn", 0.90, "[SSN]", (r"\b\d{3}-\d{2}-\d{4}\b",)),
     ("credit_card", 0.80, "[CREDIT_CARD]", (r"\b4\d{3}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", r"\b5[1-5]\d{2}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b", r"\b3[47]\d{2}[-\s]?\d{6}[-\s]?\d{5}\b")),
-    ("ip_address", 0.75, "[IP]", (rf"\b(?:{BYTE}\.){{3}}{BYTE}\b",)),
+    ("ip_address", 0.75, "[IP]", (r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b",)),
     (
         "date_of_birth", 0.60, "[DATE]",
         (r"\b(?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])[-/](?:19|20)\d{2}\b", r"\b(?:0[1-9]|[12]\d|3[01])[-/](?:0[1-9]|1[0-2])[-/](?:19|20)\d{2}\b", r"\b(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b"),
     ),
-    ("address", 0.55, "[ADDRESS]", (rf"(?i)\b\d+\s+[A-Z][a-z]+\s+(?:{STREETS})\b",)),
+    ("address", 0.55, "[ADDRESS]", (r"(?i)\b\d+\s+[A-Z][a-z]+\s+(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|Place|Pl)\b",)),
     ("url", 0.90, "[URL]", (r"(?i)https?://(?:www\.)?[A-Za-z0-9-]+\.[A-Za-z]{2,}(?:/\S*)?",)),
     ("username", 0.65, "[USERNAME]", (r"@[A-Za-z0-9_]{3,15}", r"(?i)\b[A-Za-z0-9_]{3,15}\s+(?:said|wrote|commented)")),
 )
 NAME_CONTEXT = (r"(?i)(\b(?:my name is|i am|i'm|call me|this is)\s+)([A-Z][a-z]+)", r"(?i)(\b(?:mr\.|mrs\.|ms\.|dr\.|prof\.)\s+)([A-Z][a-z]+)")
-FIRST_NAMES = (
-    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony donald mark paul steven andrew kenneth joshua kevin brian "
-    "george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel raymond gregory frank alexander "
-    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle dorothy carol amanda melissa "
-    "deborah stephanie rebecca sharon laura cynthia kathleen amy angela shirley anna brenda pamela emma olivia cassandra sophia isabella charlotte mia amelia harper evelyn "
-    "abigail samantha max henry noah"
-).split()
+# First names.
+FIRST_NAMES = frozenset((
+    "james", "john", "robert", "michael", "william", "david", "richard", "joseph", "thomas", "charles", "christopher", "daniel", "matthew", "anthony", "donald", "mark",
+    "paul", "steven", "andrew", "kenneth", "joshua", "kevin", "brian", "george", "edward", "ronald", "timothy", "jason", "jeffrey", "ryan", "jacob", "gary", "nicholas",
+    "eric", "jonathan", "stephen", "larry", "justin", "scott", "brandon", "benjamin", "samuel", "raymond", "gregory", "frank", "alexander", "mary", "patricia",
+    "jennifer", "linda", "elizabeth", "barbara", "susan", "jessica", "sarah", "karen", "nancy", "lisa", "betty", "margaret", "sandra", "ashley", "kimberly", "emily",
+    "donna", "michelle", "dorothy", "carol", "amanda", "melissa", "deborah", "stephanie", "rebecca", "sharon", "laura", "cynthia", "kathleen", "amy", "angela",
+    "shirley", "anna", "brenda", "pamela", "emma", "olivia", "cassandra", "sophia", "isabella", "charlotte", "mia", "amelia", "harper", "evelyn", "abigail", "samantha",
+    "max", "henry", "noah",
+))
 SAFE_BELOW = 0.70
 ENTITY = "array<struct<start:int,end:int,type:string,confidence:double,label:string,text:string>>"
 
@@ -48,9 +49,16 @@ ENTITY_TYPE = T.ArrayType(
 )
 
 
+#: What a text must hold for a kind's patterns to match at all; a text without it is not searched for them.
+NEEDS = {
+    "email": re.compile("@"), "phone": re.compile(r"\d{3}"), "ssn": re.compile(r"\d-\d{2}-\d"), "credit_card": re.compile(r"\d{4}"), "ip_address": re.compile(r"\d\.\d"),
+    "date_of_birth": re.compile(r"\d[-/]\d"), "address": re.compile(r"\d\s"), "url": re.compile("(?i)http"), "username": re.compile("(?i)@|said|wrote|commented"),
+}
+
+
 def found_in(text: str, rules, contexts) -> list[tuple]:
     """(start, end, type, confidence, label, text) of all matches of a text, before overlaps."""
-    out = [(m.start(), m.end(), kind, sure, label, m[0]) for kind, sure, label, patterns in rules for p in patterns for m in p.finditer(text)]
+    out = [(m.start(), m.end(), kind, sure, label, m[0]) for kind, sure, label, patterns in rules if NEEDS[kind].search(text) for p in patterns for m in p.finditer(text)]
     for p in contexts:
         out += [(m.start(2), m.end(2), "name", 0.50, "[NAME]", m[2]) for m in p.finditer(text) if m[2].lower() in FIRST_NAMES]
     return out
@@ -123,13 +131,14 @@ def pii_counts(df: DataFrame, key: str, text: str = "text", kinds=None) -> DataF
 
 
 def pattern_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Matches of each kind's patterns in each text, before overlaps are resolved."""
+    """Matches of each kind's patterns in each text, before overlaps are resolved. Digits, words and
+    spaces are those of Unicode, as in ``entities``."""
     counts = []
     for kind, _, _, patterns in RULES:
         total = F.lit(0)
         for p in patterns:
-            total = total + F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(p))
-        counts.append(total.cast("long").alias(kind))
+            total = total + F.regexp_count(col(text), F.lit("(?U)" + p))
+        counts.append(F.when(col(text).rlike("(?U)" + NEEDS[kind].pattern), total).otherwise(0).cast("long").alias(kind))
     return df.select(key, *counts)
 
 

@@ -21,11 +21,12 @@ def learning_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def skills(spark: SparkSession) -> DataFrame:
-    k = F.col("id")
-    return spark.range(9).select(
-        F.concat(F.lit("skill_"), k.cast("string")).alias("skill_id"), F.concat(F.lit("Skill "), k.cast("string")).alias("skill_name"),
-        F.when(k % 2 == 0, "biology").otherwise("physics").alias("subject"), (k % 4 + 6).alias("grade_level"),
+def skills(spark: SparkSession, d: str) -> DataFrame:
+    """The skills named in the events' props, one of which no answer has."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 9
+    return table(spark, d, "events").select(k.alias("k")).where("k is not null").distinct().select(
+        F.concat(F.lit("skill_"), F.col("k").cast("string")).alias("skill_id"), F.concat(F.lit("Skill "), F.col("k").cast("string")).alias("skill_name"),
+        F.when(F.col("k") % 2 == 0, "biology").otherwise("physics").alias("subject"), (F.col("k") % 4 + 6).alias("grade_level"),
     )
 
 
@@ -47,7 +48,7 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    i, text = F.col("doc_id"), F.substring("text", 1, 200)
+    i, text = F.col("doc_id"), F.col("text")
     source = F.when(i % 3 == 0, "sciq").when(i % 3 == 1, "science_bowl").otherwise("opentdb")
     level = F.when(i % 4 == 0, "easy").when(i % 4 == 2, "hard").otherwise("medium")
     return table(spark, d, "documents").select(i.alias("question_id"), text.alias("question_text"), source.alias("source"), level.alias("difficulty"), Q.subject_by_votes(text).alias("subject"), Q.topic(text).alias("topic"))
@@ -68,7 +69,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
     one = lines.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("a"))
     two = lines.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("b"))
-    pairs = one.join(two, "l_orderkey").where("a <> b and a % 3 = 0").select("a", "b").distinct()
+    pairs = one.join(two, "l_orderkey").where("a <> b").select("a", "b").distinct()
     return pairs.select(
         F.lit("parts").alias("graph_name"), (F.col("a") * 1000000 + F.col("b")).alias("edge_id"), F.col("a").alias("start_node_id"), F.col("b").alias("end_node_id"),
         F.when(F.col("a") < F.col("b"), "RELATED_TO").otherwise("PREREQUISITE").alias("edge_label"),
@@ -102,7 +103,8 @@ CTES = {
     "le": """select event_id, user_id, 'skill_' || (k % 8) as skill_id, event_type not in ('error', 'signup') as is_correct, 1 + event_id % 3 as attempts,
         floor(value)::bigint as time_spent_seconds, ts as timestamp, epoch_us(ts) as us
       from (select *, regexp_extract(props, '([0-9]+)', 1)::bigint as k from events)""",
-    "skills": """select 'skill_' || k as skill_id, 'Skill ' || k as skill_name, case when k % 2 = 0 then 'biology' else 'physics' end as subject, 6 + k % 4 as grade_level from range(9) t(k)""",
+    "skills": """select 'skill_' || k as skill_id, 'Skill ' || k as skill_name, case when k % 2 = 0 then 'biology' else 'physics' end as subject, 6 + k % 4 as grade_level
+      from (select distinct regexp_extract(props, '([0-9]+)', 1)::bigint % 9 as k from events) where k is not null""",
     "seq": "select *, row_number() over (partition by user_id, skill_id order by us, event_id) as rn from le",
     "fold(user_id, skill_id, rn, p, n, ok, r, w, us)": """
       select user_id, skill_id, rn, case when is_correct then 0.5::double + 0.1::double else 0.5::double - 0.05::double end, attempts::bigint, is_correct::bigint, is_correct::bigint, (not is_correct)::bigint, us from seq where rn = 1
@@ -116,14 +118,14 @@ CTES = {
     "chunks": """select doc_id as chunk_id, source as book_id, source || '-chapter-' || (doc_id % 10) as chapter_id, text as content, label::varchar as subject, 6 + doc_id % 4 as grade_level, embedding
       from documents join embeddings on doc_id = vec_id""",
     "qv": "select vec_id as query_id, embedding as query from embeddings where vec_id % 50 = 0",
-    "q0": """select doc_id as question_id, left(text, 200) as question_text, case doc_id % 3 when 0 then 'sciq' when 1 then 'science_bowl' else 'opentdb' end as source,
+    "q0": """select doc_id as question_id, text as question_text, case doc_id % 3 when 0 then 'sciq' when 1 then 'science_bowl' else 'opentdb' end as source,
       case doc_id % 4 when 0 then 'easy' when 2 then 'hard' else 'medium' end as difficulty from documents""",
     "questions": f"""select *, case when {_BIO} >= {_CHEM} and {_BIO} >= {_PHYS} then 'Biology' when {_CHEM} >= {_PHYS} then 'Chemistry' else 'Physics' end as subject,
       {ladder("lower(question_text)", Q.TOPICS, "null")} as topic from q0""",
     "messages": "select conv_id * 1000 + turn as message_id, conv_id as user_id, text as message from conversations where role = 'user'",
     "nodes": "select 'parts' as graph_name, p_partkey as node_id, 'part_' || p_partkey as label, p_brand as domain from part",
     "edges": """select 'parts' as graph_name, a * 1000000 + b as edge_id, a as start_node_id, b as end_node_id, case when a < b then 'RELATED_TO' else 'PREREQUISITE' end as edge_label
-      from (select distinct x.l_partkey as a, y.l_partkey as b from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_linenumber = 1 and y.l_linenumber = 2) where a <> b and a % 3 = 0""",
+      from (select distinct x.l_partkey as a, y.l_partkey as b from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_linenumber = 1 and y.l_linenumber = 2) where a <> b""",
     "links": """select chunk_id, node_id, 1.0::double / (1 + node_id % 4) as relevance from (
       select chunk_id, chunk_id % 50 as node_id from chunks where chunk_id % 7 <> 0 union all select chunk_id, chunk_id % 30 + 50 from chunks where chunk_id % 7 <> 0)""",
 }

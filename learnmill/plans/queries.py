@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmill.functions import scalar as X
@@ -21,20 +19,7 @@ from learnmill.sources import io
 from learnmill.streaming import streams as S
 
 from . import fixtures as V
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = V.sql(sql)
-        return f
-
-    return put
-
+from .registry import ORACLES, QUERIES, query, rounded  # noqa: F401
 
 def states(spark, d) -> DataFrame:
     return M.rule_states(V.learning_events(spark, d))
@@ -47,10 +32,6 @@ OVERVIEW = """select user_id, count(*) as total_skills, count(*) filter (probabi
 CARDS = f"select *, case when struggling_count > 0 then 'STRUGGLING' when avg_mastery > 0.85 then 'MASTERED' else 'LEARNING' end as overall_status from ({OVERVIEW})"
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 9) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
-
-
 # mastery ------------------------------------------------------------------------------------------
 
 
@@ -119,19 +100,19 @@ def m2_reset(spark, d):
 @query("""select st.user_id, st.skill_id, skill_name, subject, grade_level, probability_mastery, total_attempts, consecutive_incorrect, last_attempt_us
   from st join skills using (skill_id) where probability_mastery < 0.6 and total_attempts > 3 and consecutive_incorrect >= 2""")
 def m7_intervention_list(spark, d):
-    return M.intervention_list(states(spark, d), V.skills(spark))
+    return M.intervention_list(states(spark, d), V.skills(spark, d))
 
 
 @query(f"select user_id, skill_id, skill_name, probability_mastery, total_attempts, correct_attempts, {STATUS} as status, {ACTION} as suggested_action, least(1.0::double, total_attempts / 10.0::double) as confidence, last_attempt_us from st join skills using (skill_id)")
 def m8_student_report(spark, d):
-    return M.student_report(states(spark, d), V.skills(spark))
+    return M.student_report(states(spark, d), V.skills(spark, d))
 
 
 @query("""select skill_id, skill_name, subject, grade_level, count(distinct user_id) as total_students, count(distinct user_id) filter (probability_mastery > 0.9) as mastered_count,
   count(distinct user_id) filter (probability_mastery < 0.6 and total_attempts > 3) as struggling_count, round(avg(probability_mastery), 9) as avg_mastery, round(avg(total_attempts), 9) as avg_attempts
   from skills left join st using (skill_id) group by all""")
 def a2_skill_summary(spark, d):
-    return rounded(M.skill_summary(V.skills(spark), states(spark, d)), "avg_mastery", "avg_attempts")
+    return rounded(M.skill_summary(V.skills(spark, d), states(spark, d)), "avg_mastery", "avg_attempts")
 
 
 @query(f"select user_id, count(*) filter (s = 'MASTERED') as mastered, count(*) filter (s = 'LEARNING') as learning, count(*) filter (s = 'STRUGGLING') as struggling from (select user_id, {STATUS} as s from st) group by user_id")
@@ -171,17 +152,17 @@ def f12_needs_intervention(spark, d):
 
 @query("select skill_id, skill_name, subject, grade_level from skills where subject = 'biology' and grade_level = 6")
 def f6_list_skills(spark, d):
-    return Q.where_equal(V.skills(spark), subject="biology", grade_level=6)
+    return Q.where_equal(V.skills(spark, d), subject="biology", grade_level=6)
 
 
 @query("select st.user_id, skill_id, skill_name, probability_mastery from st join skills using (skill_id)")
 def j1_states_with_skills(spark, d):
-    return states(spark, d).join(F.broadcast(V.skills(spark)), "skill_id").select("user_id", "skill_id", "skill_name", "probability_mastery")
+    return states(spark, d).join(F.broadcast(V.skills(spark, d)), "skill_id").select("user_id", "skill_id", "skill_name", "probability_mastery")
 
 
 @query("select skill_id, user_id from skills left join st using (skill_id)")
 def j2_skills_with_students(spark, d):
-    return V.skills(spark).join(states(spark, d), "skill_id", "left").select("skill_id", "user_id")
+    return V.skills(spark, d).join(states(spark, d), "skill_id", "left").select("skill_id", "user_id")
 
 
 @query("select user_id, skill_id, last_attempt_us, rank::int as rank from (select *, row_number() over (order by last_attempt_us desc, user_id, skill_id) as rank from st) where rank <= 50")
@@ -247,34 +228,54 @@ def f9_denied(spark, d):
 # behaviour ----------------------------------------------------------------------------------------
 
 LAST = "select *, row_number() over (partition by user_id order by us desc, event_id desc) as rn from le"
-FRUSTRATION = f"""select user_id, s >= 0.5 as is_frustrated, round(least(s, 1.0), 6) as frustration_confidence from (
-  select user_id, (case when streak >= 3 then 0.5 else 0 end + case when rapid >= 3 then 0.3 else 0 end + case when long > 0 then 0.3 else 0 end)::double as s from (
+
+
+def reasons(*cases: str) -> str:
+    return f"list_filter([{', '.join(cases)}]::varchar[], lambda x: x is not null)"
+
+
+FRUSTRATION = f"""select user_id, s >= 0.5 as is_frustrated, round(least(s, 1.0), 6) as frustration_confidence, frustration_reasons from (
+  select user_id, (case when streak >= 3 then 0.5 else 0 end + case when rapid >= 3 then 0.3 else 0 end + case when long > 0 then 0.3 else 0 end)::double as s,
+    {reasons("case when streak >= 3 then streak || ' consecutive errors detected' end", "case when rapid >= 3 then rapid || ' rapid failures (<10s each)' end", "case when long > 0 then long || ' long struggles (>2min)' end")} as frustration_reasons from (
     select user_id, coalesce(min(rn) filter (is_correct) - 1, count(*)) as streak, count(*) filter (not is_correct and rn <= 5 and time_spent_seconds < 10) as rapid, count(*) filter (not is_correct and time_spent_seconds > 120) as long
     from ({LAST}) where rn <= 10 group by user_id))"""
-STRUGGLING = f"""select user_id, s >= 0.5 as is_struggling, round(least(s, 1.0), 6) as struggling_confidence from (
-  select a.user_id, (case when errors >= 3 then 0.4 else 0 end + case when t > 120 then 0.5 else 0 end + 0.3 * loops)::double as s from
+STRUGGLING = f"""select user_id, s >= 0.5 as is_struggling, round(least(s, 1.0), 6) as struggling_confidence, struggling_reasons, t from (
+  select a.user_id, t, (case when errors >= 3 then 0.4 else 0 end + case when t > 120 then 0.5 else 0 end + case when loop is not null then 0.3 else 0 end)::double as s,
+    {reasons("case when errors >= 3 then errors || '/5 recent attempts incorrect' end", "case when t > 120 then 'Long time on task: ' || t || 's' end", "'Retry loop on ' || loop || ' attempts'")} as struggling_reasons from
     (select user_id, count(*) filter (not is_correct) as errors, max(time_spent_seconds) filter (rn = 1) as t from ({LAST}) where rn <= 5 group by user_id) a join
-    (select user_id, count(*) filter (n >= 3) as loops from (select user_id, skill_id, count(*) as n from ({LAST}) where rn <= 5 group by all) group by user_id) b on a.user_id = b.user_id)"""
+    (select user_id, max(skill_id || ': ' || n) filter (n >= 3) as loop from (select user_id, skill_id, count(*) as n from ({LAST}) where rn <= 5 group by all) group by user_id) b on a.user_id = b.user_id)"""
 
 
 @query(FRUSTRATION)
 def b1_frustration(spark, d):
-    return rounded(B.frustration(V.learning_events(spark, d)).select("user_id", "is_frustrated", "frustration_confidence"), "frustration_confidence", places=6)
+    return rounded(B.frustration(V.learning_events(spark, d)), "frustration_confidence", places=6)
 
 
 RATES = "select user_id, count(*) as clicks, case when max(us) > min(us) then count(*) / ((max(us) - min(us)) / 1e6) * 60 end as per_minute, count(distinct element_id) as elements, max(us) as last_click_us from clicks group by user_id"
 
 
-@query(f"""select user_id, s >= 0.4 as is_engaged, round(greatest(0, least(s, 1)), 6) as engagement_confidence from (
-  select user_id, (case when per_minute between 0.0005 and 0.003 then 0.3 else 0 end + 0.4 + case when elements >= 3 then 0.3 else 0 end)::double as s from ({RATES}))""")
+def engaged(rows: str, low: float, high: float) -> str:
+    """Engagement of ``rows`` (user_id, per_minute, elements, t)."""
+    good, calm, wild = f"coalesce(per_minute between {low} and {high}, false)", "t between 30 and 600", "coalesce(per_minute > 50, false)"
+    why = reasons(
+        f"case when {wild} then printf('Very high click rate: %.1f/min (indicates frustration)', per_minute) when {good} then printf('Healthy click rate: %.1f/min', per_minute) end",
+        f"case when {wild} then null when {calm} then 'Good time on task: ' || t || 's' when t > 600 then 'Long time on task: ' || t || 's (may indicate struggle)' end",
+        f"case when not {wild} and coalesce(elements >= 3, false) then 'Diverse interactions: ' || elements || ' different elements' end",
+    )
+    return f"""select user_id, not wild and s >= 0.4 as is_engaged, round(greatest(0, least(s, 1)), 6)::double as engagement_confidence, engagement_reasons from (
+      select user_id, {wild} as wild, case when {wild} then 0 else case when {good} then 0.3 else 0 end + case when {calm} then 0.4 when t > 600 then -0.2 else 0 end + case when coalesce(elements >= 3, false) then 0.3 else 0 end end::double as s,
+        {why} as engagement_reasons from ({rows}))"""
+
+
+@query(engaged(f"select *, 60 as t from ({RATES})", 0.0005, 0.003))
 def b2_engagement(spark, d):
     rates = B.click_rates(V.clicks(spark, d)).withColumn("time_on_task", F.lit(60))
-    return rounded(B.engagement(rates, 0.0005, 0.003, 50.0).select("user_id", "is_engaged", "engagement_confidence"), "engagement_confidence", places=6)
+    return rounded(B.engagement(rates, 0.0005, 0.003, 50.0), "engagement_confidence", places=6)
 
 
-@query(STRUGGLING)
+@query(f"select * exclude (t), t as time_on_task from ({STRUGGLING})")
 def b3_struggling(spark, d):
-    return rounded(B.struggling(V.learning_events(spark, d)).select("user_id", "is_struggling", "struggling_confidence"), "struggling_confidence", places=6)
+    return rounded(B.struggling(V.learning_events(spark, d)), "struggling_confidence", places=6)
 
 
 @query("""select event_id, user_id, round(least(1.0, 0.7 + 0.3 * (1 - span / 400000.0)), 6)::double as confidence from (
@@ -303,22 +304,31 @@ def a19_retry_counts(spark, d):
     return B.retry_counts(V.learning_events(spark, d))
 
 
-SIGNALS = f"""select user_id, coalesce(is_frustrated, false) as is_frustrated, coalesce(is_struggling, false) as is_struggling, coalesce(e, 0) as consecutive_errors,
-  case when coalesce(is_frustrated, false) and e >= 3 then 'intervention' when coalesce(is_struggling, false) then 'attention' else 'none' end as urgency,
-  case when coalesce(is_frustrated, false) and e >= 3 then 'high_contrast_focus' when coalesce(is_struggling, false) then 'focus' else 'standard' end as suggested_mode
-  from ({FRUSTRATION}) full join ({STRUGGLING}) using (user_id) full join (select user_id, count(*) filter (c is null or us > c) as e from (select *, max(us) filter (is_correct) over (partition by user_id) as c from le) group by user_id) using (user_id)
-    full join (select distinct user_id from clicks) using (user_id)"""
+SIGNALS = f"""select user_id, is_frustrated, is_engaged, is_struggling, is_rapid_clicking, e as consecutive_errors, t as time_on_task_seconds, ago as last_activity_seconds_ago,
+  case when high then 'intervention' when is_struggling then 'attention' else 'none' end as urgency, confidence,
+  list_concat(reasoning, [case when high then 'High frustration + ' || e || ' errors' when is_struggling then 'User struggling (time: ' || t || 's)' when is_rapid_clicking then 'Rapid clicking detected'
+    when is_engaged then 'User engaged, maintaining standard mode' else 'Default mode selection' end]) as reasoning,
+  case when high then 'high_contrast_focus' when is_struggling or is_rapid_clicking then 'focus' else 'standard' end as suggested_mode
+  from (select user_id, coalesce(is_frustrated, false) as is_frustrated, coalesce(is_engaged, false) as is_engaged, coalesce(is_struggling, false) as is_struggling, coalesce(rapid, false) as is_rapid_clicking, coalesce(e, 0) as e, coalesce(t, 0)::bigint as t,
+      coalesce(((1706745600000000 - last_click_us) // 1000000)::bigint, 0) as ago, coalesce(is_frustrated, false) and coalesce(e, 0) >= 3 as high,
+      greatest(coalesce(frustration_confidence, 0), coalesce(struggling_confidence, 0), coalesce(engagement_confidence, 0))::double as confidence,
+      list_concat(list_concat(coalesce(frustration_reasons, []::varchar[]), coalesce(engagement_reasons, []::varchar[])), coalesce(struggling_reasons, []::varchar[])) as reasoning
+    from ({FRUSTRATION}) full join ({STRUGGLING}) using (user_id) full join (select user_id, count(*) filter (c is null or us > c) as e from (select *, max(us) filter (is_correct) over (partition by user_id) as c from le) group by user_id) using (user_id)
+      full join ({RATES}) using (user_id)
+      left join ({engaged(f"select user_id, per_minute, elements, coalesce(t, 0) as t from ({STRUGGLING}) full join ({RATES}) using (user_id)", 5, 30)}) using (user_id)
+      left join (select user_id, count(*) = 5 and max(us) - min(us) <= 2000000 as rapid from (select *, row_number() over (partition by user_id order by us desc, event_id desc) as rn from clicks) where rn <= 5 group by user_id) using (user_id))"""
 
 
 @query(SIGNALS)
 def b5_b6_signals(spark, d):
-    return B.signals(V.learning_events(spark, d), V.clicks(spark, d), 1706745600000000).select("user_id", "is_frustrated", "is_struggling", "consecutive_errors", "urgency", "suggested_mode")
+    return rounded(B.signals(V.learning_events(spark, d), V.clicks(spark, d), 1706745600000000), "confidence", places=6)
 
 
-@query()
+@query(f"""select user_id, 'standard' as current_mode, suggested_mode, urgency, confidence, case when confidence < 0.5 then 'standard' when urgency = 'intervention' then 'intervention' when suggested_mode <> 'standard' then suggested_mode
+  when is_frustrated then 'focus' when consecutive_errors >= 3 or time_on_task_seconds >= 120 or is_frustrated then 'high_contrast_focus' when not is_engaged then 'simplified' when is_struggling then 'step_by_step' else 'standard' end as mode from ({SIGNALS})""")
 def b7_decide_mode(spark, d):
     rows = B.signals(V.learning_events(spark, d), V.clicks(spark, d), 1706745600000000).withColumn("current_mode", F.lit("standard"))
-    return B.decide_mode(rows).select("user_id", "current_mode", "suggested_mode", "urgency", "confidence", "mode")
+    return rounded(B.decide_mode(rows).select("user_id", "current_mode", "suggested_mode", "urgency", "confidence", "mode"), "confidence", places=6)
 
 
 @query("""select event_id, user_id, m as mode, p as from_mode from (select *, lag(m) over (partition by user_id order by us, event_id) as p from (
@@ -331,12 +341,14 @@ def b8_mode_history(spark, d):
 
 
 UPTO = "us <= 1705000000000000"
-B9 = SIGNALS.replace("from le", f"from (select * from le where {UPTO} qualify row_number() over (partition by user_id order by us desc, event_id desc) <= 20)").replace("from clicks", f"from (select * from clicks where {UPTO})")
+B9 = SIGNALS.replace("from le", f"from (select * from le where {UPTO} qualify row_number() over (partition by user_id order by us desc, event_id desc) <= 20)").replace(
+    "from clicks", f"from (select * from clicks where {UPTO} qualify row_number() over (partition by user_id order by us desc, event_id desc) <= 50)"
+).replace("1706745600000000", "1705000000000000")
 
 
 @query(B9)
 def b9_behavioral_status(spark, d):
-    return B.behavioral_status(V.learning_events(spark, d), V.clicks(spark, d), 1705000000000000).select("user_id", "is_frustrated", "is_struggling", "consecutive_errors", "urgency", "suggested_mode")
+    return rounded(B.behavioral_status(V.learning_events(spark, d), V.clicks(spark, d), 1705000000000000), "confidence", places=6)
 
 
 @query("""select event_id, user_id, round(g, 6) as gap_seconds, case when g is null then 'abandonment' else 'long_pause' end as kind from (
@@ -374,9 +386,9 @@ def f5_search_concepts(spark, d):
     return Q.search(G.nodes_in_domain(V.nodes(spark, d), "Brand#23"), "1", ["label"], 5, "node_id").select("node_id", "label")
 
 
-@query("select chunk_id, book_id from chunks where book_id = 'src3' and grade_level = 7")
+@query("select chunk_id, book_id from chunks where book_id = 'src10' and grade_level = 8")
 def f7_chunk_filters(spark, d):
-    return Q.where_equal(V.chunks(spark, d), book_id="src3", grade_level=7).select("chunk_id", "book_id")
+    return Q.where_equal(V.chunks(spark, d), book_id="src10", grade_level=8).select("chunk_id", "book_id")
 
 
 @query("select node_id, label from nodes where domain = 'Brand#12'")
@@ -400,9 +412,10 @@ def a8_bank_statistics(spark, d):
     return Q.bank_statistics(V.questions(spark, d))
 
 
-@query("select distinct topic from questions where topic is not null and subject = 'Chemistry'")
+@query("select distinct topic from questions where topic is not null and subject = 'Biology' union select topic from questions where topic is not null and subject = 'Chemistry'")
 def a9_topics(spark, d):
-    return Q.topics(V.questions(spark, d), "Chemistry")
+    q = V.questions(spark, d)
+    return Q.topics(q, "Biology").union(Q.topics(q, "Chemistry")).distinct()
 
 
 @query("select subject, question_id from (select *, row_number() over (partition by subject order by question_id) as rn from questions) where rn <= 3")
@@ -537,10 +550,11 @@ def v7_cells(spark, d):
     return vectors.probe_cells(cells, model, V.query_vectors(spark, d), 5, 12)
 
 
-@query("select vec_id, 0.0::double as similarity from embeddings")
+@query("select vec_id, case when vec_id % 2 = 0 then 0.0 else round(list_cosine_similarity(embedding::double[], list_reverse(embedding::double[])), 6) end::double as similarity from embeddings")
 def v8_zero_vector(spark, d):
     e = V.table(spark, d, "embeddings")
-    return e.select("vec_id", X.cosine("embedding", F.transform("embedding", lambda x: x * 0)).alias("similarity"))
+    other = F.when(F.col("vec_id") % 2 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.reverse("embedding"))
+    return e.select("vec_id", F.round(X.cosine("embedding", other), 6).alias("similarity"))
 
 
 @query()
@@ -548,9 +562,11 @@ def v10_embed(spark, d):
     return vectors.embed(V.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))).select("doc_id", "embedding")
 
 
-@query("select vec_id, true as same from embeddings")
+@query("select vec_id, len(embedding)::int as n, round(list_sum(embedding::double[]), 6) as total, round(embedding[1]::double, 6) as first from embeddings")
 def v11_vector_text(spark, d):
-    return V.table(spark, d, "embeddings").select("vec_id", (X.text_vector(X.vector_text("embedding")) == F.col("embedding")).alias("same"))
+    back = V.table(spark, d, "embeddings").select("vec_id", X.text_vector(X.vector_text("embedding")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return back.select("vec_id", F.size("v").alias("n"), F.round(total, 6).alias("total"), F.round(F.col("v")[0].cast("double"), 6).alias("first"))
 
 
 @query("select vec_id, round(list_dot_product(embedding::double[], embedding::double[]), 6) as squared from embeddings")
@@ -592,12 +608,13 @@ def g3_relationships(spark, d):
     return G.relationships(V.nodes(spark, d), V.edges(spark, d), "part_6")
 
 
-REACH = """with recursive seeds as (select distinct start_node_id as seed from edges where start_node_id % 30 = 0), hop(seed, node, depth) as (
+#: The queries of the searches are the nodes whose id is divisible by 50.
+REACH = """with recursive seeds as (select distinct start_node_id as seed from edges where start_node_id % 50 = 0), hop(seed, node, depth) as (
   select seed, seed, 0 from seeds union select seed, {to}, depth + 1 from hop join edges on node = {via} where depth < {most})"""
 
 
 def seeds(spark, d) -> DataFrame:
-    return V.edges(spark, d).where("start_node_id % 30 = 0").select(F.col("start_node_id").alias("seed")).distinct()
+    return V.edges(spark, d).where("start_node_id % 50 = 0").select(F.col("start_node_id").alias("seed")).distinct()
 
 
 @query(REACH.format(to="start_node_id", via="end_node_id", most=3) + " select seed, node, min(depth)::int as depth from hop where node <> seed group by all")
@@ -611,23 +628,24 @@ def g5_related(spark, d):
 
 
 def pairs(spark, d) -> DataFrame:
-    return seeds(spark, d).select(F.col("seed").alias("a")).join(seeds(spark, d).select((F.col("seed") + 3).alias("b")), F.col("a") % 7 == F.col("b") % 7).where("a <> b")
+    """One goal for each start: the node that follows it."""
+    return seeds(spark, d).select(F.col("seed").alias("a"), (F.col("seed") + 1).alias("b"))
 
 
-PATHS = """with recursive seeds as (select distinct start_node_id as seed from edges where start_node_id % 30 = 0),
-  pairs as (select distinct x.seed as a, y.seed + 3 as b from seeds x, seeds y where x.seed % 7 = (y.seed + 3) % 7 and x.seed <> y.seed + 3),
-  walk(a, node, path) as (select distinct a, a, [a] from pairs union select a, {to}, list_append(path, {to}) from walk join {edges} on node = {via} where len(path) <= {most} and not list_contains(path, {to}))
-  select a, b, path from (select pairs.a, pairs.b, path, row_number() over (partition by pairs.a, pairs.b order by len(path), path) as rn from pairs join walk on walk.a = pairs.a and node = b) where rn = 1"""
+#: Hops of the shortest path of each pair; the paths themselves are tested by a plain search. No two nodes lie 64 hops apart.
+HOPS = """with recursive seeds as (select distinct start_node_id as seed from edges where start_node_id % 50 = 0), ways as ({ways}), hop(seed, node, depth) as (
+  select seed, seed, 0 from seeds union select seed, t, depth + 1 from hop join ways on node = f where depth < {most} and node <> seed + 1)
+  select seed as a, seed + 1 as b, min(depth)::int as hops from hop where node = seed + 1 group by seed"""
 
 
-@query(PATHS.format(to="end_node_id", via="start_node_id", edges="edges", most=3))
+@query(HOPS.format(ways="select start_node_id as f, end_node_id as t from edges", most=64))
 def g6_learning_paths(spark, d):
-    return G.learning_paths(V.edges(spark, d), pairs(spark, d), 3)
+    return G.learning_paths(V.edges(spark, d), pairs(spark, d)).select("a", "b", (F.size("path") - 1).alias("hops"))
 
 
-@query(PATHS.format(to="t", via="f", edges="(select start_node_id as f, end_node_id as t from edges union select end_node_id, start_node_id from edges)", most=2))
+@query(HOPS.format(ways="select start_node_id as f, end_node_id as t from edges union select end_node_id, start_node_id from edges", most=5))
 def g7_undirected_paths(spark, d):
-    return G.undirected_paths(V.nodes(spark, d), V.edges(spark, d), pairs(spark, d), 2).select("a", "b", "path")
+    return G.undirected_paths(V.nodes(spark, d), V.edges(spark, d), pairs(spark, d)).select("a", "b", (F.size("path") - 1).alias("hops"))
 
 
 @query("""with recursive known as (select distinct start_node_id % 5 as learner, start_node_id as node from edges), e as (select distinct start_node_id as s, end_node_id as t from edges)
@@ -638,11 +656,12 @@ def g8_j13_knowledge_gaps(spark, d):
     return G.knowledge_gaps(V.edges(spark, d), known)
 
 
-@query()
+@query("""with recursive far(a, b) as (select node_id, node_id from nodes union select a, end_node_id from far join edges on b = start_node_id),
+  near(a, b) as (select min(node_id), min(node_id) from nodes union select a, case when b = start_node_id then end_node_id else start_node_id end from near join edges on b = start_node_id or b = end_node_id)
+  select (select count(*) from nodes) as nodes, (select count(*) from edges) as relationships, round((select count(distinct (start_node_id, end_node_id)) from edges) / ((select count(*) from nodes) * ((select count(*) from nodes) - 1.0)), 12)::double as density,
+    (select count(*) from near) = (select count(*) from nodes) as weakly_connected, (select count(distinct c) from (select x.a, min(x.b) as c from far x join far y on x.a = y.b and x.b = y.a group by x.a)) as strong_components""")
 def g12_statistics(spark, d):
-    few = V.edges(spark, d).where("start_node_id % 60 = 0")
-    ends = few.select(F.explode(F.array("start_node_id", "end_node_id")).alias("node_id")).distinct()
-    return G.statistics(V.nodes(spark, d).join(ends, "node_id", "left_semi"), few)
+    return rounded(G.statistics(V.nodes(spark, d), V.edges(spark, d)), "density", places=12)
 
 
 @query("select 'parts' as graph_name, (select count(distinct node_id) from nodes) as node_count, (select count(distinct edge_id) from edges) as edge_count, (select count(distinct label) from nodes) as label_count")
@@ -708,16 +727,18 @@ def l5_prerequisites_by_grade(spark, d):
 
 
 def concept_chunks(spark, d) -> DataFrame:
-    """Chunks with their first eight words as concepts, and a definition of the first in every third."""
-    words = F.slice(F.split("content", " "), 1, 8)
-    return V.chunks(spark, d).select(
-        "book_id", "chunk_id", F.col("chunk_id").alias("seq"), words.alias("key_concepts"), F.when(F.col("chunk_id") % 3 == 0, F.create_map(words[0], F.concat(F.lit("of "), F.col("chunk_id").cast("string")))).alias("definitions")
-    )
+    """Chunks with the terms of their whole content as concepts, and a definition of the first in every third."""
+    rows = V.chunks(spark, d).withColumn("k", text.capital_terms("content"))
+    first = F.create_map(F.get("k", F.lit(0)), F.concat(F.lit("of "), F.col("chunk_id").cast("string")))
+    return rows.select("book_id", "chunk_id", F.col("chunk_id").alias("seq"), F.col("k").alias("key_concepts"), F.when((F.col("chunk_id") % 3 == 0) & (F.size("k") > 0), first).alias("definitions"))
 
 
-EACH = """each_concept as (select book_id, chunk_id, pos, name, book_id || '_' || replace(lower(name), ' ', '_') as id, def, first from (
+#: Terms of a text, in SQL.
+CAPITALS = r"""list_sort(list_distinct(list_filter(flatten(list_transform(string_split_regex({text}, '[.!?]'), lambda s: (list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''))[2:])),
+  lambda w: regexp_matches(w, '^\p{{Lu}}') and length(w) > 3 and (ends_with(w, 's') or (upper(w) = w and lower(w) <> w) or contains(w, '_')))))"""
+EACH = f"""each_concept as (select book_id, chunk_id, pos, name, book_id || '_' || replace(lower(name), ' ', '_') as id, def, first from (
     select book_id, chunk_id, pos, trim(replace(raw, chr(10), ' ')) as name, case when chunk_id % 3 = 0 then 'of ' || chunk_id end as def, raw = k[1] as first from (
-      select *, k[pos] as raw from (select book_id, chunk_id, string_split(content, ' ')[1:8] as k, unnest(range(1, 9)) as pos from chunks) where pos <= len(k))) where length(name) >= 3)"""
+      select *, k[pos] as raw from (select *, unnest(range(1, len(k) + 1)) as pos from (select book_id, chunk_id, {CAPITALS.format(text="content")} as k from chunks)))) where length(name) >= 3)"""
 
 
 @query("with " + EACH + " select id as concept_id, book_id, arg_min(name, (chunk_id, pos)) as name, arg_min(def, (chunk_id, pos)) filter (first and def is not null) as definition, list_sort(list(distinct chunk_id)) as chunk_ids from each_concept group by id, book_id")
@@ -769,14 +790,15 @@ def t15_x2_chunk_metadata(spark, d):
     return V.table(spark, d, "documents").select("doc_id", *text.chunk_metadata("text", "source")).select("doc_id", "word_count", "char_count", "title")
 
 
-@query("""select source, string_agg(text, chr(10) || chr(10) order by doc_id) as text from documents where doc_id % 40 = 0 group by source""")
+@query("""select source || '-' || (doc_id // 100) as chapter_id, string_agg(coalesce(text, ''), chr(10) || chr(10) order by doc_id) as text from documents group by all""")
 def t5_chapter_texts(spark, d):
-    pages = V.table(spark, d, "documents").where("doc_id % 40 = 0").select(F.lit("b").alias("book_id"), F.col("source").alias("chapter_id"), F.col("doc_id").alias("page_number"), "text")
-    return text.chapter_texts(pages).select(F.col("chapter_id").alias("source"), "text")
+    """A chapter is a block of a hundred pages of a source, so that no source, however large, is one row."""
+    block = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string"))
+    pages = V.table(spark, d, "documents").select(F.lit("b").alias("book_id"), block.alias("chapter_id"), F.col("doc_id").alias("page_number"), "text")
+    return text.chapter_texts(pages).select("chapter_id", "text")
 
 
-@query(r"""select doc_id, list_sort(list_distinct(list_filter(flatten(list_transform(string_split_regex(text, '[.!?]'), lambda s: (list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''))[2:])),
-  lambda w: regexp_matches(w, '^\p{Lu}') and length(w) > 3 and (ends_with(w, 's') or (upper(w) = w and lower(w) <> w) or contains(w, '_'))))) as terms from documents""")
+@query(f"select doc_id, {CAPITALS.format(text='text')} as terms from documents")
 def t14_capital_terms(spark, d):
     return V.table(spark, d, "documents").select("doc_id", text.capital_terms("text").alias("terms"))
 
@@ -804,13 +826,13 @@ def a16_content_totals(spark, d):
 # scalar functions ---------------------------------------------------------------------------------
 
 
-@query(r"""select doc_id, source || '_' || replace(replace(lower(trim(left(text, 30))), chr(10), ' '), ' ', '_') as slug_raw, case when length(text) > 100 then left(text, 100) || '...' else text end as short,
+@query(r"""select doc_id, source || '_' || replace(replace(lower(trim(text)), chr(10), ' '), ' ', '_') as slug_raw, case when length(text) > 100 then left(text, 100) || '...' else text end as short,
   (regexp_extract(lower(source || '-chapter' || (doc_id % 10)), 'chapter(\d+)', 1))::int as chapter from documents""")
 def x4_x6_x7_strings(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", X.concept_id("source", F.substring("text", 1, 30)).alias("slug_raw"), X.truncate("text", 100).alias("short"), X.chapter_number(F.concat("source", F.lit("-chapter"), (F.col("doc_id") % 10).cast("string"))).alias("chapter"))
+    return V.table(spark, d, "documents").select("doc_id", X.concept_id("source", "text").alias("slug_raw"), X.truncate("text", 100).alias("short"), X.chapter_number(F.concat("source", F.lit("-chapter"), (F.col("doc_id") % 10).cast("string"))).alias("chapter"))
 
 
-@query(r"""select doc_id, left(regexp_replace(regexp_replace(left(text, 90), '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '_', 'g'), 50) as title, case when contains(book, 'government') then 'government' when contains(book, 'biology') then 'biology' when contains(book, 'math') then 'mathematics' else 'general' end as subject,
+@query(r"""select doc_id, left(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), '\s+', '_', 'g'), 50) as title, case when contains(book, 'government') then 'government' when contains(book, 'biology') then 'biology' when contains(book, 'math') then 'mathematics' else 'general' end as subject,
   regexp_extract(text, '([a-z]+)', 1) as first_word, starts_with(text, 'The') as the, coalesce(nullif(lang, 'en'), 'none') as lang_or_none, case when doc_id % 2 = 0 then 'x' || doc_id end as looked_up
   from (select *, case doc_id % 4 when 0 then 'american-government-3e' when 1 then 'biology-2e' when 2 then 'mathematics-1e' else 'art' end as book from documents)""")
 def x1_x3_x5_x8_x18_x20_strings(spark, d):
@@ -818,7 +840,7 @@ def x1_x3_x5_x8_x18_x20_strings(spark, d):
     book = F.when(i % 4 == 0, "american-government-3e").when(i % 4 == 1, "Biology-2e").when(i % 4 == 2, "mathematics-1e").otherwise("art")
     terms = F.map_from_entries(F.array(F.struct(F.lit(0).alias("k"), F.concat(F.lit("x"), i.cast("string")).alias("v"))))
     return V.table(spark, d, "documents").select(
-        "doc_id", X.safe_title(F.substring("text", 1, 90)).alias("title"), X.book_subject(book).alias("subject"), F.regexp_extract("text", "([a-z]+)", 1).alias("first_word"), F.startswith("text", F.lit("The")).alias("the"),
+        "doc_id", X.safe_title("text").alias("title"), X.book_subject(book).alias("subject"), F.regexp_extract("text", "([a-z]+)", 1).alias("first_word"), F.startswith("text", F.lit("The")).alias("the"),
         F.coalesce(F.when(F.col("lang") != "en", F.col("lang")), F.lit("none")).alias("lang_or_none"), F.element_at(terms, (i % 2).cast("int")).alias("looked_up"),
     )
 
@@ -933,12 +955,16 @@ def q2_claims(spark, d):
     return V.messages(spark, d).select("message_id", K.claim_count("message").alias("claims"))
 
 
+def asked_messages(spark, d) -> DataFrame:
+    """User messages, each with a vector of the embeddings that its conversation and turn choose."""
+    e, m = V.table(spark, d, "embeddings"), F.col("message_id")
+    at = (F.floor(m / 1000) * 31 + m % 1000 * 7) % e.count()
+    return V.messages(spark, d).withColumn("at", at).join(e.select(F.col("vec_id").alias("at"), F.col("embedding").alias("query")), "at").drop("at")
+
+
 @query()
 def q9_answers(spark, d):
-    vec = F.col("message_id") % 500
-    msgs = V.messages(spark, d)
-    msgs = msgs.join(V.table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("query")), vec == F.col("vec_id")).drop("vec_id")
-    return K.answer_messages(msgs, V.chunks(spark, d), V.nodes(spark, d), V.edges(spark, d), thresholds=(("fact", 0.2), ("concept", 0.2)))
+    return K.answer_messages(asked_messages(spark, d), V.chunks(spark, d), V.nodes(spark, d), V.edges(spark, d), thresholds=(("fact", 0.2), ("concept", 0.2)))
 
 
 @query()
@@ -959,16 +985,6 @@ def few_hits(spark, d, k: int) -> DataFrame:
     return vectors.many_top_k(V.table(spark, d, "embeddings"), V.query_vectors(spark, d), k)
 
 
-@query()
-def g13_graph_search(spark, d):
-    return K.graph_search(few_hits(spark, d, 1), linked_chunks(spark, d), V.nodes(spark, d), V.edges(spark, d))
-
-
-@query()
-def g15_hybrid_search(spark, d):
-    return K.enriched_hits(few_hits(spark, d, 5), linked_chunks(spark, d), V.nodes(spark, d), V.edges(spark, d))
-
-
 @query()
 def q5_locked_answers(spark, d):
     return K.lock(q9_answers(spark, d))[0].select("message_id", "response", "citations", "disclaimer")
@@ -989,14 +1005,11 @@ def r1_mastery_stream(spark, d):
     return rounded(S.run_to_table(S.mastery_stream(event_stream(spark, d)), "moves"), "probability_mastery", places=6).drop("us")
 
 
-@query("select user_id, (us // 3600000000)::bigint as hour, count(*) as clicks from clicks group by all")
+@query("select * from (select user_id, (us // 3600000000)::bigint as hour, count(*) as clicks from clicks group by all) where (hour + 1) * 3600000 <= (select max(us) // 1000 - 60000 from clicks)")
 def r6_clicks_by_window(spark, d):
+    """The windows that the watermark, a minute behind the last click, has closed."""
     rows = S.clicks_per_minute(event_stream(spark, d).where("event_type = 'click'"), "1 hour", delay="1 minute")
-    late = S.run_to_table(rows, "rates")
-    closed = late.select("user_id", F.floor(F.unix_timestamp("start") / 3600).cast("long").alias("hour"), "clicks")
-    # windows that no later event has closed are not yet out; a batch run over the table gives them
-    batch = M.with_time(V.clicks(spark, d)).groupBy("user_id", F.floor(F.col("us") / 3600000000).cast("long").alias("hour")).agg(F.count("*").alias("clicks"))
-    return closed.unionByName(batch.join(closed, ["user_id", "hour"], "left_anti"))
+    return S.run_to_table(rows, "rates").select("user_id", F.floor(F.unix_timestamp("start") / 3600).cast("long").alias("hour"), "clicks")
 
 
 @query("""select user_id::varchar as user_id, event_id, round(least(1.0, 0.7 + 0.3 * (1 - span / 400000.0)), 6)::double as confidence from (
@@ -1009,3 +1022,6 @@ def r7_rapid_click_stream(spark, d):
 def r8_masking_stream(spark, d):
     rows = spark.readStream.schema(V.table(spark, d, "conversations").schema).parquet(f"{d}/conversation[s].parquet")
     return S.run_to_table(S.masked(rows.select("conv_id", "turn", F.col("text").alias("message"))), "masked")
+
+
+from . import coverage  # noqa: E402,F401  (registers its queries)
