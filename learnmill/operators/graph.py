@@ -90,6 +90,8 @@ def bfs(seeds: DataFrame, steps: DataFrame, max_depth: int | None = None) -> Dat
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:  # one table again, so that the plan stays short
+            seen = pinned(seen)
     return seen.where("depth > 0")
 
 
@@ -133,6 +135,8 @@ def paths(pairs: DataFrame, steps: DataFrame, max_hops: int | None = None) -> Da
         hit = now.where("node = b")
         found, seen = found.unionByName(hit), seen.unionByName(now.select("a", "b", "node"))
         frontier = now.where("node <> b").join(hit.select("a", "b"), ["a", "b"], "left_anti")
+        if hops % 8 == 0:  # one table each again, so that the plan stays short
+            found, seen = pinned(found), pinned(seen)
     return found.select("a", "b", "path")
 
 

@@ -1,4 +1,4 @@
-"""Keyed merges without a table format: full outer join, then an atomic swap of what is written."""
+"""Keyed merges without a table format: full outer join, then a swap of what is written."""
 
 from __future__ import annotations
 
@@ -44,7 +44,8 @@ def insert_or_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> D
 
 
 def write_swapped(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write beside ``path`` and put it in place by renames, so that readers see old or new."""
+    """Write beside ``path`` and put it in place by two renames: readers see old or new rows, never a mix,
+    but between the renames no table. The old rows go only when the new ones are in place."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"

@@ -224,8 +224,8 @@ def chapter_chunks(chapters: DataFrame, sections: DataFrame, tables: DataFrame,
     (chapter_id, section_number, title, content) over 50 signs, of tables (chapter_id, title, content)
     over ten words; numbered through each chapter in that order."""
     def chunked(df: DataFrame, least: int, rank: int) -> DataFrame:
-        rows = df.where(F.length("text") > least).select("chapter_id", "title", "nth", F.posexplode(chunk_paragraphs(paragraphs("text", separator))).alias("k", "content"))
-        return rows.withColumn("rank", F.lit(rank))
+        rows = chunk_documents(df.where(F.length("text") > least).select(F.struct("chapter_id", "title", "nth").alias("at"), "text"), "at", separator=separator)
+        return rows.select("at.*", (F.col("chunk_number") - 1).alias("k"), "content", F.lit(rank).alias("rank"))
 
     a = chunked(chapters.select("chapter_id", "title", F.lit(0).alias("nth"), "text"), 100, 0)
     b = chunked(sections.select("chapter_id", "title", F.col("section_number").alias("nth"), F.col("content").alias("text")), 50, 1)

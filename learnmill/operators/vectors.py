@@ -14,8 +14,10 @@ from learnmill.functions.scalar import cosine
 
 from .questions import where_equal
 
-#: Queries above this many are searched in slices, so that what is broadcast stays bounded.
+#: Up to so many queries go to every task; more are dealt in blocks of about this size.
 QUERY_BLOCK = 4096
+#: Rows of a part that meets a block of queries in one task.
+PART_ROWS = 20_000
 #: Threshold and filter of each retrieval profile.
 PROFILES = {"facts": (0.7, {"chunk_type": "fact"}), "concepts": (0.5, {"chunk_type": "concept"}), "hybrid": (None, {})}
 
@@ -56,47 +58,82 @@ def normalised(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn(vector, F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
-def _block_top(queries: list[tuple[int, list[float]]], k: int, threshold: float | None) -> Callable:
-    ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+class BlockTop:
+    """The k nearest of the vectors seen so far for each query of a block."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float | None):
+        self.ids, self.k, self.threshold = ids, k, threshold
+        self.matrix = _unit(matrix)
+        self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+
+    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        scores = self.matrix @ _unit(vectors).T
+        if scores.shape[1] > self.k:  # what may be among the first k, ties of the last place included
+            least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        else:
+            least = np.full(len(self.ids), -np.inf)
+        for i, row in enumerate(scores):
+            hit = np.flatnonzero(row >= least[i])
+            s, ks = np.concatenate([self.best[i][0], row[hit]]), np.concatenate([self.best[i][1], keys[hit]])
+            top = np.lexsort((ks, -s))[: self.k]
+            self.best[i] = s[top], ks[top]
+
+    def rows(self) -> pa.RecordBatch:
+        s = np.concatenate([b[0] for b in self.best]) if self.best else np.zeros(0)
+        ks = np.concatenate([b[1] for b in self.best]) if self.best else np.zeros(0, np.int64)
+        q = np.repeat(self.ids, [len(b[0]) for b in self.best])
+        keep = np.ones(len(q), bool) if self.threshold is None else s >= self.threshold
+        return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ks[keep]), pa.array(s[keep])], names=["query_id", "key", "similarity"])
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, n, out=np.zeros_like(matrix), where=n > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.zeros((len(ids), 0))
-        best_k = np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(b.num_rows, -1)
-            n = np.linalg.norm(vectors, axis=1, keepdims=True)
-            vectors = np.divide(vectors, n, out=np.zeros_like(vectors), where=n > 0)
-            s = np.concatenate([best_s, matrix @ vectors.T], axis=1)
-            ks = np.concatenate([best_k, np.broadcast_to(keys, (len(ids), len(keys)))], axis=1)
-            order = np.stack([np.lexsort((ks[i], -s[i]))[:k] for i in range(len(ids))])
-            best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(ks, order, 1)
-        q = np.repeat(ids, best_s.shape[1])
-        keep = np.ones(len(q), bool) if threshold is None else best_s.ravel() >= threshold
-        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(best_k.ravel()[keep]), pa.array(best_s.ravel()[keep])], names=["query_id", "key", "similarity"])
-
-    return run
+
+def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+HIT = "query_id long, key long, similarity double"
 
 
 def many_top_k(df: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, key, similarity, rank) of the k nearest rows of each query, exact.
 
-    The queries (query_id, query) go to the tasks in blocks of a fixed size; a task multiplies each
-    batch with the block and keeps k rows a query, so that the shuffle takes k rows a query and task.
+    Up to QUERY_BLOCK queries (query_id, query) go to the tasks: each multiplies its batches with them and
+    keeps k rows a query, so that only those are shuffled. More queries are dealt into blocks and the rows
+    into parts, and each part meets each block in one task; no query passes through the driver. A query
+    without a vector has no hits.
     """
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
-    got = [(r["query_id"], list(r["query"])) for r in queries.select("query_id", "query").collect()]
-    parts = [rows.mapInArrow(_block_top(got[i : i + QUERY_BLOCK], k, threshold), "query_id long, key long, similarity double") for i in range(0, max(1, len(got)), QUERY_BLOCK)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return rank_hits(found, k)
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    asked = queries.where(F.col("query").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "query")
+    n = asked.count()
+    if n <= QUERY_BLOCK:
+        got = [(r["query_id"], list(r["query"])) for r in asked.collect()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = BlockTop(np.array([q for q, _ in got], np.int64), np.array([v for _, v in got], np.float64).reshape(len(got), -1), k, threshold)
+            for b in batches:
+                if b.num_rows and len(got):
+                    top.add(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1)))
+            yield top.rows()
+
+        return rank_hits(rows.mapInArrow(run, HIT), k)
+    blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-rows.count() // PART_ROWS))
+    dealt = rows.select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "key", "vector")
+    spread = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "query")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        top = BlockTop(right["query_id"].to_numpy(), _matrix(right["query"]), k, threshold)
+        top.add(left["key"].to_numpy(), _matrix(left["vector"]))
+        return pa.Table.from_batches([top.rows()])
+
+    return rank_hits(dealt.groupBy("part", "block").cogroup(spread.groupBy("part", "block")).applyInArrow(meet, HIT), k)
 
 
 def rank_hits(found: DataFrame, k: int) -> DataFrame:
@@ -105,9 +142,10 @@ def rank_hits(found: DataFrame, k: int) -> DataFrame:
 
 
 def joined_top_k(df: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The same in DataFrame functions: every row meets every query of a small query set."""
+    """The same in DataFrame functions, where every row meets every query of one block; for more queries
+    than that it is ``many_top_k``."""
     if queries.count() > QUERY_BLOCK:
-        raise ValueError("too many queries to broadcast; use many_top_k")
+        return many_top_k(df, queries, k, threshold, vector, key)
     met = df.where(F.col(vector).isNotNull()).join(F.broadcast(queries), how="cross")
     rows = met.select("query_id", F.col(key).alias("key"), cosine(vector, "query").alias("similarity"))
     return rank_hits(rows if threshold is None else rows.where(F.col("similarity") >= threshold), k)
@@ -127,16 +165,23 @@ def build_cells(df: DataFrame, lists: int = 100, sample: int = 100_000, seed: in
 
 
 def probe_cells(cells: DataFrame, model, queries: DataFrame, k: int = 10, nprobe: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Nearest rows of each query among its ``nprobe`` nearest cells."""
+    """Nearest rows of each query among its ``nprobe`` nearest cells. The cells of the queries are found in
+    the tasks; queries and rows meet by cell."""
     centres = np.array(model.clusterCenters())
-    wanted = []
-    for r in queries.select("query_id", "query").collect():
-        q = np.array(r["query"], np.float64)
-        q = q / (np.linalg.norm(q) or 1.0)
-        near = np.argsort(((centres - q) ** 2).sum(axis=1))[:nprobe]
-        wanted += [(r["query_id"], int(c), q.tolist()) for c in near]
-    asked = cells.sparkSession.createDataFrame(wanted, "query_id long, cell int, query array<double>")
-    met = cells.join(F.broadcast(asked), "cell")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = _unit(_matrix(b.column(1)))
+                near = np.argsort(((q[:, None, :] - centres[None]) ** 2).sum(axis=2), axis=1)[:, :nprobe]
+                each = near.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), each)), pa.array(near.ravel().astype(np.int32)), pa.array(list(np.repeat(q, each, axis=0)), pa.list_(pa.float64()))],
+                    names=["query_id", "cell", "query"],
+                )
+
+    asked = queries.where(F.col("query").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "query").mapInArrow(nearest, "query_id long, cell int, query array<double>")
+    met = cells.join(asked, "cell")
     return rank_hits(met.select("query_id", F.col(key).alias("key"), cosine(vector, "query").alias("similarity")), k)
 
 
@@ -164,7 +209,10 @@ def embed(df: DataFrame, function: Callable | None = None, text: str = "content"
     from pyspark.ml.functions import vector_to_array
 
     words = df.withColumn("__words", F.filter(F.split(F.lower(F.coalesce(whole, F.lit(""))), r"\W+"), lambda w: w != ""))
-    tf = HashingTF(numFeatures=size, inputCol="__words", outputCol="__tf").transform(words)
+    from .graph import pinned
+
+    # written once: the frequencies of all documents are read from it, and then the documents themselves
+    tf = pinned(HashingTF(numFeatures=size, inputCol="__words", outputCol="__tf").transform(words).drop("__words"))
     weighted = IDF(inputCol="__tf", outputCol="__idf").fit(tf).transform(tf)
     out = Normalizer(inputCol="__idf", outputCol="__v").transform(weighted)
-    return out.withColumn("embedding", vector_to_array("__v", "float32")).drop("__words", "__tf", "__idf", "__v")
+    return out.withColumn("embedding", vector_to_array("__v", "float32")).drop("__tf", "__idf", "__v")
