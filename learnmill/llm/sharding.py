@@ -9,6 +9,7 @@ each record among all bytes follows from its place in its range, and with it its
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,16 @@ from .common import checkpointed
 RANGES = 1024
 #: Expected sample rows for each range; the driver holds RANGES times this many keys.
 PER_RANGE = 8
-ROUNDS = 4
 ORDER = ("key", "id")
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, key, id, copies): equal rows are one record with copies."""
+    """(doc_id, size, text_crc32, key, id, copies): equal rows are one record with copies. Key and id are
+    hashes of the text and of the doc_id, of whatever type."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"))
     rows = rows.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count("*").alias("copies"))
-    return rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    return rows.withColumn("id", F.xxhash64("doc_id"))
 
 
 def range_of(bounds: list[tuple[int, int]]) -> Column:
@@ -71,16 +72,17 @@ def drawn(rows: DataFrame, rate: float, salt: int) -> list[tuple[int, int, float
 
 
 def splitters(rows: DataFrame, total: int, ranges: int = RANGES) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
-    """Bounds of ranges, and (bytes, records with copies) of each range that has any."""
+    """Bounds of ranges, and (bytes, records with copies) of each range that has any. Overfull ranges are
+    split until none is left, or the rest hold one record that is larger by itself."""
     bounds = quantiles(drawn(rows, ranges * PER_RANGE / total, 0), ranges)
-    for again in range(ROUNDS):
+    for again in count(1):
         number = range_of(bounds).alias("range")
         sums = rows.select(number, (F.col("size") * F.col("copies")).alias("w"), "copies").groupBy("range")
         totals = {r["range"]: (r["w"], r["n"]) for r in sums.agg(F.sum("w").alias("w"), F.sum("copies").alias("n")).collect()}
         full = {k: w for k, (w, _) in totals.items() if w > 2 * total / ranges}
-        if not full or again == ROUNDS - 1:
+        if not full:
             break
-        more = drawn(rows.where(number.isin(list(full))), ranges * PER_RANGE / total, again + 1)
+        more = drawn(rows.where(number.isin(list(full))), ranges * PER_RANGE / total, again)
         by: dict[int, list] = {}
         for row in more:
             by.setdefault(bisect_right(bounds, row[:2]), []).append(row)
@@ -95,29 +97,37 @@ def assign_shards(docs: DataFrame, shards: int = 16, ranges: int = RANGES) -> Da
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
 
     The law is ``bytes``: a shard holds the records whose middle lies in its part of all bytes, so
-    that sizes differ by less than two records. Equal texts stand side by side and share a shard
-    unless a boundary or their own size parts them. Null texts count as empty; rows equal in id and
+    that sizes differ by at most twice the largest record. Equal texts stand side by side; those that
+    together are no larger than the largest record share a shard, larger groups may be parted at a
+    boundary. Null texts count as empty; rows equal in id and
     text take places side by side; an empty table gives an empty table. Only ids, sizes and hashes
     are shuffled; no range, and so no task, gathers more than about two parts in ``ranges``.
     """
     rows = checkpointed(records(docs))
     total = rows.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 1
     bounds, totals = splitters(rows, total, ranges)
-    byte0, row0, done, count = [], [], 0, 0
+    byte0, row0, done, seen = [], [], 0, 0
     for k in range(len(bounds) + 1):
         byte0.append(done)
-        row0.append(count)
+        row0.append(seen)
         w, n = totals.get(k, (0, 0))
-        done, count = done + w, count + n
+        done, seen = done + w, seen + n
     numbered = rows.withColumn("range", range_of(bounds))
     before = Window.partitionBy("range").orderBy(*ORDER, "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     at = F.lit(byte0)[F.col("range")] + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0))
     nth = F.lit(row0)[F.col("range")] + F.coalesce(F.sum("copies").over(before), F.lit(0))
-    placed = numbered.select("doc_id", "size", "text_crc32", "copies", at.cast("long").alias("at"), nth.cast("long").alias("nth"))
-    each = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = each.select("doc_id", "size", "text_crc32", (F.col("at") + F.col("j") * F.col("size")).alias("at"), (F.col("nth") + F.col("j")).alias("nth"))
-    shard = F.least(F.lit(shards - 1), F.expr(f"cast(((2 * at + size) * {shards}L) div {2 * total}L as int)"))
-    each = checkpointed(each.withColumn("shard", shard))
+    placed = checkpointed(numbered.select("doc_id", "size", "text_crc32", "key", "copies", at.cast("long").alias("at"), nth.cast("long").alias("nth")))
+    # a group of equal texts no larger than the largest record goes as one; its middle decides
+    same = ["key", "size", "text_crc32"]
+    largest = rows.agg(F.max("size")).first()[0] or 1
+    groups = placed.groupBy(*same).agg(F.min("at").alias("start"), F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.count("*").alias("n"))
+    groups = groups.where((F.col("bytes") <= largest) & ((F.col("n") > 1) | (F.col("bytes") > F.col("size")))).drop("n")
+    placed = placed.join(groups, same, "left")
+    each = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    middle = F.coalesce(2 * F.col("start") + F.col("bytes"), 2 * (F.col("at") + F.col("j") * F.col("size")) + F.col("size"))
+    each = each.select("doc_id", "size", "text_crc32", middle.alias("middle"), (F.col("nth") + F.col("j")).alias("nth"))
+    shard = F.least(F.lit(shards - 1), F.expr(f"cast((middle * {shards}L) div {2 * total}L as int)"))
+    each = checkpointed(each.withColumn("shard", shard).drop("middle"))
     first = {r["shard"]: r["n"] for r in each.groupBy("shard").agg(F.min("nth").alias("n")).collect()}
     starts = F.lit([first.get(s, 0) for s in range(shards)])
     return each.select(
@@ -143,6 +153,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, ranges: int = RAN
         done += totals.get(k, (0, 0))[0]
         if done * shards >= (len(cuts) + 1) * total and len(cuts) < shards - 1:
             cuts.append(bound)
-    keyed = docs.withColumns({"key": F.xxhash64(F.coalesce("text", F.lit(""))), "id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    keyed = docs.withColumns({"key": F.xxhash64(F.coalesce("text", F.lit(""))), "id": F.xxhash64("doc_id")})
     keyed.withColumn("shard", range_of(cuts)).drop("key", "id").write.partitionBy("shard").parquet(path)
     return cuts
