@@ -36,7 +36,7 @@ def _letters() -> np.ndarray:
 
 
 class Grams:
-    """Letter n-grams as integers of 16 bits a letter; 0 stands for the edge of a word."""
+    """Letter n-grams as integers of 16 bits a letter; in pairs and triples 1 stands for the edge of a word."""
 
     def __init__(self):
         self.table = _letters()
@@ -59,10 +59,10 @@ class Grams:
         if not len(x):
             return x.astype(np.uint64), np.zeros(0, np.int64)
         parts = [x[x > 0]]
-        pair = x[:-1] | (x[1:] << np.uint64(16))
+        edged = np.maximum(x, np.uint64(1))  # the edge as 1, so that "e" and "e" at the end of a word differ
+        pair = edged[:-1] | (edged[1:] << np.uint64(16))
         parts.append(pair[(x[:-1] > 0) | (x[1:] > 0)])
-        inner = x[1:-1] > 0
-        parts.append(((x[:-2] | (x[1:-1] << np.uint64(16))) | (x[2:] << np.uint64(32)))[inner])
+        parts.append((pair[:-1] | (edged[2:] << np.uint64(32)))[x[1:-1] > 0])
         return np.unique(np.concatenate(parts), return_counts=True)
 
     def top(self, text: str, k: int = TOP) -> np.ndarray:

@@ -124,6 +124,11 @@ def test_shards(spark, sf_dir):
     largest = max(r["size"] for r in rows)
     assert set(sums) == set(range(16))
     assert max(sums.values()) - min(sums.values()) <= 2 * largest
+    groups = defaultdict(list)
+    for r in rows:
+        groups[docs[r["doc_id"]]].append(r)
+    small = [g for g in groups.values() if len(g) > 1 and sum(r["size"] for r in g) <= largest]
+    assert small and all(len({r["shard"] for r in g}) == 1 for g in small)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
@@ -276,3 +281,100 @@ def test_far_blocks_stay_closed():
         want = sorted(((-sum(w * x for t, w in zip(*index.vector(*r)) for u, x in zip(terms, q) if t == u), i) for i, r in enumerate(rows)))[:15]
         assert [round(x, 9) for x, _ in got] == [round(-x, 9) for x, _ in want]
         assert index.opened <= 12
+
+
+def test_fit_of_the_quality_model():
+    """Ratios by hand; the dual solution against the optimality conditions of the primal problem."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(3, 12))).astype(np.int32) for _ in range(80)]
+    y = np.where(rng.random(80) < 0.5, 1.0, -1.0)
+    ratio = quality_nbsvm.log_count_ratios(rows, y)
+    p = [1 + sum(1 for x, label in zip(rows, y) if label > 0 and i in x) for i in range(1 << quality_nbsvm.BITS)]
+    q = [1 + sum(1 for x, label in zip(rows, y) if label < 0 and i in x) for i in range(30)] + [1] * ((1 << quality_nbsvm.BITS) - 30)
+    want = np.log(np.array(p) / sum(p)) - np.log(np.array(q) / sum(q))
+    assert np.allclose(ratio, want)
+    values = [ratio[x] / np.sqrt(len(x)) for x in rows]
+    cost = np.full(80, 0.7)
+    w, bias = quality_nbsvm.dual_coordinate_descent(rows, values, y, cost, epochs=4000)
+    dense = np.zeros((80, 31))
+    for i, (x, v) in enumerate(zip(rows, values)):
+        dense[i, x] = v
+        dense[i, 30] = 1
+
+    def loss(u):
+        return 0.5 * u @ u + (cost * np.maximum(0, 1 - y * (dense @ u))).sum()
+
+    u = np.append(w[:30], bias)
+    best = np.zeros(31)  # a subgradient method of its own
+    top = best.copy()
+    for t in range(1, 60001):
+        active = y * (dense @ best) < 1
+        best = best - (best - (cost * y * active) @ dense) / (t + 10)
+        if loss(best) < loss(top):
+            top = best.copy()
+    assert loss(u) <= loss(top) * 1.002
+
+
+def test_language_of_every_document(spark, sf_dir):
+    """Profiles, out-of-place distances and the nearest language by plain loops over whole texts."""
+    rows = table(spark, sf_dir, "documents").collect()
+
+    def grams(text):
+        words, n = "".join(c.lower() if c.isalpha() else " " for c in text or "").split(), Counter()
+        for w in words:
+            n.update(w)
+            edge = f" {w} "
+            n.update(edge[i : i + 2] for i in range(len(edge) - 1))
+            n.update(edge[i : i + 3] for i in range(len(edge) - 2))
+        return n
+
+    def order(gram):
+        return sum((1 if c == " " else ord(c)) << (16 * i) for i, c in enumerate(gram))
+
+    def top(counts):
+        # letters, pairs and triples as they stand; of equal counts the least number comes first
+        return sorted(counts, key=lambda g: (-counts[g], order(g)))[:400]
+
+    own = {r["doc_id"]: grams(r["text"]) for r in rows}
+    sums = defaultdict(Counter)
+    for r in rows:
+        if r["lang"] is not None and binascii.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            sums[r["lang"]].update(own[r["doc_id"]])
+    profiles = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in sorted(sums.items())}
+    got = {r["doc_id"]: r for r in QUERIES["op4_rank_order_profiles"](spark, sf_dir).collect()}
+    for i, counts in own.items():
+        mine = top(counts)
+        d = {lang: sum(abs(p[g] - n) if g in p else 400 for n, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(d, key=lambda lang: (d[lang], lang)) if mine else "und"
+        score = 1 - d[best] / (400 * len(mine)) if mine else 0.0
+        assert (got[i]["lang_pred"], round(got[i]["score"], 9)) == (best, round(score, 9))
+
+
+def test_sides_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
+    """Archives and kept rows are the same where nothing is broadcast."""
+    from learnmill.llm import common, warc
+
+    pages = table(spark, sf_dir, "pages")
+    key = lambda r: (r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"] or -1)
+    want = sorted(map(key, warc.round_trip(pages).collect()))
+    docs = table(spark, sf_dir, "documents")
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect())
+    monkeypatch.setattr(warc, "BROADCAST_REPEATS", 0)
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert sorted(map(key, warc.round_trip(pages).collect())) == want
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == kept
+
+
+def test_samples_do_not_depend_on_order(spark):
+    """An id with several texts and labels counts once, with the least text and the greatest label."""
+    from learnmill.llm.common import labelled_sample
+
+    rows = [(1, "b"), (1, "a"), (2, None), (2, "c"), (3, "d"), (None, "e")]
+    labels = [(1, 0), (1, 1), (2, 0), (2, None), (4, 1), (None, 1)]
+    for order in (1, -1):
+        docs, marks = spark.createDataFrame(rows[::order], "doc_id long, text string"), spark.createDataFrame(labels[::order], "doc_id long, quality int")
+        got = sorted((r["doc_id"], r["text"], r["y"]) for r in labelled_sample(docs, marks, "quality", 100).collect())
+        assert got == [(1, "a", 1), (2, "c", 0)]
+    named = spark.createDataFrame([("x1", "b"), ("x2", "a")], "doc_id string, text string")
+    marks = spark.createDataFrame([("x1", 1), ("x2", 0)], "doc_id string, toxic int")
+    assert {r["doc_id"] for r in toxicity.toxicity_query(named, marks).collect()} == {"x1", "x2"}
