@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -43,29 +42,15 @@ def hashed(gram: str) -> int:
     return crc32(gram.encode("utf-8", "replace")) & MASK
 
 
-def level(share: float) -> int:
-    """A share of 0 to 1 in steps of a tenth."""
-    return int(10 * min(1.0, share))
-
-
 def features(text: str) -> np.ndarray:
-    """Sorted distinct hashed n-grams of a text: words, triples of token shapes, and how evenly the
-    text is made (shares of distinct words, capitals, signs, equal neighbours, by length)."""
+    """Sorted distinct hashed n-grams of a text: its words, and triples of token shapes."""
     tokens = TOKEN.findall(text)
-    n = len(tokens)
-    if not n:
+    if not tokens:
         return np.array([hashed("empty")], np.int32)
     words = set(tokens)
     kinds = {t: shape(t) for t in words}
     shapes = np.frombuffer(bytes(map(kinds.__getitem__, tokens)), np.uint8)
     found = {crc32(t) & MASK for t in "\n".join(words).lower().encode("utf-8", "replace").split(b"\n")}
-    capitals = ((shapes >= 8) & (shapes < 12)).sum() / n
-    signs = (shapes >= 128).sum() / n
-    same = sum(map(eq, tokens, tokens[1:])) / n
-    near = sum(map(eq, tokens, tokens[2:])) / n
-    size = int(math.log2(n))
-    marks = (f"n {size}", f"d {size} {level(len(words) / n)}", f"c {level(capitals)}", f"p {level(signs)}", f"r {level(same)}", f"q {level(near)}")
-    found.update(map(hashed, marks))
     x = shapes.astype(np.uint32)
     triples = np.unique((x[:-2] << 16) | (x[1:-1] << 8) | x[2:])
     mixed = ((triples * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)

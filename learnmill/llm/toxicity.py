@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +46,21 @@ def vocabulary(sample: DataFrame) -> list[str]:
     return sorted(r["term"] for r in spread.select(F.explode("terms").alias("term")).distinct().collect())
 
 
+def packed(terms: list[int], counts: list[int]) -> bytes:
+    """Sorted term numbers, as steps, and their counts, in a few bytes each."""
+    steps = np.diff(np.array(terms, np.int64), prepend=0)
+    return zlib.compress(np.concatenate([steps, counts]).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
+
+
 def term_counts(docs: DataFrame, keep: list[str], terms: list[str]) -> DataFrame:
-    """Add t (term numbers), n (their counts in the whole text) and rest (the sum of (1 + log n) squared
-    over the text's terms that have no number) in one narrow pass."""
+    """Add x (numbers of the whole text's terms and their counts, packed) and rest (the sum of
+    (1 + log n) squared over the text's terms that have no number) in one narrow pass."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
@@ -54,7 +69,7 @@ def term_counts(docs: DataFrame, keep: list[str], terms: list[str]) -> DataFrame
         square = [0.0] + [(1 + math.log(n)) ** 2 for n in range(1, 64)]
 
         def run(texts: list) -> list:
-            ids, counts, rests = [], [], []
+            found, rests = [], []
             for text in texts:
                 rows, rest = [], 0.0
                 for word, n in Counter(TERM.findall((text or "").lower())).items():
@@ -64,23 +79,34 @@ def term_counts(docs: DataFrame, keep: list[str], terms: list[str]) -> DataFrame
                     else:
                         rows.append((i, n))
                 rows.sort()
-                ids.append([i for i, _ in rows])
-                counts.append([n for _, n in rows])
+                found.append(packed([i for i, _ in rows], [n for _, n in rows]))
                 rests.append(rest)
-            return [ids, counts, rests]
+            return [found, rests]
 
         return run
 
-    return map_texts(docs, keep, "text", make, "t array<int>, n array<int>, rest double")
+    return map_texts(docs, keep, "text", make, "x binary, rest double")
 
 
 def inverse_frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, float]:
     """Inverse document frequency of each term over all rows of ``counted``, and that of a term which
-    one document has."""
-    total = counted.count()
-    df = np.zeros(size)
-    for r in counted.select(F.explode("t").alias("t")).groupBy("t").count().collect():
-        df[r["t"]] = r["count"]
+    one document has. Each task adds up its rows; Spark adds up the tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(size, np.int64), 0
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                seen[unpacked(data)[0]] += 1
+            rows += b.num_rows
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], rows))], names=["t", "n"])
+
+    df, total = np.zeros(size), 0
+    for r in counted.select("x").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        if r["t"] < 0:
+            total = r["n"]
+        else:
+            df[r["t"]] = r["n"]
     return np.log((1 + total) / (1 + df)) + 1, math.log((1 + total) / 2) + 1
 
 
@@ -200,7 +226,7 @@ class Index:
         return float((w * self.y[[e for _, e in found]]).sum() / w.sum())
 
     def score(self, t: list[int], n: list[int], rest: float = 0.0) -> tuple[float, list]:
-        found = self.nearest(t, n, rest=rest) if t else []
+        found = self.nearest(t, n, rest=rest) if len(t) else []
         if not found:
             return self.blank, []
         return float(np.interp(self.vote(found), *self.curve)), [self.ids[e] for _, e in found[:3]]
@@ -224,7 +250,7 @@ def make_index(ids: list, y: list[int], rate: list[float], rows: list[tuple[list
     weight = 1 / index.rate if len(ids) else np.zeros(0)
     votes, at = [], []
     for e, (t, n) in enumerate(rows):
-        found = index.nearest(t, n, without=e) if t else []
+        found = index.nearest(t, n, without=e) if len(t) else []
         if found:
             votes.append(index.vote(found))
             at.append(e)
@@ -245,11 +271,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
 def fit_index(counted: DataFrame, sample: DataFrame, terms: list[str]) -> Index:
     """The index of the sample, with document frequencies over all rows of ``counted``. Examples stand
     in order of their most frequent term and of the term that tells most, so that like ones share blocks."""
-    own = sorted(term_counts(sample, ["doc_id", "y", "rate"], terms).collect(), key=lambda r: (r["t"], str(r["doc_id"])))
+    own = sorted(term_counts(sample, ["doc_id", "y", "rate"], terms).collect(), key=lambda r: (bytes(r["x"]), str(r["doc_id"])))
     idf, once = inverse_frequencies(counted, len(terms))
-    scale = idf * class_weights(np.array([r["y"] for r in own]), [(r["t"], r["n"]) for r in own], len(terms))
-    own.sort(key=lambda r: (r["t"][int(np.argmax(r["n"]))], r["y"], r["t"][int(np.argmax(scale[r["t"]]))]) if r["t"] else (-1, r["y"], -1))
-    return make_index([r["doc_id"] for r in own], [r["y"] for r in own], [r["rate"] for r in own], [(r["t"], r["n"]) for r in own], scale, once * EVEN)
+    rows, y = [unpacked(r["x"]) for r in own], np.array([r["y"] for r in own])
+    scale = idf * class_weights(y, rows, len(terms))
+    place = [(int(t[np.argmax(n)]), int(label), int(t[np.argmax(scale[t])])) if len(t) else (-1, int(label), -1) for (t, n), label in zip(rows, y, strict=True)]
+    order = sorted(range(len(own)), key=place.__getitem__)
+    own, rows = [own[i] for i in order], [rows[i] for i in order]
+    return make_index([r["doc_id"] for r in own], [r["y"] for r in own], [r["rate"] for r in own], rows, scale, once * EVEN)
 
 
 def score_toxicity(docs: DataFrame, sample: DataFrame, terms: list[str], keep: list[str], threshold: float = 0.7) -> DataFrame:
@@ -267,17 +296,17 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, terms: list[str], keep: l
         index = shared.value
 
         @lru_cache(1 << 13)
-        def score(t: tuple, n: tuple, rest: float) -> tuple[float, list]:
-            return index.score(list(t), list(n), rest)
+        def score(x: bytes, rest: float) -> tuple[float, list]:
+            return index.score(*unpacked(x), rest)
 
         def run(rows: list) -> list:
-            found = [score(tuple(r["t"]), tuple(r["n"]), r["rest"]) for r in rows]
+            found = [score(bytes(r["x"]), r["rest"]) for r in rows]
             return [[s for s, _ in found], [int(s >= threshold) for s, _ in found], [e for _, e in found]]
 
         return run
 
     x = fresh(docs, "x")
-    ready = counted.select("row.*", F.struct("t", "n", "rest").alias(x))
+    ready = counted.select("row.*", F.struct("x", "rest").alias(x))
     return map_texts(ready, keep, x, make, f"score double, predicted int, evidence array<{sample.schema['doc_id'].dataType.simpleString()}>")
 
 
