@@ -2,8 +2,9 @@
 
 A list of (host, path) rules is stored as a sorted array of 64-bit xxhash keys beside the full
 strings. Spark ships the file to every executor, whose workers map it into memory. Each url's
-candidate keys (its host and parent domains with the path lengths that occur in the list) are found
-by one vectorised binary search a batch; the stored strings confirm each hit.
+host and parent domains are looked up first, which gives the lengths of the paths listed for each; the
+candidate keys that follow are found by one vectorised binary search a batch, and the stored strings
+confirm each hit.
 """
 
 from __future__ import annotations
@@ -51,25 +52,30 @@ class Entry:
 
 
 def write_index(rules: list[tuple[str, str, str]], path: str) -> None:
-    """One file: counts, path lengths, sorted keys, string offsets, verdict bits, strings.
+    """One file: counts, sorted keys, string offsets, verdict bits, sorted host keys, offsets of their path
+    lengths, the lengths, strings.
 
-    A key is the xxhash of host, a line feed and path. Rules with equal host and path: block wins.
+    A key is the xxhash of host, a line feed and path, a host key that of the host. Rules with equal host
+    and path: block wins. Hosts with equal keys share their lengths.
     """
     best: dict[bytes, bool] = {}
+    sizes: dict[int, set[int]] = {}
     for host, place, verdict in rules:
-        text = f"{host.translate(str.maketrans(UPPER, LOWER))}\n{place}".encode()
+        host = host.translate(str.maketrans(UPPER, LOWER))
+        text = f"{host}\n{place}".encode()
         best[text] = best.get(text, False) or verdict == "block"
+        sizes.setdefault(xxh64_intdigest(host.encode()), set()).add(len(place))
     entries = sorted((xxh64_intdigest(t), t, block) for t, block in best.items())
-    lengths = sorted({len(t.decode().split("\n", 1)[1]) for _, t, _ in entries})
-    strings = b"".join(t for _, t, _ in entries)
-    offsets = np.cumsum([0] + [len(t) for _, t, _ in entries]).astype("<u8")
+    lengths = [sorted(sizes[h]) for h in sorted(sizes)]
     with open(path, "wb") as f:
-        f.write(struct.pack("<QQ", len(entries), len(lengths)))
-        f.write(np.array(lengths, "<u8").tobytes())
+        f.write(struct.pack("<QQQ", len(entries), len(lengths), sum(map(len, lengths))))
         f.write(np.array([k for k, _, _ in entries], "<u8").tobytes())
-        f.write(offsets.tobytes())
+        f.write(np.cumsum([0] + [len(t) for _, t, _ in entries]).astype("<u8").tobytes())
+        f.write(np.array(sorted(sizes), "<u8").tobytes())
+        f.write(np.cumsum([0] + [len(x) for x in lengths]).astype("<u8").tobytes())
+        f.write(np.array([n for x in lengths for n in x], "<u8").tobytes())
         f.write(np.array([b for _, _, b in entries], "u1").tobytes())
-        f.write(strings)
+        f.write(b"".join(t for _, t, _ in entries))
 
 
 class DigestArray:
@@ -77,8 +83,8 @@ class DigestArray:
 
     def __init__(self, path: str):
         self.raw = np.memmap(path, np.uint8, "r")
-        n, m = struct.unpack("<QQ", self.raw[:16].tobytes())
-        at = 16
+        n, m, total = struct.unpack("<QQQ", self.raw[:24].tobytes())
+        at = 24
 
         def part(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -87,10 +93,20 @@ class DigestArray:
             at += size
             return out
 
-        self.lengths = part("<u8", m).tolist()
-        self.keys, self.offsets, self.block = part("<u8", n), part("<u8", n + 1), part("u1", n)
+        self.keys, self.offsets = part("<u8", n), part("<u8", n + 1)
+        self.hosts, self.spans, self.lengths = part("<u8", m), part("<u8", m + 1), part("<u8", total)
+        self.block = part("u1", n)
         self.strings = self.raw[at:]
 
+    def path_lengths(self, hosts: list[str]) -> dict[str, list[int]]:
+        """Lengths of the paths listed for each host that may be listed."""
+        if not len(self.hosts) or not hosts:
+            return {}
+        digests = np.array([xxh64_intdigest(h.encode("utf-8", "replace")) for h in hosts], np.uint64)
+        at = np.minimum(np.searchsorted(self.hosts, digests), len(self.hosts) - 1)
+        hit = np.flatnonzero(self.hosts[at] == digests)
+        return {hosts[i]: self.lengths[self.spans[at[i]] : self.spans[at[i] + 1]].tolist() for i in hit.tolist()}
+
     def probe(self, texts: list[bytes]) -> list[int]:
         """Index of each text in the list, or -1."""
         if not len(self.keys) or not texts:
@@ -112,14 +128,15 @@ class DigestArray:
         return self.strings[self.offsets[j] : self.offsets[j + 1]].tobytes().decode().replace("\n", "", 1)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[int, str]]:
+def domains(host: str) -> list[str]:
+    """The host and its parent domains."""
+    labels = host.split(".") if host else []
+    return [".".join(labels[i:]) for i in range(len(labels))]
+
+
+def candidates(hosts: list[str], path: str, lengths: dict[str, list[int]]) -> list[tuple[int, str]]:
     """(rule length, host, line feed and path) of every rule that could fit, the longest first."""
-    if not host:
-        return []
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
-    found = [(len(h) + n, f"{h}\n{path[:n]}") for h in hosts for n in lengths if n <= len(path)]
-    return sorted(found, reverse=True)
+    return sorted(((len(h) + n, f"{h}\n{path[:n]}") for h in hosts for n in lengths.get(h, ()) if n <= len(path)), reverse=True)
 
 
 def ship_index(spark: SparkSession, rules) -> str:
@@ -163,7 +180,9 @@ def filter_urls(pages: DataFrame, rules=RULES, keep: list[str] | None = None, ur
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestArray(SparkFiles.get(name))
         for b in batches:
-            found = [candidates(h, p, index.lengths) for h, p in zip(b.column(len(base)).to_pylist(), b.column(len(base) + 1).to_pylist(), strict=True)]
+            above = [domains(h) for h in b.column(len(base)).to_pylist()]
+            lengths = index.path_lengths(list({h for hosts in above for h in hosts}))
+            found = [candidates(hosts, p, lengths) for hosts, p in zip(above, b.column(len(base) + 1).to_pylist(), strict=True)]
             hits = iter(index.probe([t.encode("utf-8", "replace") for c in found for _, t in c]))
             best = []
             for c in found:
