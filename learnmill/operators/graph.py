@@ -119,24 +119,36 @@ def related(edges: DataFrame, seeds: DataFrame, max_distance: int = 2, kind: str
 
 def paths(pairs: DataFrame, steps: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(a, b, path) of least hops, among equal ones the least sequence of ids; a = b is the path of
-    itself; pairs without a path, or without one of ``max_hops`` if that is given, are left out. A node
-    is entered once from each start and goal."""
+    itself; pairs without a path, or without one of ``max_hops`` if that is given, are left out.
+
+    Layers grow from the start and from the goal in turn and meet half way; a node is entered once from
+    each side of a pair, with the least path to it.
+    """
     pairs = pairs.select("a", "b").distinct()
-    frontier = pinned(pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")))
-    found, seen = frontier.where("node = b"), frontier.select("a", "b", "node")
-    frontier, hops = frontier.where("node <> b"), 0
+    found = pinned(pairs.where("a = b").select("a", "b", F.array("a").alias("path")))
+    apart = pinned(pairs.where("a <> b"))
+    layer = {"a": apart.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")), "b": apart.select("a", "b", F.col("b").alias("node"), F.array("b").alias("path"))}
+    seen = {side: rows.select("a", "b", "node") for side, rows in layer.items()}
+    hops = 0
     while max_hops is None or hops < max_hops:
         hops += 1
-        grown = frontier.join(steps, frontier["node"] == steps["src"]).select("a", "b", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        best = grown.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen, ["a", "b", "node"], "left_anti")
-        now = pinned(best)
+        side, other = ("a", "b") if hops % 2 else ("b", "a")
+        here, there, more = ("src", "dst", F.concat("path", F.array("dst"))) if side == "a" else ("dst", "src", F.concat(F.array("src"), "path"))
+        grown = layer[side].join(steps, layer[side]["node"] == steps[here]).select("a", "b", F.col(there).alias("node"), more.alias("path"))
+        now = pinned(grown.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen[side], ["a", "b", "node"], "left_anti"))
         if now.isEmpty():
             break
-        hit = now.where("node = b")
-        found, seen = found.unionByName(hit), seen.unionByName(now.select("a", "b", "node"))
-        frontier = now.where("node <> b").join(hit.select("a", "b"), ["a", "b"], "left_anti")
+        seen[side], layer[side] = seen[side].unionByName(now.select("a", "b", "node")), now
+        first, second = layer["a"].withColumnRenamed("path", "head"), layer["b"].withColumnRenamed("path", "tail")
+        whole = F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))
+        hit = pinned(first.join(second, ["a", "b", "node"]).groupBy("a", "b").agg(F.min(whole).alias("path")))
+        found = found.unionByName(hit)
+        # pairs that have met, or whose other side has nowhere to go, are done
+        done = hit.select("a", "b")
+        layer[side] = now.join(done, ["a", "b"], "left_anti").join(layer[other].select("a", "b").distinct(), ["a", "b"], "left_semi")
+        layer[other] = pinned(layer[other].join(done, ["a", "b"], "left_anti").join(now.select("a", "b").distinct(), ["a", "b"], "left_semi"))
         if hops % 8 == 0:  # one table each again, so that the plan stays short
-            found, seen = pinned(found), pinned(seen)
+            found, seen = pinned(found), {k: pinned(v) for k, v in seen.items()}
     return found.select("a", "b", "path")
 
 
