@@ -36,7 +36,7 @@ def test_sql_functions(spark, sf_dir):
     assert row["p"] == pytest.approx(0.819565, abs=1e-6)
     states = M.rule_states(V.learning_events(spark, sf_dir))
     states.createOrReplaceTempView("student_skills")
-    V.skills(spark).createOrReplaceTempView("skills_registry")
+    V.skills(spark, sf_dir).createOrReplaceTempView("skills_registry")
     name = sql.register_student_report(spark)
     assert spark.sql(f"select * from {name}('3')").count() == states.where("user_id = 3").count() > 0
 
