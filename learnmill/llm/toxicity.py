@@ -19,7 +19,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,13 @@ TERM = re.compile(r"[^\W_]+")
 EXAMPLES = 6000
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms of at least this share of the examples keep their postings as rows of whole blocks.
-DENSE = 0.08
-#: Blocks opened in the first round; each further round opens twice as many, until no bound reaches.
-FIRST = 4
+DENSE = 0.05
+#: Blocks opened in the first round; each further round opens GROWTH times as many, until no bound reaches.
+FIRST, GROWTH = 8, 4
+#: Documents whose blocks are opened together.
+TOGETHER = 64
+#: Results that a task remembers, so that copies are searched once.
+KNOWN = 1 << 13
 #: Class weight of a term that tells nothing, and documents by which a term's class counts are smoothed.
 EVEN, SMOOTH = 0.05, 20.0
 
@@ -43,7 +46,7 @@ EVEN, SMOOTH = 0.05, 20.0
 def vocabulary(sample: DataFrame) -> list[str]:
     """All terms of the sample's whole texts, in order."""
     spread = map_texts(sample, ["y"], "text", lambda: lambda ts: [[sorted(set(TERM.findall((t or "").lower()))) for t in ts]], "terms array<string>")
-    return sorted(r["term"] for r in spread.select(F.explode("terms").alias("term")).distinct().collect())
+    return sorted(spread.select(F.explode("terms").alias("term")).distinct().toArrow().column(0).to_pylist())
 
 
 def packed(terms: list[int], counts: list[int]) -> bytes:
@@ -101,12 +104,10 @@ def inverse_frequencies(counted: DataFrame, size: int) -> tuple[np.ndarray, floa
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], rows))], names=["t", "n"])
 
-    df, total = np.zeros(size), 0
-    for r in counted.select("x").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        if r["t"] < 0:
-            total = r["n"]
-        else:
-            df[r["t"]] = r["n"]
+    sums = counted.select("x").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = (sums.column(i).to_numpy() for i in (0, 1))
+    df, total = np.zeros(size), int(n[t < 0].sum())
+    df[t[t >= 0]] = n[t >= 0]
     return np.log((1 + total) / (1 + df)) + 1, math.log((1 + total) / 2) + 1
 
 
@@ -131,9 +132,9 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples as unit vectors in an inverted index. Postings stand in order of term and example; those
-    of a term in one block of BLOCK examples are an entry, with its greatest weight. A common term has a
-    weight for every example of every block, zeros included, so that its blocks are added as they are."""
+    """Examples as unit vectors in an inverted index. The postings of a rare term are its examples in
+    order. A common term has a weight for every example of every block of BLOCK, zeros included, and its
+    greatest weight of each block."""
 
     ids: list
     y: np.ndarray
@@ -155,81 +156,99 @@ class Index:
     def build(self, rows: list[tuple[list[int], list[int]]]) -> None:
         self.blocks = -(-len(rows) // BLOCK)
         vectors = [self.vector(t, n) for t, n in rows]
-        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in vectors])
-        term, weight = (np.concatenate([v[i] for v in vectors]) if vectors else np.zeros(0, kind) for i, kind in ((0, np.int64), (1, np.float64)))
-        order = np.lexsort((example, term))
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        del vectors
+        order = np.argsort(term, kind="stable")  # examples stay in order within a term
         example, term, weight = example[order], term[order], weight[order]
         df = np.bincount(term, minlength=len(self.scale))
         common = np.flatnonzero(df >= max(BLOCK, DENSE * len(rows)))
         row_of = np.full(len(self.scale), -1)
         row_of[common] = np.arange(len(common))
-        dense = np.zeros((len(common), self.blocks, BLOCK))
+        dense = np.zeros((self.blocks, len(common), BLOCK))
         at = row_of[term] >= 0
-        dense[row_of[term[at]], example[at] // BLOCK, example[at] % BLOCK] = weight[at]
+        dense[example[at] // BLOCK, row_of[term[at]], example[at] % BLOCK] = weight[at]
         example, term, weight = example[~at], term[~at], weight[~at]
-        block = example // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
         self.parts = {
-            "row": row_of, "dense": dense, "dense_most": dense.max(axis=2) if len(common) else np.zeros((0, self.blocks)),
-            "example": example, "weight": weight, "first": first, "size": np.diff(np.append(first, len(term))), "block": block[first],
-            "most": np.maximum.reduceat(weight, first) if len(first) else weight, "start": np.searchsorted(term[first], np.arange(len(self.scale) + 1)),
+            "row": row_of, "dense": dense, "most": dense.max(axis=2).T, "example": example, "weight": weight,
+            "start": np.searchsorted(term, np.arange(len(self.scale) + 1)),
         }
 
-    def nearest(self, t: list[int], n: list[int], k: int = NEIGHBOURS, without: int = -1, rest: float = 0.0) -> list[tuple[float, int]]:
-        """The k examples of greatest positive cosine, ties by example; exact. Blocks are opened in order
-        of their bounds, and only while a bound reaches the k-th cosine of the round before."""
-        p = self.parts
-        terms, q = self.vector(t, n, rest)
-        row = p["row"][terms]
+    def nearest(self, t, n, k: int = NEIGHBOURS, without: int = -1, rest: float = 0.0) -> list[tuple[float, int]]:
+        """The k examples of greatest positive cosine, ties by example; exact."""
+        return self.nearest_of([(t, n, rest)], k, [without])[0]
+
+    def nearest_of(self, rows: list[tuple], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several vectors (t, n, rest). What rare terms add is summed first. With the greatest
+        weights of the common terms it bounds each block; each vector opens blocks in order of their bounds,
+        and only while a bound reaches its k-th cosine of the round before. Those that open a block share
+        the work."""
+        p, docs, width = self.parts, len(rows), self.blocks * BLOCK
+        vectors = [self.vector(*r) for r in rows]
+        doc = np.repeat(np.arange(docs), [len(t) for t, _ in vectors])
+        term, q = (np.concatenate([v[i] for v in vectors]) if docs else np.zeros(0, np.int64) for i in (0, 1))
+        row = p["row"][term]
         often = row >= 0
-        rows, q_rows, terms, q = row[often], q[often], terms[~often], q[~often]
-        lo = p["start"][terms]
-        sizes = p["start"][terms + 1] - lo
-        entries, at_entry = spans(lo, sizes), np.repeat(q, sizes)
-        block = p["block"][entries]
-        bounds = np.bincount(block, at_entry * p["most"][entries], self.blocks) + q_rows @ p["dense_most"][rows]
-        order = np.argsort(-bounds, kind="stable")
-        place = np.full(self.blocks, -1)
-        best, who = np.zeros(0), np.zeros(0, np.int64)
+        common = np.zeros((docs, p["dense"].shape[1]))
+        common[doc[often], row[often]] = q[often]
+        doc, term, q = doc[~often], term[~often], q[~often]
+        lo = p["start"][term]
+        sizes = p["start"][term + 1] - lo
+        postings = spans(lo, sizes)
+        rare = np.bincount(np.repeat(doc * width, sizes) + p["example"][postings], np.repeat(q, sizes) * p["weight"][postings], docs * width)
+        rare = rare.reshape(docs, self.blocks, BLOCK)
+        bounds = common @ p["most"] + rare.max(axis=2)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        falling = np.take_along_axis(bounds, order, 1)
+        best, who = np.full((docs, k), -1.0), np.full((docs, k), len(self.ids), np.int64)
+        each = np.arange(docs)[:, None]
         at, step = 0, FIRST
         while at < self.blocks:
-            reach = best[-1] if len(best) == k else 0.0
-            batch = order[at : at + step]
-            batch = batch[(bounds[batch] > 0) & (bounds[batch] * (1 + 1e-9) >= reach)]
-            if not len(batch):
+            now = order[:, at : at + step]
+            ahead = falling[:, at : at + step]
+            wanted = (ahead > 0) & (ahead * (1 + 1e-9) >= best[:, -1:])
+            if not wanted.any():
                 break  # bounds fall: no later block reaches either
-            self.opened += len(batch)
-            place[batch] = np.arange(len(batch))
-            mine = np.flatnonzero(place[block] >= 0)
-            e = entries[mine]
-            postings = spans(p["first"][e], p["size"][e])
-            where = p["example"][postings]
-            score = np.bincount(place[where // BLOCK] * BLOCK + where % BLOCK, np.repeat(at_entry[mine], p["size"][e]) * p["weight"][postings], len(batch) * BLOCK)
-            if len(rows):
-                score = score + q_rows @ p["dense"][rows[:, None], batch].reshape(len(rows), -1)
-            place[batch] = -1
-            hit = np.flatnonzero((score > 0) & (score >= reach))
-            ids = batch[hit // BLOCK] * BLOCK + hit % BLOCK
-            hit, ids = hit[ids != without], ids[ids != without]
-            if len(hit) > 4 * k:
-                top = score[hit] >= np.partition(score[hit], -k)[-k]
-                hit, ids = hit[top], ids[top]
-            best, who = np.concatenate([best, score[hit]]), np.concatenate([who, ids])
-            top = np.lexsort((who, -best))[:k]
-            best, who = best[top], who[top]
-            at, step = at + step, 2 * step
-        return list(zip(best.tolist(), who.tolist(), strict=True))
+            self.opened += int(wanted.sum())
+            slot = np.full((docs, self.blocks), -1)
+            slot[each, now] = np.where(wanted, np.arange(now.shape[1]), -1)
+            score = np.full((docs, now.shape[1], BLOCK), -1.0)
+            for b in np.flatnonzero((slot >= 0).any(axis=0)):
+                mine = np.flatnonzero(slot[:, b] >= 0)
+                score[mine, slot[mine, b]] = rare[mine, b] + common[mine] @ p["dense"][b]
+            ids = (now[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(docs, -1)
+            flat = np.where(score > 0, score, -1.0).reshape(docs, -1)
+            if without is not None:
+                flat[ids == np.array(without)[:, None]] = -1.0
+            best, who = self._first(np.concatenate([best, flat], axis=1), np.concatenate([who, ids], axis=1), k)
+            at, step = at + step, GROWTH * step
+        return [[(s, e) for s, e in zip(a, b, strict=True) if s > 0] for a, b in zip(best.tolist(), who.tolist(), strict=True)]
+
+    @staticmethod
+    def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k greatest scores of each row and their ids, ties by id, in order."""
+        top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(scores, top, 1).min(axis=1)
+        for i in np.flatnonzero(((scores >= least[:, None]).sum(axis=1) > k) & (least > 0)):  # ties of the last place
+            hit = np.flatnonzero(scores[i] >= least[i])
+            top[i] = hit[np.lexsort((ids[i, hit], -scores[i, hit]))[:k]]
+        s, w = np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
+        order = np.lexsort((w, -s), axis=1)
+        return np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of the toxic neighbours, weighted by nearness and by how thinly a class was drawn."""
         w = np.array([s / (1.05 - min(s, 1.0)) for s, _ in found]) / self.rate[[e for _, e in found]]
         return float((w * self.y[[e for _, e in found]]).sum() / w.sum())
 
-    def score(self, t: list[int], n: list[int], rest: float = 0.0) -> tuple[float, list]:
-        found = self.nearest(t, n, rest=rest) if len(t) else []
-        if not found:
-            return self.blank, []
-        return float(np.interp(self.vote(found), *self.curve)), [self.ids[e] for _, e in found[:3]]
+    def scores(self, rows: list[tuple]) -> list[tuple[float, list]]:
+        """(score, ids of the three nearest) of each (t, n, rest)."""
+        out = []
+        for i in range(0, len(rows), TOGETHER):
+            for found in self.nearest_of(rows[i : i + TOGETHER]):
+                out.append((float(np.interp(self.vote(found), *self.curve)), [self.ids[e] for _, e in found[:3]]) if found else (self.blank, []))
+        return out
 
 
 def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,11 +268,12 @@ def make_index(ids: list, y: list[int], rate: list[float], rows: list[tuple[list
     index.build(rows)
     weight = 1 / index.rate if len(ids) else np.zeros(0)
     votes, at = [], []
-    for e, (t, n) in enumerate(rows):
-        found = index.nearest(t, n, without=e) if len(t) else []
-        if found:
-            votes.append(index.vote(found))
-            at.append(e)
+    for i in range(0, len(rows), TOGETHER):
+        own = list(range(i, min(i + TOGETHER, len(rows))))
+        for e, found in zip(own, index.nearest_of([(*rows[e], 0.0) for e in own], without=own), strict=True):
+            if found:
+                votes.append(index.vote(found))
+                at.append(e)
     rest = np.setdiff1d(np.arange(len(ids)), at)
     index.blank = float(((weight * index.y)[rest].sum() + 0.1) / (weight[rest].sum() + 1)) if len(ids) else 0.5
     if at:
@@ -295,12 +315,15 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, terms: list[str], keep: l
     def make():
         index = shared.value
 
-        @lru_cache(1 << 13)
-        def score(x: bytes, rest: float) -> tuple[float, list]:
-            return index.score(*unpacked(x), rest)
+        known: dict[tuple, tuple] = {}  # results of vectors seen in this task
 
         def run(rows: list) -> list:
-            found = [score(bytes(r["x"]), r["rest"]) for r in rows]
+            keys = [(bytes(r["x"]), r["rest"]) for r in rows]
+            if len(known) > KNOWN:
+                known.clear()
+            new = [key for key in dict.fromkeys(keys) if key not in known]
+            known.update(zip(new, index.scores([(*unpacked(x), rest) for x, rest in new]), strict=True))
+            found = [known[key] for key in keys]
             return [[s for s, _ in found], [int(s >= threshold) for s, _ in found], [e for _, e in found]]
 
         return run
