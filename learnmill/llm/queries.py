@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression_rules, decontaminate, language_id, periodic_runs, quality_nbsvm, sharding, simhash, simplex_clusters, toxicity, url_filter, warc
+from . import bpe, compression_rules, decontaminate, dual_tree, language_id, periodic_runs, quality_nbsvm, sharding, simhash, simplex_clusters, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,16 @@ def op12_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplex_clusters.clusters_query(table(spark, sf_dir, "embeddings"))
 
 
+def op13_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.top_query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_nbsvm, op2_compression_bands, op3_url_digest_array, op4_rank_order_profiles, op5_chunked_bpe,
         op6_decontaminate, op7_simhash_golay, op8_toxicity_neighbours, op9_sampled_splitters, op10_warc_normaliser, op11_periodic_runs, op12_simplex_clusters,
+        op13_dual_tree_top_k,
     )
 }
 
@@ -74,4 +79,5 @@ ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op10_warc_normaliser": warc.ORACLE_SQL,
     "op12_simplex_clusters": simplex_clusters.ORACLE_SQL,
+    "op13_dual_tree_top_k": dual_tree.ORACLE_SQL,
 }
