@@ -173,7 +173,7 @@ def first_centroids(vectors: DataFrame, vec_id: Column, k: int, salt: str) -> np
     """The ``k`` vectors with the least sha256 of ``<salt>:<id>``, in that order; equal ids by their components."""
     key = F.sha2(F.concat(F.lit(f"{salt}:"), F.coalesce(vec_id.cast("string"), F.lit(""))), 256)
     rows = vectors.select("v", key.alias("key")).orderBy("key", "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def cluster(vectors: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", k: int = CENTROIDS, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, scale: int = SCALE, keep: list[str] | None = None, salt: str = "2") -> DataFrame:
