@@ -30,8 +30,8 @@ from .common import checkpointed
 from .simplex_clusters import whole_components
 
 SCALE, TOP, EVERY = 1024, 10, 100
-#: Vectors of a block and of a group of queries, and of a leaf of their trees; the ratio of a node's radius to its children's.
-BLOCK, GROUP, LEAF, BASE = 2048, 256, 24, 1.3
+#: Vectors of a block and of a group of queries, of a leaf of their trees, and the ratio of a node's radius to its children's.
+BLOCK, GROUP, LEAF, QUERY_LEAF, BASE = 2048, 256, 24, 4, 1.3
 #: Landmarks, and vectors they are chosen from for each of them.
 LANDMARKS, DRAWN = 1024, 8
 #: Summaries that are compared together.
@@ -127,7 +127,8 @@ class Search:
         self.floor = np.full(n, NONE) if floor is None else floor
 
     def add(self, data: Tree) -> None:
-        """Walk the pairs of nodes, the best bound first among the children of one node."""
+        """Walk the pairs of nodes, the best bound first among the children of one node. Queries are split first, so
+        that each part of them comes to its own best nodes early."""
         q, p = self.q, data
         if not len(q.points) or not len(p.points):
             return
@@ -139,7 +140,7 @@ class Search:
                 continue
             if not q.children[a] and not p.children[c]:
                 self.leaves(a, c, p)
-            elif not p.children[c] or (q.children[a] and q.radius[a] > p.radius[c]):
+            elif not p.children[c] or (q.children[a] and 2 * q.radius[a] > p.radius[c]):
                 below = np.arange(q.child[a], q.child[a] + q.children[a])
                 bound = bounds(q.centers[below], q.radius[below], q.most[below], p.centers[c : c + 1], p.radius[c : c + 1], p.most[c : c + 1])[:, 0]
                 todo += [(int(below[i]), c, bound[i]) for i in np.argsort(bound)]
@@ -210,7 +211,7 @@ def dealt(vectors: DataFrame, marks: np.ndarray) -> DataFrame:
     return near.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def trees(vectors: DataFrame, width: int, size: int, copies: int | None = None) -> DataFrame:
+def trees(vectors: DataFrame, width: int, size: int, leaf: int, copies: int | None = None) -> DataFrame:
     """(tree, ids, points, nodes, center, radius, most) of each block of up to ``size`` vectors of a landmark, in the
     order they come; with ``copies`` no more than so many of equal vectors in a row."""
 
@@ -220,7 +221,7 @@ def trees(vectors: DataFrame, width: int, size: int, copies: int | None = None)
 
         def cut(points: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
             nonlocal number
-            t = cover_tree(points, ids)
+            t = cover_tree(points, ids, leaf)
             number += 1
             name = (TaskContext.get().partitionId() << 32) + number
             values = [[name], [t.ids], [t.points.ravel()], [t.nodes.ravel()], [t.points[int(t.nodes[0, 0])].astype(np.float64)], [t.nodes[0, 3]], [t.nodes[0, 4]]]
@@ -351,8 +352,8 @@ def top_products(vectors: DataFrame, is_query, k: int = TOP, vector: str = "embe
     most = min(LANDMARKS, -(-n // block))
     drawn = whole.select("v", F.xxhash64("v", "id").alias("h")).orderBy("h", "v").limit(DRAWN * most).collect()  # at most LANDMARKS x DRAWN
     marks = landmarks(np.array([r["v"] for r in drawn], np.int64), most)
-    blocks = checkpointed(trees(dealt(whole, marks), width, block, need))
-    groups = checkpointed(trees(dealt(whole.where(is_query), marks), width, group))
+    blocks = checkpointed(trees(dealt(whole, marks), width, block, LEAF, need))
+    groups = checkpointed(trees(dealt(whole.where(is_query), marks), width, group, QUERY_LEAF))
     sizes = (groups.count(), blocks.count())
     if not sizes[0]:
         return spark.createDataFrame([], schema)

@@ -210,7 +210,7 @@ def test_trees_cover_and_prune():
         below = tree.centers[tree.child[i] : tree.child[i] + tree.children[i]]
         apart = np.sqrt(((below[:, None] - below) ** 2).sum(axis=2)) + np.eye(len(below)) * 1e9
         assert not len(below) or apart.min() > tree.radius[i] / dual_tree.BASE * (1 - 1e-6)
-    queries = dual_tree.cover_tree(v[:100], np.arange(100))
+    queries = dual_tree.cover_tree(v[:100], np.arange(100), dual_tree.QUERY_LEAF)
     search = dual_tree.Search(queries, 11)
     search.add(tree)
     assert search.compared < 0.5 * 100 * 3000
