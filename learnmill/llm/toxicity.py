@@ -41,6 +41,10 @@ TOGETHER = 64
 KNOWN = 1 << 13
 #: Class weight of a term that tells nothing, and documents by which a term's class counts are smoothed.
 EVEN, SMOOTH = 0.05, 20.0
+#: Weights are whole multiples of 1 / GRAIN. Then each product of two is a multiple of 2^-50, each sum of them is below
+#: 2 and so without rounding, and a cosine is the same number in whatever order it is summed: equal examples tie,
+#: however many documents are searched together. Rounding a weight changes it by at most 2^-26.
+GRAIN = 1 << 25
 
 
 def vocabulary(sample: DataFrame) -> list[str]:
@@ -145,16 +149,20 @@ class Index:
     blank: float = 0.5
     opened: int = 0
     blocks: int = 0
+    tie: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     parts: dict[str, np.ndarray] = field(default_factory=dict)
 
     def vector(self, t: list[int], n: list[int], rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a unit vector; ``rest`` lengthens it by the terms without a number."""
         terms = np.array(t, np.int64)
         w = (1 + np.log(np.array(n, np.float64))) * self.scale[terms]
-        return terms, w / (math.sqrt(w @ w + rest * self.unseen**2) or 1.0)
+        size = math.sqrt(math.fsum((w * w).tolist()) + rest * self.unseen**2) or 1.0
+        return terms, np.rint(w / size * GRAIN) / GRAIN
 
     def build(self, rows: list[tuple[list[int], list[int]]]) -> None:
         self.blocks = -(-len(rows) // BLOCK)
+        self.tie = np.arange(self.blocks * BLOCK + 1)
+        self.tie[sorted(range(len(rows)), key=lambda e: self.ids[e])] = np.arange(len(rows))
         vectors = [self.vector(t, n) for t, n in rows]
         example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
@@ -176,7 +184,7 @@ class Index:
         }
 
     def nearest(self, t, n, k: int = NEIGHBOURS, without: int = -1, rest: float = 0.0) -> list[tuple[float, int]]:
-        """The k examples of greatest positive cosine, ties by example; exact."""
+        """The k examples of greatest positive cosine, ties by their ids; exact."""
         return self.nearest_of([(t, n, rest)], k, [without])[0]
 
     def nearest_of(self, rows: list[tuple], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
@@ -201,7 +209,7 @@ class Index:
         bounds = common @ p["most"] + rare.max(axis=2)
         order = np.argsort(-bounds, axis=1, kind="stable")
         falling = np.take_along_axis(bounds, order, 1)
-        best, who = np.full((docs, k), -1.0), np.full((docs, k), len(self.ids), np.int64)
+        best, who = np.full((docs, k), -1.0), np.full((docs, k), width, np.int64)
         each = np.arange(docs)[:, None]
         at, step = 0, FIRST
         while at < self.blocks:
@@ -225,16 +233,15 @@ class Index:
             at, step = at + step, GROWTH * step
         return [[(s, e) for s, e in zip(a, b, strict=True) if s > 0] for a, b in zip(best.tolist(), who.tolist(), strict=True)]
 
-    @staticmethod
-    def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k greatest scores of each row and their ids, ties by id, in order."""
+    def _first(self, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k greatest scores of each row and their examples, ties by the examples' ids, in order."""
         top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
         least = np.take_along_axis(scores, top, 1).min(axis=1)
         for i in np.flatnonzero(((scores >= least[:, None]).sum(axis=1) > k) & (least > 0)):  # ties of the last place
             hit = np.flatnonzero(scores[i] >= least[i])
-            top[i] = hit[np.lexsort((ids[i, hit], -scores[i, hit]))[:k]]
+            top[i] = hit[np.lexsort((self.tie[ids[i, hit]], -scores[i, hit]))[:k]]
         s, w = np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
-        order = np.lexsort((w, -s), axis=1)
+        order = np.lexsort((self.tie[w], -s), axis=1)
         return np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -335,8 +342,8 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, terms: list[str], keep: l
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of every document; rows with crc32 mod 3 = 1 teach
-    nothing. A null doc_id counts as the empty text, rows that repeat are each returned, and without
-    labels every score is 0.5."""
+    nothing. A null doc_id counts as the empty text, rows that repeat are each returned, without labels
+    every score is 0.5, an empty table gives an empty table; equally near examples count by their ids."""
     sample, terms = train_toxicity(docs, labels, fold(F.col("doc_id"), 3) != 1)
     flagged = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
     return score_toxicity(flagged, sample, terms, ["doc_id", "held_out"])
