@@ -39,6 +39,8 @@ GENERATOR = 0b110001110101
 COPY_SHINGLE, BANDS, BAND_ROWS = 5, 30, 5
 #: Bits of the outline of a shingle set, which turns pairs away before their shingles are compared.
 OUTLINE_BITS = 1024
+#: Members of a key up to which all of them are compared with each other.
+CROWDED = 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -371,9 +373,38 @@ def copy_links(hashed: DataFrame, rows: DataFrame, own: tuple[str, str]) -> Data
     named = checkpointed(members.join(roots.withColumnRenamed("node", "s"), "s", "left").select("key", "s", F.coalesce("root", "s").alias("root")))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     apart = checkpointed(with_facts(named.join(mixed, "key", "left_semi"), "s", "f"))
-    left, right = (apart.select("key", F.col("s").alias(n), F.col("root").alias(f"of_{n}"), F.col("f").alias(f"f{n}")) for n in "ab")
-    others = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near("fa", "fb")).select("a", "b").distinct()
-    return linked.unionByName(_alike(others, sets))
+    sizes = apart.groupBy("key").agg(F.count("*").alias("n"))
+    crowded = checkpointed(sizes.where(F.col("n") > CROWDED).select("key"))
+    few = apart.join(crowded, "key", "left_anti")
+    left, right = (few.select("key", F.col("s").alias(n), F.col("root").alias(f"of_{n}"), F.col("f").alias(f"f{n}")) for n in "ab")
+    others = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _near("fa", "fb")).select("a", "b")
+    if not crowded.isEmpty():
+        many = apart.join(crowded, "key", "left_semi").select("s", "root", "f").dropDuplicates(["s"])
+        others = others.unionByName(crowded_pairs(many, sets))
+    return linked.unionByName(_alike(others.distinct(), sets))
+
+
+def crowded_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): candidates for a similarity of 4/5 among ``members`` (s, root, f), whatever their keys, without looking at
+    all pairs; no pair of different roots that is so similar is left out.
+
+    The shingles of each set are put in order of rarity among the members. Two sets that similar share 8/9 of
+    the smaller one and 4/5 of the larger one, so the first ninth of the smaller one's shingles and the first fifth
+    of the larger one's meet, up to one. Texts that share a passage but not enough of the rest have only shingles
+    of their own there, and those meet nobody.
+    """
+    own = members.join(sets.select("s", "shingles"), "s").select("s", "root", "f", F.explode("shingles").alias("t"))
+    often = own.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    # shingles of one member only stand first and meet nobody: only how many they are matters
+    shared = own.select("s", "t").join(often, "t").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("x"))
+    size = F.col("f.size")
+    alone = size - F.size("x")
+    ahead = lambda share: F.slice("x", F.lit(1), F.greatest(size - F.ceil(size * share - 1e-9).cast("int") + 1 - alone, F.lit(0)))
+    ranked = checkpointed(members.join(shared, "s").select("s", "root", "f", ahead(8 / 9).alias("ninth"), ahead(4 / 5).alias("fifth")))
+    left = ranked.select(F.col("s").alias("a"), F.col("root").alias("of_a"), F.col("f").alias("fa"), F.explode("ninth.t").alias("t"))
+    right = ranked.select(F.col("s").alias("b"), F.col("root").alias("of_b"), F.col("f").alias("fb"), F.explode("fifth.t").alias("t"))
+    smaller = F.struct(F.col("fa.size"), F.col("a").alias("s")) < F.struct(F.col("fb.size"), F.col("b").alias("s"))
+    return left.join(right, "t").where(smaller & (F.col("of_a") != F.col("of_b")) & _near("fa", "fb")).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
