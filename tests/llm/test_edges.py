@@ -252,6 +252,8 @@ def test_quality_of_held_out_labels(spark, sf_dir):
     rows = quality_nbsvm.quality_query(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", F.col("quality").alias("want")).collect()
     assert sum(r["predicted"] == r["want"] for r in rows) >= 0.9 * len(rows)
     rows = toxicity.toxicity_query(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", F.col("toxic").alias("want")).collect()
-    assert sum(r["predicted"] == r["want"] for r in rows) >= 0.9 * len(rows)
+    hits, toxic = sum(r["predicted"] and r["want"] for r in rows), sum(r["want"] for r in rows)
+    assert toxic >= 5 and hits >= 0.6 * toxic  # few examples at this size; README has the larger ones
+    assert sum(r["predicted"] and not r["want"] for r in rows) <= 0.02 * (len(rows) - toxic)
     rows = language_id.language_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.97 * len(rows)

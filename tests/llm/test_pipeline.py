@@ -161,3 +161,24 @@ def test_clashing_columns_are_kept(spark):
     scored = quality_nbsvm.score_quality(docs, quality_nbsvm.fit([], np.array([])), docs.columns)
     assert scored.columns.count("score") == 1 and "s" in scored.columns
     assert bpe.encode_documents(docs.withColumn("n_tokens", F.lit("x")), ["doc_id", "n_tokens"]).first()["n_tokens"] > 0
+
+
+def test_a_passage_shared_by_many_gives_few_pairs(spark, monkeypatch):
+    """1500 texts share 400 words and have 60 of their own (similarity 0.75 or so), 60 of them have near copies: the
+    candidates are the near copies and hardly more, and the result is that of brute force."""
+    rng = np.random.default_rng(12)
+    shared = [f"s{x}" for x in range(400)]
+    rows = {}
+    for i in range(1500):
+        own = [f"o{i}-{x}" for x in range(60)]
+        rows[2 * i] = " ".join(shared + own)
+        if i % 25 == 0:
+            own[int(rng.integers(60))] = f"c{i}"
+            rows[2 * i + 1] = " ".join(shared + own)
+    tried = []
+    inner = simhash.crowded_pairs
+    monkeypatch.setattr(simhash, "crowded_pairs", lambda *a: tried.append(inner(*a)) or tried[-1])
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept == {2 * i for i in range(1500)}
+    assert tried and tried[0].count() < 500
