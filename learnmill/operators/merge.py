@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,20 +43,58 @@ def insert_or_ignore(target: DataFrame, source: DataFrame, keys: list[str]) -> D
     return target.unionByName(source.join(target, keys, "left_anti").dropDuplicates(keys), allowMissingColumns=True)
 
 
+def _places(spark: SparkSession, path: str):
+    """The store, and the paths of a swapped table: itself, the one being written, the one that was."""
+    base = path.rstrip("/")
+    at = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base + end) for end in ("", ".new", ".old")]
+    return at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *at
+
+
+def _move(store, a, b) -> None:
+    if not store.rename(a, b):
+        raise OSError(f"could not rename {a} to {b}")
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put a swapped table right that a crash has left half swapped; whether there is one then.
+
+    Without a table in place, rows that were written to the end take it, else the rows that were there before.
+    With one, what lies beside it is of no use: the new rows are not whole or would be merged again, and the
+    old ones have been replaced.
+    """
+    store, here, new, old = _places(spark, path)
+    if not store.exists(here):
+        whole = store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS"))
+        if whole or store.exists(old):
+            _move(store, new if whole else old, here)
+    for beside in (new, old):
+        if store.exists(beside):
+            store.delete(beside, True)
+    return store.exists(here)
+
+
+def read_swapped(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table kept by ``write_swapped``, after recovery; None if there has never been one."""
+    return spark.read.parquet(path) if recover(spark, path) else None
+
+
 def write_swapped(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write beside ``path`` and put it in place by two renames: readers see old or new rows, never a mix,
-    but between the renames no table. The old rows go only when the new ones are in place."""
+    """Write beside ``path`` and put it in place by two renames. Readers see old or new rows, never a mix, but
+    between the renames no table, so they go through ``read_swapped``. The old rows go only when the new ones
+    are in place; after a crash at any step ``recover`` finds one of the two whole. One writer at a time: what another
+    one has begun is taken for the rest of a crash. ``df`` may read the table at ``path``."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(new) if partition_by else df.write.mode("overwrite").parquet(new)
-    place = jvm.org.apache.hadoop.fs.Path
-    store = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.delete(place(old), True)
-    if store.exists(place(path)):
-        store.rename(place(path), place(old))
-    store.rename(place(new), place(path))
-    store.delete(place(old), True)
+    store, here, new, old = _places(spark, path)
+    there = store.exists(here)
+    if not there and store.exists(old):
+        raise RuntimeError(f"{path} is half swapped: read it with read_swapped first")
+    writer = df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(new.toString())
+    store.delete(old, True)
+    if there:
+        _move(store, here, old)
+    _move(store, new, here)
+    store.delete(old, True)
 
 
 #: Columns that change when a known key comes again.

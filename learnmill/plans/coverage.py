@@ -4,6 +4,7 @@ DuckDB SQL where SQL can say it. ``queries`` imports this module last."""
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from learnmill.operators import privacy as P
 from learnmill.operators import questions as Q
 from learnmill.operators import text, vectors
 from learnmill.sources import io
+from learnmill.streaming import stateful as T
 from learnmill.streaming import streams as S
 
 from . import fixtures as V
@@ -518,8 +520,74 @@ def r4_inactive_users(spark, d):
 
 
 @query("select event_id, user_id from clicks where ((us // 3600000000) + 1) * 3600000 > (select max(us) // 1000 - 60000 from clicks)")
-def r9_late_rows(spark, d):
+def r6_open_windows(spark, d):
     """Clicks of the windows that a stream has not closed, by a batch run over everything."""
     rows = M.with_time(V.clicks(spark, d)).withColumn("hour", F.floor(F.col("us") / 3600000000).cast("long"))
     closed = base.r6_clicks_by_window(spark, d).select("user_id", "hour")
     return S.late_rows(rows, rows.join(closed, ["user_id", "hour"], "left_semi"), ["event_id"]).select("event_id", "user_id")
+
+
+def in_stretches(rows: DataFrame, stretch, count: int, run) -> None:
+    """Let a stream see ``rows`` stretch by stretch: each is added to the folder that the stream reads, and the stream
+    is started again from its checkpoint. ``run(stream, checkpoint)`` runs it to the end."""
+    spark, path = rows.sparkSession, place(rows.sparkSession, "arrivals")
+    for i in range(count):
+        rows.where(stretch == i).write.mode("append").parquet(f"{path}/rows")
+        run(spark.readStream.schema(rows.schema).parquet(f"{path}/rows"), f"{path}/marks")
+
+
+CLICK_SPAN = 3 * 86400
+
+
+@query(f"""select user_id::varchar as user_id, w as window_us, number, case when n = 3 then 'full' else 'time' end as reason, n, first_us, last_us, event_ids from (
+    select user_id, w, k as number, count(*) as n, min(us) as first_us, max(us) as last_us, list(event_id order by us, event_id) as event_ids from (
+      select *, us // {CLICK_SPAN}000000 * {CLICK_SPAN}000000 as w, (row_number() over (partition by user_id, us // {CLICK_SPAN}000000 order by us, event_id) - 1) // 3 as k from clicks) group by user_id, w, k)
+    where n = 3 or (w + {CLICK_SPAN}000000) // 1000 <= (select max(us) // 1000 - 60000 from clicks)""")
+def r5_click_batches(spark, d):
+    """Batches of three clicks or three days: the test tables have no users with 50 clicks in 5 seconds."""
+    clicks = base.event_stream(spark, d).where("event_type = 'click'")
+    return S.run_to_table(T.click_batches(clicks, 3, CLICK_SPAN, "1 minute"), "click-batches", start=T.begin)
+
+
+@lru_cache(maxsize=4)
+def dashboard(spark, d) -> str:
+    """The folder of a dashboard that a stream has kept over three stretches of time, started again for each."""
+    rows, path = V.learning_events(spark, d), place(spark, "dashboard")
+    third = F.when(F.col("timestamp") < "2024-01-11", 0).when(F.col("timestamp") < "2024-01-21", 1).otherwise(2)
+
+    def run(stream, marks):
+        writer = T.card_changes(stream).writeStream.outputMode("update").foreachBatch(T.dashboard_into(path))
+        T.begin(writer.option("checkpointLocation", marks).trigger(availableNow=True)).awaitTermination()
+
+    in_stretches(rows, third, 3, run)
+    return path
+
+
+@query(base.CARDS.replace("select *", "select * replace (user_id::varchar as user_id)", 1))
+def r2_live_cards(spark, d):
+    return rounded(T.live_cards(spark, dashboard(spark, d)), "avg_mastery")
+
+
+@query(base.TOTALS)
+def r2_live_totals(spark, d):
+    return T.live_totals(spark, dashboard(spark, d))
+
+
+LATE_SECONDS = 5 * 86400
+ARRIVAL = "(event_id * 1103515245 + 12345) % 2147483648"
+
+
+@query(f"""select event_id, user_id::varchar as user_id, behind_us from (select *, max(us) over (partition by user_id order by arrival, event_id rows between unbounded preceding and 1 preceding) - {LATE_SECONDS}000000 - us as behind_us
+    from (select *, {ARRIVAL} as arrival from le)) where behind_us > 0""")
+def r9_late_rows(spark, d):
+    """The events that come more than five days behind their user's newest one, in an order of arrival that mixes
+    the times, by a stream that is started four times."""
+    path = place(spark, "late")
+    rows = V.learning_events(spark, d).withColumn("arrival", F.expr(ARRIVAL))
+
+    def run(stream, marks):
+        writer = T.lateness(stream, LATE_SECONDS, "arrival").writeStream.format("parquet").option("checkpointLocation", marks)
+        T.begin(writer.trigger(availableNow=True), path).awaitTermination()
+
+    in_stretches(rows, F.floor(F.col("arrival") / 2**29), 4, run)
+    return spark.read.parquet(path).where("late").select("event_id", "user_id", "behind_us")

@@ -125,7 +125,10 @@ def a4_overall_status(spark, d):
     return rounded(M.overall_status(M.class_overview(states(spark, d))), "avg_mastery")
 
 
-@query(f"select count(*) as total_students, round(avg(avg_mastery), 3) as class_mean, count(*) filter (overall_status = 'MASTERED') as ready, count(*) filter (overall_status = 'LEARNING') as distracted, count(*) filter (overall_status = 'STRUGGLING') as intervention from ({CARDS})")
+TOTALS = f"select count(*) as total_students, round(avg(avg_mastery), 3) as class_mean, count(*) filter (overall_status = 'MASTERED') as ready, count(*) filter (overall_status = 'LEARNING') as distracted, count(*) filter (overall_status = 'STRUGGLING') as intervention from ({CARDS})"
+
+
+@query(TOTALS)
 def a5_class_totals(spark, d):
     return M.class_totals(M.class_mastery(states(spark, d)))
 

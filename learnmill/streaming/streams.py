@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from learnmill.operators import mastery, privacy
-from learnmill.operators.merge import merge
+from learnmill.operators.merge import merge, read_swapped, write_swapped
 
 STATE = "p double, last_us long, n long, ok long, right long, wrong long"
 MOVES = (
@@ -49,33 +49,26 @@ def mastery_stream(events: DataFrame, rule: str = "bayes") -> DataFrame:
 
 
 def into_table(path: str, keys: list[str], update: list[str]):
-    """A ``foreachBatch`` function that merges each batch into the Parquet table at ``path``. A batch
-    that comes again changes nothing."""
-    from learnmill.operators.merge import write_swapped
+    """A ``foreachBatch`` function that merges each batch into the Parquet table at ``path``, which is written anew;
+    for a dashboard over many users ``stateful.dashboard_into`` writes only what a batch brings. A batch that
+    comes again changes nothing. Read the table with ``read_swapped``."""
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("us", "event_id")).alias("s"))
         last = last.select(*keys, *[F.col(f"s.{c}").alias(c) for c in rest])
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        now = merge(spark.read.parquet(path), last, keys, update) if store.exists(place) else last
-        write_swapped(now, path)
+        before = read_swapped(batch.sparkSession, path)
+        write_swapped(last if before is None else merge(before, last, keys, update), path)
 
     return put
 
 
 def newest_into(path: str, n: int = 20):
-    """A ``foreachBatch`` function that keeps the newest n events at ``path``."""
-    from learnmill.operators.merge import write_swapped
+    """A ``foreachBatch`` function that keeps the newest n events at ``path``: n rows, whatever the stream."""
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        rows = batch
-        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            rows = spark.read.parquet(path).unionByName(batch).dropDuplicates(["event_id"])
+        before = read_swapped(batch.sparkSession, path)
+        rows = batch if before is None else before.unionByName(batch).dropDuplicates(["event_id"])
         write_swapped(mastery.last_events(rows, n).drop("us"), path)
 
     return put
@@ -143,8 +136,9 @@ def late_rows(all_rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFram
     return all_rows.join(kept.select(*keys), keys, "left_anti")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there into a new table of the shared folder; its rows."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", start=None) -> DataFrame:
+    """Run a stream over what is there into a new table of the shared folder; its rows. ``start`` takes the writer
+    and the path where the stream needs settings of its own (``stateful.begin``)."""
     import uuid
 
     from learnmill.operators.graph import shared_root
@@ -152,5 +146,5 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     spark = stream.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/marks").trigger(availableNow=True)
-    writer.start(f"{path}/rows").awaitTermination()
+    (start(writer, f"{path}/rows") if start else writer.start(f"{path}/rows")).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
