@@ -97,9 +97,18 @@ def rapid_now(clicks: DataFrame, n: int = 5, seconds: float = 2.0) -> DataFrame:
 
 
 def trailing_clicks(clicks: DataFrame, seconds: int = 5) -> DataFrame:
-    """For each click, how many the user made in the trailing seconds, itself included."""
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-int(seconds * 1e6), 0)
-    return with_time(clicks).select("event_id", "user_id", F.count("*").over(w).alias("recent_clicks"))
+    """For each click, how many the user made in the trailing seconds, itself included.
+
+    A user's clicks are cut into spans of that length and each span is counted with a copy of the one before
+    it, which is as far back as a click looks. So a window holds two spans of a user, however many clicks
+    the user has made in all.
+    """
+    size = int(seconds * 1e6)
+    span = F.floor(F.col("us") / size).cast("long")
+    looked_at = F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))
+    rows = with_time(clicks).select("event_id", "user_id", "us", F.explode(looked_at).alias("at")).select("event_id", "user_id", "us", "at.*")
+    w = Window.partitionBy("user_id", "span").orderBy("us").rangeBetween(-size, 0)
+    return rows.withColumn("recent_clicks", F.count("*").over(w)).where("own").select("event_id", "user_id", "recent_clicks")
 
 
 def suggest_mode(frustrated: Column, errors: Column, is_struggling: Column, rapid: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from learnmill.functions.scalar import clamp, micros
 
+from . import folds
+
 KEY = ["user_id", "skill_id"]
 SLIP, GUESS, START = 0.05, 0.2, 0.5
 LOW, HIGH = 0.01, 0.99
@@ -56,41 +58,65 @@ def needs_intervention(p: Column, attempts: Column, wrong_in_a_row: Column) -> C
 STATE = "probability_mastery double, total_attempts long, correct_attempts long, consecutive_correct long, consecutive_incorrect long, last_attempt_us long"
 
 
-def rule_states(events: DataFrame) -> DataFrame:
+class SimpleRule(folds.Rule):
+    """+.1 or -.05 an answer, kept in [0, 1]."""
+
+    start, floor, ceiling = START, 0.0, 1.0
+
+    def step(self, p: float, hit: bool, hours: float | None) -> float:
+        return min(1.0, p + 0.1) if hit else max(0.0, p - 0.05)
+
+
+class BayesRule(folds.Rule):
+    """Reset after a day away, then Bayes' rule, kept in [LOW, HIGH]."""
+
+    start, floor, ceiling = START, LOW, HIGH
+
+    def step(self, p: float, hit: bool, hours: float | None) -> float:
+        return bayes_step(reset_step(p, hours), hit)
+
+    def both(self, low: float, high: float, hit: bool, hours: float | None) -> tuple[float, float]:
+        """The two walks count as one only where both lie clearly beyond a clamp: rounding might change their order."""
+        a, b = (posterior(reset_step(p, hours), hit) for p in (low, high))
+        if a > HIGH + folds.MARGIN or b < LOW - folds.MARGIN:
+            return (HIGH, HIGH) if hit else (LOW, LOW)
+        low, high = max(LOW, min(HIGH, a)), max(LOW, min(HIGH, b))
+        return (low, high) if low != high else (LOW, HIGH)
+
+
+def answers(events: DataFrame) -> DataFrame:
+    return events.select(*KEY, "event_id", micros("timestamp").alias("us"), "is_correct", F.col("attempts").cast("long").alias("attempts"))
+
+
+def rule_states(events: DataFrame, hot: int = folds.HOT) -> DataFrame:
     """State of each (user, skill) by the simple rule: +.1 or -.05 an answer, kept in [0, 1].
 
-    The events are dealt by key and sorted by (timestamp, event_id); a task walks through them once and
-    holds one state, so a key of any length takes no memory.
+    One ordered walk a key with one state in memory; keys of more than ``hot`` answers are spread over tasks.
     """
-    rows = events.select(*KEY, micros("timestamp").alias("us"), "event_id", "is_correct", F.col("attempts").cast("long").alias("attempts"))
-    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "us", "event_id").drop("event_id")
-    names = [*KEY, *(x.split()[0] for x in STATE.split(", "))]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, kinds = None, None, None
-        for b in batches:
-            kinds = b.schema.types[:2]
-            out = []
-            for user, skill, us, hit, attempts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (user, skill) != key or state is None:
-                    if state is not None:
-                        out.append((*key, *state))
-                    key, state = (user, skill), (START, 0, 0, 0, 0, None)
-                p, n, ok, right, wrong, _ = state
-                n += attempts or 0
-                state = (min(1.0, p + 0.1), n, ok + 1, right + 1, 0, us) if hit else (max(0.0, p - 0.05), n, ok, 0, wrong + 1, us)
-            if out:
-                yield _batch(out, kinds, names)
-        if state is not None:
-            yield _batch([(*key, *state)], kinds, names)
-
+    rows = answers(events)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in KEY}
-    return rows.mapInArrow(walk, f"user_id {kinds['user_id']}, skill_id {kinds['skill_id']}, {STATE}")
+    return folds.fold(rows, KEY, SimpleRule(), LastStates, f"user_id {kinds['user_id']}, skill_id {kinds['skill_id']}, {STATE}", hot)
+
+
+class LastStates:
+    """Gathers the state of each key that has ended."""
+
+    def __init__(self):
+        self.rows, self.kinds = [], None
 
+    def each(self, *_):
+        return None
 
-def _batch(rows: list[tuple], keys: list, names: list[str]) -> pa.RecordBatch:
-    kinds = [*keys, pa.float64(), *[pa.int64()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    def ended(self, key: tuple, s: folds.State) -> None:
+        self.rows.append((*key, s.low, s.n, s.ok, s.right, s.wrong, s.last))
+
+    def batches(self, batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        self.kinds = batch.schema.types[:2] if batch is not None else self.kinds
+        if self.rows:
+            kinds = [*self.kinds, pa.float64(), *[pa.int64()] * 5]
+            names = [*KEY, *(x.split()[0] for x in STATE.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows, strict=True), kinds, strict=True)], names=names)
+            self.rows = []
 
 
 TRAJECTORY = (
@@ -99,40 +125,53 @@ TRAJECTORY = (
 )
 
 
-def bayes_step(p: float, correct: bool) -> float:
+def posterior(p: float, correct: bool) -> float:
     p = max(LOW, min(HIGH, p))
     a, b = ((1 - SLIP) * p, GUESS * (1 - p)) if correct else (SLIP * p, (1 - GUESS) * (1 - p))
-    return max(LOW, min(HIGH, a / (a + b)))
+    return a / (a + b)
+
+
+def bayes_step(p: float, correct: bool) -> float:
+    return max(LOW, min(HIGH, posterior(p, correct)))
 
 
-def trajectory(events: DataFrame) -> DataFrame:
+def reset_step(p: float, hours: float | None) -> float:
+    if hours is None or hours <= RESET_HOURS:
+        return p
+    share = min(RESET_MOST, (hours - RESET_HOURS) / RESET_SPAN)
+    return p * (1 - share) + START * share
+
+
+def trajectory(events: DataFrame, hot: int = folds.HOT) -> DataFrame:
     """Every event with the mastery before and after it: reset, Bayes update, counters.
 
-    The events are dealt by key and sorted; a task walks through them once and holds one state, so a
-    key of any length takes no memory. ``previous_mastery`` is that before the reset.
+    One ordered walk a key with one state in memory; keys of more than ``hot`` answers are spread over tasks.
+    ``previous_mastery`` is that before the reset.
     """
-    rows = events.select(*KEY, "event_id", micros("timestamp").alias("us"), "is_correct", F.col("attempts").cast("long").alias("attempts"))
-    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "us", "event_id")
+    rows = answers(events)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in KEY}
-    names = [*KEY, *(x.split()[0] for x in TRAJECTORY.split(", "))]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, p, last, n, ok, right, wrong = None, START, None, 0, 0, 0, 0
-        for b in batches:
-            out = []
-            for user, skill, event, us, hit, attempts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (user, skill) != key:
-                    key, p, last, n, ok, right, wrong = (user, skill), START, None, 0, 0, 0, 0
-                before, hours = p, None if last is None else (us - last) / 3.6e9
-                if hours is not None and hours > RESET_HOURS:
-                    share = min(RESET_MOST, (hours - RESET_HOURS) / RESET_SPAN)
-                    p = p * (1 - share) + START * share
-                p, last, n = bayes_step(p, bool(hit)), us, n + (attempts or 0)
-                ok, right, wrong = ok + bool(hit), (right + 1) * bool(hit), (wrong + 1) * (not hit)
-                out.append((user, skill, event, us, hit, before, hours, p, n, ok, right, wrong))
-            yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.types[i] if i < 5 else (pa.float64() if i in (5, 6, 7) else pa.int64())) for i, c in enumerate(zip(*out, strict=True))] if out else [b.column(i) for i in range(5)] + [pa.array([], pa.float64())] * 3 + [pa.array([], pa.int64())] * 4, names=names)
-
-    return rows.mapInArrow(walk, f"user_id {kinds['user_id']}, skill_id {kinds['skill_id']}, {TRAJECTORY}")
+    return folds.fold(rows, KEY, BayesRule(), Moves, f"user_id {kinds['user_id']}, skill_id {kinds['skill_id']}, {TRAJECTORY}", hot)
+
+
+class Moves:
+    """Gathers a row for each answer."""
+
+    def __init__(self):
+        self.rows = []
+
+    def each(self, key: tuple, event: list, us: list, hits: list):
+        now = iter(zip(event, us, hits, strict=True))
+        return lambda before, hours, p, n, ok, right, wrong: self.rows.append((*key, *next(now), before, hours, p, n, ok, right, wrong))
+
+    def ended(self, *_) -> None:
+        pass
+
+    def batches(self, batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        if self.rows and batch is not None:
+            kinds = [*batch.schema.types[:5], *[pa.float64()] * 3, *[pa.int64()] * 4]
+            names = [*KEY, *(x.split()[0] for x in TRAJECTORY.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows, strict=True), kinds, strict=True)], names=names)
+            self.rows = []
 
 
 def record_events(events: DataFrame) -> DataFrame:
@@ -253,10 +292,50 @@ def last_events(events: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(by_time(*keys, desc=True))).where(F.col("rn") <= n)
 
 
-def running_streaks(events: DataFrame) -> DataFrame:
-    """Right and wrong answers in a row, running totals, and hours since the answer before."""
+def running_streaks(events: DataFrame, hot: int = folds.HOT) -> DataFrame:
+    """Right and wrong answers in a row, running totals, and hours since the answer before. Windows for ordinary keys;
+    keys of more than ``hot`` answers are walked over several tasks."""
+    ordinary, many = folds.split(with_time(events), KEY, hot)
+    rows = _streak_windows(ordinary)
+    if many is None:
+        return rows
+    kinds = {f.name: f.dataType.simpleString() for f in many.schema if f.name in KEY}
+    schema = f"event_id long, user_id {kinds['user_id']}, skill_id {kinds['skill_id']}, {STREAKS}"
+    return rows.unionByName(folds.spread(answers(many), KEY, folds.Counting(), Streaks, schema))
+
+
+STREAKS = "is_correct boolean, consecutive_correct int, consecutive_incorrect int, total_attempts long, correct_attempts long, hours_since double"
+
+
+class Streaks:
+    """Gathers the counters after each answer."""
+
+    def __init__(self):
+        self.rows = []
+
+    def each(self, key: tuple, event: list, us: list, hits: list):
+        now = iter(zip(event, hits, strict=True))
+
+        def put(before, hours, p, n, ok, right, wrong):
+            event_id, hit = next(now)
+            self.rows.append((event_id, *key, hit, right, wrong, n, ok, hours))
+
+        return put
+
+    def ended(self, *_) -> None:
+        pass
+
+    def batches(self, batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        if self.rows and batch is not None:
+            kinds = [batch.schema.types[2], *batch.schema.types[:2], pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            names = ["event_id", *KEY, *(x.split()[0] for x in STREAKS.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows, strict=True), kinds, strict=True)], names=names)
+            self.rows = []
+
+
+def _streak_windows(rows: DataFrame) -> DataFrame:
     w = by_time(*KEY)
-    rows = with_time(events).withColumn("hit", F.col("is_correct").cast("int"))
+    rows = rows.withColumn("hit", F.col("is_correct").cast("int"))
     changed = F.coalesce((F.col("hit") != F.lag("hit").over(w)).cast("int"), F.lit(1))
     rows = rows.withColumn("changed", changed).withColumn("run", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     nth = F.row_number().over(by_time(*KEY, "run"))
