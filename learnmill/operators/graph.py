@@ -121,35 +121,50 @@ def paths(pairs: DataFrame, steps: DataFrame, max_hops: int | None = None) -> Da
     """(a, b, path) of least hops, among equal ones the least sequence of ids; a = b is the path of
     itself; pairs without a path, or without one of ``max_hops`` if that is given, are left out.
 
-    Layers grow from the start and from the goal in turn and meet half way; a node is entered once from
-    each side of a pair, with the least path to it.
+    Layers grow backward from the goals, 64 goals to a word: a row (block, node, bits) says which goals of the
+    block are so many hops from the node. A goal grows until all its starts are met. Then each path is read
+    forward: from a node on to the least neighbour that is one hop nearer to the goal. So what is kept has a row for
+    each node and 64 goals, and no path is carried while the layers grow.
     """
     pairs = pairs.select("a", "b").distinct()
-    found = pinned(pairs.where("a = b").select("a", "b", F.array("a").alias("path")))
+    steps = pinned(steps.select("src", "dst").distinct())
+    found = pairs.where("a = b").select("a", "b", F.array("a").alias("path"))
     apart = pinned(pairs.where("a <> b"))
-    layer = {"a": apart.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")), "b": apart.select("a", "b", F.col("b").alias("node"), F.array("b").alias("path"))}
-    seen = {side: rows.select("a", "b", "node") for side, rows in layer.items()}
-    hops = 0
-    while max_hops is None or hops < max_hops:
-        hops += 1
-        side, other = ("a", "b") if hops % 2 else ("b", "a")
-        here, there, more = ("src", "dst", F.concat("path", F.array("dst"))) if side == "a" else ("dst", "src", F.concat(F.array("src"), "path"))
-        grown = layer[side].join(steps, layer[side]["node"] == steps[here]).select("a", "b", F.col(there).alias("node"), more.alias("path"))
-        now = pinned(grown.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen[side], ["a", "b", "node"], "left_anti"))
-        if now.isEmpty():
+    # places within a task, so that numbering needs no task that sees all goals
+    goals = pinned(apart.select("b").distinct().withColumn("id", F.monotonically_increasing_id()))
+    goals = goals.select("b", F.shiftright("id", 6).alias("block"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
+    want = pinned(apart.join(goals, "b").select("a", "b", "block", "bit"))
+    fresh = pinned(goals.groupBy("block", F.col("b").alias("node")).agg(F.bit_or("bit").alias("bits")))
+    seen = fresh.withColumnRenamed("bits", "old")
+    layers, hits, hop = fresh.withColumn("hop", F.lit(0)), None, 0
+    while not want.isEmpty() and (max_hops is None or hop < max_hops):
+        hop += 1
+        active = want.groupBy("block").agg(F.bit_or("bit").alias("open"))
+        front = fresh.join(active, "block").select("block", F.col("node").alias("dst"), F.expr("bits & open").alias("bits")).where("bits <> 0")
+        grown = front.join(steps, "dst").groupBy("block", F.col("src").alias("node")).agg(F.bit_or("bits").alias("new"))
+        both = seen.join(grown, ["block", "node"], "full").select("block", "node", F.coalesce("old", F.lit(0)).cast("long").alias("old"), F.coalesce("new", F.lit(0)).cast("long").alias("new"))
+        both = pinned(both)
+        fresh = both.select("block", "node", F.expr("new & ~old").alias("bits")).where("bits <> 0")
+        seen = both.select("block", "node", F.expr("old | new").alias("old"))
+        layers = layers.unionByName(fresh.withColumn("hop", F.lit(hop)))
+        judged = want.join(fresh.select("block", F.col("node").alias("a"), "bits"), ["block", "a"], "left")
+        judged = pinned(judged.select("a", "b", "block", "bit", (F.coalesce("bits", F.lit(0)).bitwiseAND(F.col("bit")) != 0).alias("met")))
+        met = judged.where("met").select("a", "b", "block", "bit", F.lit(hop).alias("left"))
+        hits = met if hits is None else hits.unionByName(met)
+        want = judged.where("not met").drop("met")
+        if fresh.isEmpty():
             break
-        seen[side], layer[side] = seen[side].unionByName(now.select("a", "b", "node")), now
-        first, second = layer["a"].withColumnRenamed("path", "head"), layer["b"].withColumnRenamed("path", "tail")
-        whole = F.concat("head", F.slice("tail", F.lit(2), F.size("tail")))
-        hit = pinned(first.join(second, ["a", "b", "node"]).groupBy("a", "b").agg(F.min(whole).alias("path")))
-        found = found.unionByName(hit)
-        # pairs that have met, or whose other side has nowhere to go, are done
-        done = hit.select("a", "b")
-        layer[side] = now.join(done, ["a", "b"], "left_anti").join(layer[other].select("a", "b").distinct(), ["a", "b"], "left_semi")
-        layer[other] = pinned(layer[other].join(done, ["a", "b"], "left_anti").join(now.select("a", "b").distinct(), ["a", "b"], "left_semi"))
-        if hops % 8 == 0:  # one table each again, so that the plan stays short
-            found, seen = pinned(found), {k: pinned(v) for k, v in seen.items()}
-    return found.select("a", "b", "path")
+    if hits is None:
+        return found
+    walk, layers = hits.select("*", F.col("a").alias("node"), F.array("a").alias("path")), pinned(layers)
+    nearer = layers.select("block", F.col("node").alias("dst"), "hop", "bits")
+    longest = hits.agg(F.max("left")).first()[0] or 0
+    for step in range(longest):
+        found = found.unionByName(walk.where("left = 0").select("a", "b", "path"))
+        ahead = walk.where("left > 0").join(steps, F.col("node") == F.col("src")).withColumn("hop", F.col("left") - 1).join(nearer, ["block", "dst", "hop"])
+        ahead = ahead.where(F.col("bits").bitwiseAND(F.col("bit")) != 0).groupBy("a", "b", "block", "bit", "left", "path").agg(F.min("dst").alias("node"))
+        walk = pinned(ahead.select("a", "b", "block", "bit", (F.col("left") - 1).alias("left"), "node", F.concat("path", F.array("node")).alias("path")))
+    return found.unionByName(walk.where("left = 0").select("a", "b", "path"))
 
 
 def learning_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:

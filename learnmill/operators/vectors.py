@@ -194,10 +194,12 @@ def context_summary(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("avg_score"))
 
 
-def embed(df: DataFrame, function: Callable | None = None, text: str = "content", title: str | None = None, size: int = 256, limit: int = 100_000) -> DataFrame:
+def embed(df: DataFrame, function: Callable | None = None, text: str = "content", title: str | None = None, size: int = 256, limit: int | None = None) -> DataFrame:
     """Add ``embedding``: by a user's function from a list of texts to a list of vectors, run on Arrow
-    batches of distinct texts, or by hashed TF-IDF."""
-    whole = F.substring(F.concat_ws("\n\n", title, text) if title else F.col(text), 1, limit)
+    batches of distinct texts, or by hashed TF-IDF. Whole texts by default; ``limit`` cuts them to so many
+    characters first (100,000 in a store whose model takes no more)."""
+    whole = F.concat_ws("\n\n", title, text) if title else F.col(text)
+    whole = whole if limit is None else F.substring(whole, 1, limit)
     if function is not None:
         @F.pandas_udf("array<float>")
         def vectors(t: pd.Series) -> pd.Series:

@@ -178,11 +178,11 @@ ASKED = f"""(select message_id, message, {KIND} as kind, embedding as query from
 
 
 @query(f"""select message_id, count(*) as n, round(avg(s), 5) as avg_score, count(distinct source)::int as n_sources from (
-  select message_id, kind, book_id || '-' || chapter_id as source, {base.COS} as s from chunks, {ASKED} qualify row_number() over (partition by message_id order by s desc, chunk_id) <= 5)
+  select message_id, kind, book_id || '-' || chapter_id as source, {base.COS} as s from vectored, {ASKED} qualify row_number() over (partition by message_id order by s desc, chunk_id) <= 5)
   where s >= case when kind = 'hybrid' then -1 else 0.2 end group by message_id""")
 def q6_retrieved(spark, d):
     asked = base.asked_messages(spark, d).withColumn("retrieval_type", C.retrieval_type("message"))
-    got = K.retrieved(asked, V.chunks(spark, d), thresholds=(("fact", 0.2), ("concept", 0.2)))
+    got = K.retrieved(asked, V.vectored(spark, d), thresholds=(("fact", 0.2), ("concept", 0.2)))
     return got.select("message_id", "n", F.round("avg_score", 5).alias("avg_score"), F.size("sources").alias("n_sources"))
 
 
@@ -440,9 +440,9 @@ def s8_unified_science(spark, d):
     return io.unified_science(rows).select("question_id", "question_text", "distractors")
 
 
-@query("select chunk_id::varchar as chunk_id, content, len(embedding)::int as size, round(list_sum(embedding::double[]), 4) as total from chunks where chunk_id % 3 <> 0")
+@query("select chunk_id::varchar as chunk_id, content, len(embedding)::int as size, round(list_sum(embedding::double[]), 4) as total from vectored where chunk_id % 3 <> 0")
 def s9_read_embedding_pair(spark, d):
-    rows = V.chunks(spark, d).withColumn("doc_id", F.col("chunk_id"))
+    rows = V.vectored(spark, d).withColumn("doc_id", F.col("chunk_id"))
     ident = F.col("chunk_id").cast("string").alias("chunk_id")
     metadata = as_files(rows, hundred(), F.struct(F.collect_list(F.struct(ident, "chapter_id", "book_id", "content")).alias("chunks")))
     found = as_files(rows.where("chunk_id % 3 <> 0"), hundred(), F.struct(F.collect_list(F.struct(ident, "embedding")).alias("embeddings")))
@@ -458,10 +458,10 @@ def s10_write_chunk_review(spark, d):
     return spark.read.schema("chunk_id long, content string, chapter_id string").json(path).select("chunk_id", "content")
 
 
-@query("select chunk_id, 5 as shown, len(embedding)::int as size, left(content, 1000) as content from chunks")
+@query("select chunk_id, 5 as shown, len(embedding)::int as size, left(content, 1000) as content from vectored")
 def s11_write_embeddings(spark, d):
     a, b = place(spark, "metadata"), place(spark, "vectors")
-    io.write_embeddings(V.chunks(spark, d).select("chunk_id", "content", "embedding"), a, b)
+    io.write_embeddings(V.vectored(spark, d).select("chunk_id", "content", "embedding"), a, b)
     head = spark.read.schema("chunk_id long, embedding_preview array<float>, embedding_size int").json(a)
     whole = spark.read.schema("chunk_id long, content string").json(b)
     return head.join(whole, "chunk_id").select("chunk_id", F.size("embedding_preview").alias("shown"), F.col("embedding_size").alias("size"), "content")
@@ -474,12 +474,23 @@ def s12_write_progress(spark, d):
     return spark.read.schema("successes long, failures long").json(path)
 
 
-@query()
+LOG_CASES = " union all ".join(f"select '{name}' as type, line from logs where regexp_matches(line, '(?i){pattern}')" for name, pattern in io.LOG_PATTERNS.items())
+
+
+@query(f"""with logs as (select unnest(string_split(text, chr(10))) as line from documents where text is not null and source is not null
+  union all select 'student ' || user_id || ' answered ' || event_id from events union all select 'actual name: ' || p_name || ' seen' from part where p_name is not null)
+  select type, count(*) as n, sum(length(line))::bigint as characters from ({LOG_CASES}) group by type""")
 def s19_scan_logs(spark, d):
-    """Personal data on the lines of every document, written as logs; a test compares it with a plain loop."""
+    """Personal data on the lines of every document, event and part, written as logs and read in splits; a test
+    compares files, line numbers and previews with a plain loop."""
     path = place(spark, "logs")
-    documents(spark, d).where("text is not null").select(hundred().alias("g"), "text").write.partitionBy("g").text(path)
-    return io.scan_logs(spark, path).groupBy("type").agg(F.count("*").alias("n"))
+    lines = documents(spark, d).where("text is not null and source is not null").select("source", "text")
+    lines = lines.unionByName(V.table(spark, d, "events").select(F.lit("events").alias("source"), F.concat(F.lit("student "), "user_id", F.lit(" answered "), "event_id").alias("text")))
+    lines = lines.unionByName(V.table(spark, d, "part").where("p_name is not null").select(F.lit("parts").alias("source"), F.concat(F.lit("actual name: "), "p_name", F.lit(" seen")).alias("text")))
+    lines.write.partitionBy("source").text(path)
+    found = io.scan_logs(spark, path)
+    whole = io.log_lines(spark, path)
+    return found.join(whole, ["file", "line_number"]).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("characters"))
 
 
 @query("select user_id::varchar as user_id, user_id % 13 / 10.0::double as initial_skill_level from (select distinct user_id from events) where user_id % 13 <= 10")

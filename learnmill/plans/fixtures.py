@@ -36,13 +36,19 @@ def clicks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, with the vector of its number where there is one."""
     docs, vecs = table(spark, d, "documents"), table(spark, d, "embeddings")
-    return docs.join(vecs, docs["doc_id"] == vecs["vec_id"]).select(
+    return docs.join(vecs, docs["doc_id"] == vecs["vec_id"], "left").select(
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("book_id"), F.concat("source", F.lit("-chapter-"), (F.col("doc_id") % 10).cast("string")).alias("chapter_id"),
         F.col("text").alias("content"), F.col("label").cast("string").alias("subject"), (F.col("doc_id") % 4 + 6).alias("grade_level"), "embedding",
     )
 
 
+def vectored(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that have a vector, which a vector search can find."""
+    return chunks(spark, d).where("embedding is not null")
+
+
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
@@ -116,7 +122,8 @@ CTES = {
       from fold qualify row_number() over (partition by user_id, skill_id order by rn desc) = 1""",
     "clicks": """select event_id, user_id, case when event_id % 11 <> 0 then 'el_' || (event_id % 7) end as element_id, ts as timestamp, epoch_us(ts) as us from events where event_type = 'click'""",
     "chunks": """select doc_id as chunk_id, source as book_id, source || '-chapter-' || (doc_id % 10) as chapter_id, text as content, label::varchar as subject, 6 + doc_id % 4 as grade_level, embedding
-      from documents join embeddings on doc_id = vec_id""",
+      from documents left join embeddings on doc_id = vec_id""",
+    "vectored": "select * from chunks where embedding is not null",
     "qv": "select vec_id as query_id, embedding as query from embeddings where vec_id % 50 = 0",
     "q0": """select doc_id as question_id, text as question_text, case doc_id % 3 when 0 then 'sciq' when 1 then 'science_bowl' else 'opentdb' end as source,
       case doc_id % 4 when 0 then 'easy' when 2 then 'hard' else 'medium' end as difficulty from documents""",

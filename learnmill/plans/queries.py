@@ -503,9 +503,9 @@ def first_query(spark, d) -> list[float]:
     return list(V.query_vectors(spark, d).where("query_id = 0").first()["query"])
 
 
-@query(f"select chunk_id, round({COS}, 6) as similarity from chunks, (select query from qv where query_id = 0) where grade_level = 6 and {COS} >= 0.2 order by {COS} desc, chunk_id limit 10")
+@query(f"select chunk_id, round({COS}, 6) as similarity from vectored, (select query from qv where query_id = 0) where grade_level = 6 and {COS} >= 0.2 order by {COS} desc, chunk_id limit 10")
 def v1_search_chunks(spark, d):
-    return vectors.search_chunks(V.chunks(spark, d), first_query(spark, d), grade_level=6, threshold=0.2).select("chunk_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.search_chunks(V.vectored(spark, d), first_query(spark, d), grade_level=6, threshold=0.2).select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"select question_id, round({COS}, 6) as similarity from (select q0.*, embedding from q0 join embeddings on vec_id = question_id), (select query from qv where query_id = 0) where difficulty = 'medium' and {COS} >= 0.2 order by {COS} desc, question_id limit 10")
@@ -514,19 +514,19 @@ def v2_search_questions(spark, d):
     return vectors.search_questions(q, first_query(spark, d), difficulty="medium", threshold=0.2).select("question_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"select chunk_id, round({COS}, 6) as similarity from chunks, (select query from qv where query_id = 0) order by {COS} desc, chunk_id limit 5")
+@query(f"select chunk_id, round({COS}, 6) as similarity from vectored, (select query from qv where query_id = 0) order by {COS} desc, chunk_id limit 5")
 def v3_hybrid_profile(spark, d):
-    return vectors.retrieve(V.chunks(spark, d), first_query(spark, d), "hybrid").select("chunk_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.retrieve(V.vectored(spark, d), first_query(spark, d), "hybrid").select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"select chunk_id, round({COS}, 6) as similarity from chunks, (select query from qv where query_id = 0) where book_id = 'src3' order by {COS} desc, chunk_id limit 5")
+@query(f"select chunk_id, round({COS}, 6) as similarity from vectored, (select query from qv where query_id = 0) where book_id = 'src3' order by {COS} desc, chunk_id limit 5")
 def v4_search_book(spark, d):
-    return vectors.search_book(V.chunks(spark, d), first_query(spark, d), "src3").select("chunk_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.search_book(V.vectored(spark, d), first_query(spark, d), "src3").select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"select chunk_id, round({COS}, 6) as similarity from chunks, (select query from qv where query_id = 0) where {COS} > 0.25 order by {COS} desc, chunk_id limit 5")
+@query(f"select chunk_id, round({COS}, 6) as similarity from vectored, (select query from qv where query_id = 0) where {COS} > 0.25 order by {COS} desc, chunk_id limit 5")
 def v5_search_strict(spark, d):
-    return vectors.search_strict(V.chunks(spark, d), first_query(spark, d), threshold=0.25).select("chunk_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.search_strict(V.vectored(spark, d), first_query(spark, d), threshold=0.25).select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
 MANY = f"select query_id, vec_id as key, round(s, 6) as similarity, (row_number() over (partition by query_id order by s desc, vec_id))::int as rank from (select query_id, vec_id, {COS} as s from embeddings, qv) qualify rank <= 5"
@@ -967,7 +967,7 @@ def asked_messages(spark, d) -> DataFrame:
 
 @query()
 def q9_answers(spark, d):
-    return K.answer_messages(asked_messages(spark, d), V.chunks(spark, d), V.nodes(spark, d), V.edges(spark, d), thresholds=(("fact", 0.2), ("concept", 0.2)))
+    return K.answer_messages(asked_messages(spark, d), V.vectored(spark, d), V.nodes(spark, d), V.edges(spark, d), thresholds=(("fact", 0.2), ("concept", 0.2)))
 
 
 @query()
