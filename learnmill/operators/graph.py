@@ -117,46 +117,52 @@ def related(edges: DataFrame, seeds: DataFrame, max_distance: int = 2, kind: str
     return found.join(typed, ["seed", "node"], "left").where((F.col("depth") > 1) | F.col("typed")).drop("typed")
 
 
+#: Hops between two looks at whether a search by layers is done.
+LOOK = 4
+
+
+def _met(ends: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b, block, bit) whose start has the goal's bit in a row of ``bits``, with that row's columns."""
+    return ends.join(bits.withColumnRenamed("node", "a"), ["block", "a"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+
+
 def paths(pairs: DataFrame, steps: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(a, b, path) of least hops, among equal ones the least sequence of ids; a = b is the path of
     itself; pairs without a path, or without one of ``max_hops`` if that is given, are left out.
 
     Layers grow backward from the goals, 64 goals to a word: a row (block, node, bits) says which goals of the
-    block are so many hops from the node. A goal grows until all its starts are met. Then each path is read
-    forward: from a node on to the least neighbour that is one hop nearer to the goal. So what is kept has a row for
+    block are so many hops from the node. They grow until all starts are met or nothing new is, which is looked
+    at every few hops. Then each path is read forward: from a node on to the least neighbour that is one hop nearer to the goal. So what is kept has a row for
     each node and 64 goals, and no path is carried while the layers grow.
     """
     pairs = pairs.select("a", "b").distinct()
     steps = pinned(steps.select("src", "dst").distinct())
     found = pairs.where("a = b").select("a", "b", F.array("a").alias("path"))
-    apart = pinned(pairs.where("a <> b"))
+    apart = pairs.where("a <> b")
+    # a start without a way out and a goal without a way in have no path
+    apart = pinned(apart.join(steps.select(F.col("src").alias("a")), "a", "left_semi").join(steps.select(F.col("dst").alias("b")), "b", "left_semi"))
     # places within a task, so that numbering needs no task that sees all goals
     goals = pinned(apart.select("b").distinct().withColumn("id", F.monotonically_increasing_id()))
     goals = goals.select("b", F.shiftright("id", 6).alias("block"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
-    want = pinned(apart.join(goals, "b").select("a", "b", "block", "bit"))
+    ends = pinned(apart.join(goals, "b").select("a", "b", "block", "bit"))
     fresh = pinned(goals.groupBy("block", F.col("b").alias("node")).agg(F.bit_or("bit").alias("bits")))
     seen = fresh.withColumnRenamed("bits", "old")
-    layers, hits, hop = fresh.withColumn("hop", F.lit(0)), None, 0
-    while not want.isEmpty() and (max_hops is None or hop < max_hops):
+    layers, hop, total = fresh.withColumn("hop", F.lit(0)), 0, ends.count()
+    while total and (max_hops is None or hop < max_hops):
         hop += 1
-        active = want.groupBy("block").agg(F.bit_or("bit").alias("open"))
-        front = fresh.join(active, "block").select("block", F.col("node").alias("dst"), F.expr("bits & open").alias("bits")).where("bits <> 0")
-        grown = front.join(steps, "dst").groupBy("block", F.col("src").alias("node")).agg(F.bit_or("bits").alias("new"))
+        grown = fresh.join(steps, fresh["node"] == steps["dst"]).groupBy("block", F.col("src").alias("node")).agg(F.bit_or("bits").alias("new"))
         both = seen.join(grown, ["block", "node"], "full").select("block", "node", F.coalesce("old", F.lit(0)).cast("long").alias("old"), F.coalesce("new", F.lit(0)).cast("long").alias("new"))
         both = pinned(both)
         fresh = both.select("block", "node", F.expr("new & ~old").alias("bits")).where("bits <> 0")
         seen = both.select("block", "node", F.expr("old | new").alias("old"))
         layers = layers.unionByName(fresh.withColumn("hop", F.lit(hop)))
-        judged = want.join(fresh.select("block", F.col("node").alias("a"), "bits"), ["block", "a"], "left")
-        judged = pinned(judged.select("a", "b", "block", "bit", (F.coalesce("bits", F.lit(0)).bitwiseAND(F.col("bit")) != 0).alias("met")))
-        met = judged.where("met").select("a", "b", "block", "bit", F.lit(hop).alias("left"))
-        hits = met if hits is None else hits.unionByName(met)
-        want = judged.where("not met").drop("met")
-        if fresh.isEmpty():
+        if hop % LOOK == 0 and (fresh.isEmpty() or _met(ends, seen.withColumnRenamed("old", "bits")).count() == total):
             break
-    if hits is None:
-        return found
-    walk, layers = hits.select("*", F.col("a").alias("node"), F.array("a").alias("path")), pinned(layers)
+        if hop % 16 == 0:  # one table again, so that the plan stays short
+            layers = pinned(layers)
+    layers = pinned(layers)
+    hits = pinned(_met(ends, layers).groupBy("a", "b", "block", "bit").agg(F.min("hop").alias("left")))
+    walk = hits.withColumns({"node": F.col("a"), "path": F.array("a")})
     nearer = layers.select("block", F.col("node").alias("dst"), "hop", "bits")
     longest = hits.agg(F.max("left")).first()[0] or 0
     for step in range(longest):
