@@ -39,8 +39,8 @@ GENERATOR = 0b110001110101
 COPY_SHINGLE, BANDS, BAND_ROWS = 5, 30, 5
 #: Bits of the outline of a shingle set, which turns pairs away before their shingles are compared.
 OUTLINE_BITS = 1024
-#: Members of a key up to which all of them are compared with each other.
-CROWDED = 64
+#: Members of a key up to which all of them are compared with each other, by outlines in generated code.
+CROWDED = 4096
 
 
 def fingerprint(text: str | None) -> int:
@@ -113,7 +113,8 @@ class Golay:
 
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Add ``fp`` (long) to each document, in one narrow pass."""
+    """Add ``fp`` (long) to each document, in one narrow pass. Null, empty and blank texts have fp 0; equal rows get
+    equal rows; an empty table gives an empty table; a kept column named fp gives way."""
     tune(docs.sparkSession)
     return map_texts(docs, keep, "text", lambda: lambda texts: [[fingerprint(t) for t in texts]], "fp long")
 
@@ -283,7 +284,9 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Add ``s``, the hash of the shingle set, and ``bands`` to each document, in one narrow pass."""
+    """Add ``s``, the hash of the shingle set, and ``bands`` to each document, in one narrow pass. Null, empty and blank
+    texts share one ``s`` and have no bands; equal texts get equal ones; an empty table gives an empty table; kept
+    columns named s or bands give way."""
     tune(docs.sparkSession)
 
     def make():

@@ -176,6 +176,7 @@ def test_a_passage_shared_by_many_gives_few_pairs(spark, monkeypatch):
             own[int(rng.integers(60))] = f"c{i}"
             rows[2 * i + 1] = " ".join(shared + own)
     tried = []
+    monkeypatch.setattr(simhash, "CROWDED", 64)
     inner = simhash.crowded_pairs
     monkeypatch.setattr(simhash, "crowded_pairs", lambda *a: tried.append(inner(*a)) or tried[-1])
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
