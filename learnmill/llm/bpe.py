@@ -144,7 +144,8 @@ def encode_documents(docs: DataFrame, keep: list[str], with_ids: bool = False, f
 
     ``files``: places of the tokenizer (.json) and of its ranks (.tiktoken), by default the public
     ``byte_bpe_50k``. Null and empty texts have no tokens. A worker holds one batch of texts and
-    ``CACHE_BYTES`` of chunks; a lost task is encoded again from its input.
+    ``CACHE_BYTES`` of chunks; a lost task is encoded again from its input. Rows that repeat are each encoded;
+    an empty table gives an empty table; a kept column named like an added one gives way to it.
     """
     tune(docs.sparkSession)
 
@@ -170,7 +171,8 @@ def encode_documents(docs: DataFrame, keep: list[str], with_ids: bool = False, f
 
 
 def decode_documents(encoded: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
-    """The texts of ``ids``; null ids give a null text."""
+    """Columns ``keep`` and decoded, the texts of ``ids``: null ids give a null text, no ids the empty one. Equal rows get
+    equal rows; an empty table gives an empty table; a kept column named decoded gives way."""
     tune(encoded.sparkSession)
 
     def make():

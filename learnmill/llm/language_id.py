@@ -170,7 +170,8 @@ def keep_identified(docs: DataFrame, profiles: Profiles, min_score: float = 0.0)
 
 def language_query(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; rows with crc32 mod 4 = 2 teach nothing.
-    A null doc_id counts as the empty text; rows that repeat are each returned."""
+    A null doc_id counts as the empty text; rows that repeat are each returned; null and empty texts are und; an
+    empty table gives an empty table; other columns are not read."""
     profiles = train_language_profiles(docs, fold(F.col("doc_id"), 4) != 2)
     flagged = docs.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     return identify_language(flagged, profiles, ["doc_id", "held_out"])

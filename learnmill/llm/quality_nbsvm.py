@@ -180,7 +180,7 @@ def score_quality(docs: DataFrame, model: Model, keep: list[str], threshold: flo
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; rows with crc32 mod 5 = 0 teach nothing.
     A null doc_id counts as the empty text, rows that repeat are each returned, and without labels every
-    score is 0.5."""
+    score is 0.5. An empty table gives an empty table; other columns are not read."""
     model = train_quality(docs, labels, fold(F.col("doc_id"), 5) != 0)
     flagged = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return score_quality(flagged, model, ["doc_id", "held_out"])

@@ -140,7 +140,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, ranges: int = RAN
 
     The splitters are the quantiles of the exact range totals, so shards are equal to about one part
     in ``ranges``; rows equal in id and text stay together. A task of the scan writes its part of every
-    shard; no text is shuffled. Columns named key, id or shard are refused.
+    shard; no text is shuffled. Columns named key, id or shard are refused. A null text has size 1, a null id is an
+    id like any other; rows that repeat are all written; an empty table writes nothing and gives the splitters of
+    no rows.
     """
     taken = {"key", "id", "shard"} & set(docs.columns)
     if taken:

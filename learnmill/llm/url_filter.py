@@ -162,7 +162,8 @@ def filter_urls(pages: DataFrame, rules=RULES, keep: list[str] | None = None, ur
     rule the url is not in the list: rule null, verdict allow. Null urls, and urls without ``://``,
     have an empty host and fit no rule. ``rules`` is a sequence of (host, path, verdict), or a
     DataFrame of them: one of a proven small size is collected into the file, a larger one is joined
-    by key (``join_urls``). One narrow pass; equal rows get equal rows.
+    by key (``join_urls``). One narrow pass; equal rows get equal rows, an empty table gives an empty
+    table; of ``keep`` (all columns by default) those named host, path, rule or verdict are replaced.
     """
     spark = pages.sparkSession
     tune(spark)
@@ -197,20 +198,20 @@ def filter_urls(pages: DataFrame, rules=RULES, keep: list[str] | None = None, ur
 
 
 def join_urls(pages: DataFrame, rules: DataFrame, keep: list[str] | None = None, url: str = "url") -> DataFrame:
-    """``filter_urls`` for a list too large to ship: distinct (host, path) pairs are spread into
-    their candidate keys, joined with the list, and the longest hit goes back to the pages."""
+    """``filter_urls`` for a list too large to ship. Distinct hosts meet the domains of the list first and get the
+    lengths of the paths listed there; only those are tried for each distinct (host, path), which is then
+    joined with the list by both, and the longest hit goes back to the pages. Nulls, repeats, an empty
+    table and columns with taken names are as in ``filter_urls``; an empty list allows all."""
     host, path = url_parts(F.col(url))
     base = [c for c in (keep or pages.columns) if c not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*base, host.alias("host"), path.alias("path"))
     listed = rules.select(F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"), "verdict").groupBy("h", "p").agg(F.max("verdict").alias("verdict"))
-    lengths = sorted(r[0] for r in listed.select(F.length("p")).distinct().collect())
+    lengths = listed.groupBy("h").agg(F.collect_set(F.length("p")).alias("ns"))  # of a host, at most as many as its longest path
     labels = F.split("host", r"\.")
-    spread = (
-        parts.select("host", "path").distinct().where("host <> ''")
-        .withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-        .withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).where(F.col("n") <= F.length("path"))
-        .withColumn("p", F.expr("left(path, n)"))
-    )
+    pairs = parts.select("host", "path").distinct().where("host <> ''")
+    domains = pairs.select("host").distinct().withColumn("h", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    tried = pairs.join(domains.join(lengths, "h"), "host").withColumn("n", F.explode("ns")).where(F.col("n") <= F.length("path"))
+    spread = tried.select("host", "path", "h", "n", F.expr("left(path, n)").alias("p"))
     best = spread.join(listed, ["h", "p"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), F.struct(F.length("h") + F.col("n"), "h")).alias("hit"))
     out = parts.join(best, ["host", "path"], "left")
     return out.select(*base, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"))

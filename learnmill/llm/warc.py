@@ -214,7 +214,8 @@ def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFra
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` the one with the largest page_id
     is the response, the others revisit it; rows that repeat that page are responses too. A null html
-    is an empty payload. A null page_id revisits the page of an equal payload, if there is one.
+    is an empty payload. A null page_id revisits the page of an equal payload, if there is one. An empty table
+    gives no archive; columns other than page_id, url and html are not read.
     """
     tune(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
@@ -235,7 +236,8 @@ def archive_pages(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFra
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to as read from the archives."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to as read from the archives; nulls and repeats
+    as in ``archive_pages``, an empty table gives an empty table, other columns are not carried."""
     archives, folder = archive_pages(pages)
     read = read_archives(archives.repartition(max(1, archives.count())), folder)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
