@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import heapq
+import math
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import Row, SparkSession
+from pyspark.sql import functions as F
 
 #: name, parameters, result, expression
 FUNCTIONS = (
@@ -29,3 +35,39 @@ def register_student_report(spark: SparkSession) -> str:
         return select s.skill_id, r.skill_name, s.probability_mastery, mastery_status(s.probability_mastery, s.total_attempts)
           from student_skills s join skills_registry r on s.skill_id = r.skill_id where cast(s.user_id as string) = who""")
     return "student_mastery"
+
+
+class SimilarRows:
+    """Of a partition of a table with columns key and embedding: the k rows nearest to a query by cosine, at or above a
+    threshold, ties to the smaller key. What is held is k rows."""
+
+    def __init__(self):
+        self.best: list[tuple[float, Any]] = []
+        self.k = 0
+
+    def eval(self, row: Row, query: list, threshold: float, k: int) -> Iterator[tuple]:
+        self.k = k
+        vector = row["embedding"]
+        if vector is not None and query is not None and len(vector) == len(query):
+            size = math.sqrt(sum(float(x) * x for x in vector) * sum(float(x) * x for x in query))
+            similarity = sum(float(x) * y for x, y in zip(vector, query, strict=True)) / size if size else 0.0
+            if similarity >= threshold:
+                self.best.append((similarity, row["key"]))
+                if len(self.best) > 8 * k + 64:
+                    self.best = self.first()
+        yield from ()
+
+    def first(self) -> list[tuple[float, Any]]:
+        return heapq.nsmallest(self.k, self.best, key=lambda x: (-x[0], x[1]))
+
+    def terminate(self) -> Iterator[tuple]:
+        for similarity, key in self.first():
+            yield key, similarity
+
+
+def register_similar_rows(spark: SparkSession) -> str:
+    """``similar_rows(TABLE(t) PARTITION BY c, query, threshold, k)`` for users of SQL: the nearest rows of each partition of
+    any table that has key (bigint) and embedding. It runs a row at a time in Python; a program that can call the
+    library takes ``vectors.search_chunks``, whose cosine is generated code."""
+    spark.udtf.register("similar_rows", F.udtf(SimilarRows, returnType="key bigint, similarity double"))
+    return "similar_rows"

@@ -367,6 +367,17 @@ def u1_u2_student_mastery(spark, d):
     return spark.sql(f"select * from {functions.register_student_report(spark)}('3')")
 
 
+@query(f"""select chunk_id as key, round(similarity, 6) as similarity from (select chunk_id, subject, {base.COS} as similarity from vectored, (select query from qv where query_id = 0))
+    where similarity >= 0.1 qualify row_number() over (partition by subject order by similarity desc, chunk_id) <= 5""")
+def u1_similar_rows(spark, d):
+    """The five nearest chunks of each subject, by a table function that SQL calls with a table."""
+    functions.register_similar_rows(spark)
+    rows = V.vectored(spark, d).select(F.col("chunk_id").alias("key"), "subject", "embedding")
+    first = V.query_vectors(spark, d).where("query_id = 0")
+    found = spark.sql("select * from similar_rows(TABLE({t}) PARTITION BY (subject), (select query from {q}), 0.1D, 5)", t=rows, q=first)
+    return rounded(found, "similarity", places=6)
+
+
 # files: what a query reads is written by Spark from the tables -------------------------------------------
 
 
