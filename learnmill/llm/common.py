@@ -96,6 +96,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int, tr
     return picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"), F.max("rate").alias("rate"))
 
 
+#: Numbers that one row of ``numbered_copies`` holds at a time.
+COPIES = 1 << 16
+
+
+def numbered_copies(df: DataFrame, copies: str, name: str) -> DataFrame:
+    """Each row as often as its column ``copies`` says, numbered from 0 in ``name``; in two steps, so that a row
+    which stands for very many does not need them in memory at once."""
+    block, n = F.col("__block"), F.col(copies).cast("long")
+    blocks = df.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(cast({copies} as long) - 1) div {COPIES}"))))
+    return blocks.withColumn(name, F.explode(F.sequence(block * COPIES, F.least(n, (block + 1) * COPIES) - 1))).drop("__block")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder. Where none is set, a local session makes one
     of its own; on a cluster that is an error, since executors and driver share no other folder."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, checkpointed, fresh, sized_side
+from .common import LOWER, UPPER, ascii_lower, checkpointed, fresh, numbered_copies, sized_side
 
 N = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -133,9 +133,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, bound: int
     names = F.coalesce("items", F.array().cast("array<string>"))
     out = rows.select(
         "doc_id", F.col("n_words").cast("long"), covered(F.col("hits")).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "copies",
     )
-    return out.drop("copy")
+    return numbered_copies(out, "copies", "copy").drop("copies", "copy")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = N, bound: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, numbered_copies
 
 RANGES = 1024
 #: Expected sample rows for each range; the driver holds RANGES times this many keys.
@@ -123,7 +123,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, ranges: int = RANGES) -> Da
     groups = placed.groupBy(*same).agg(F.min("at").alias("start"), F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.count("*").alias("n"))
     groups = groups.where((F.col("bytes") <= largest) & ((F.col("n") > 1) | (F.col("bytes") > F.col("size")))).drop("n")
     placed = placed.join(groups, same, "left")
-    each = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    each = numbered_copies(placed, "copies", "j")
     middle = F.coalesce(2 * F.col("start") + F.col("bytes"), 2 * (F.col("at") + F.col("j") * F.col("size")) + F.col("size"))
     each = each.select("doc_id", "size", "text_crc32", middle.alias("middle"), (F.col("nth") + F.col("j")).alias("nth"))
     shard = F.least(F.lit(shards - 1), F.expr(f"cast((middle * {shards}L) div {2 * total}L as int)"))

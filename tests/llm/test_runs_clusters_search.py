@@ -232,3 +232,12 @@ def test_search_edges(spark):
     assert not dual_tree.top_query(table.limit(0)).count() and not dual_tree.top_query(table.where("vec_id = 1")).count()
     assert not dual_tree.top_query(table.where("vec_id = 0")).count()
     assert as_rows(dual_tree.top_query(table.where("vec_id in (0, 1)")), TOP_COLUMNS) == sorted(plain_top([rows[0], rows[4]]), key=repr)
+
+
+def test_copies_are_numbered_whole(spark, monkeypatch):
+    from learnmill.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 3)
+    rows = spark.createDataFrame([("a", 1), ("b", 3), ("c", 10)], "x string, copies long")
+    got = sorted((r["x"], r["j"]) for r in common.numbered_copies(rows, "copies", "j").collect())
+    assert got == [("a", 0)] + [("b", j) for j in range(3)] + [("c", j) for j in range(10)]
