@@ -67,7 +67,10 @@ class BlockTop:
         self.best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
 
     def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
-        scores = self.matrix @ _unit(vectors).T
+        self.merge(keys, self.matrix @ _unit(vectors).T)
+
+    def merge(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        """Take the rows with these keys and scores, a row of them for each query."""
         if scores.shape[1] > self.k:  # what may be among the first k, ties of the last place included
             least = np.partition(scores, -self.k, axis=1)[:, -self.k]
         else:

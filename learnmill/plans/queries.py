@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from learnmill.operators import mastery as M
 from learnmill.operators import merge as U
 from learnmill.operators import privacy as P
 from learnmill.operators import questions as Q
-from learnmill.operators import quality, text, vectors
+from learnmill.operators import codes, quality, text, vectors
 from learnmill.sources import io
 from learnmill.streaming import streams as S
 
@@ -553,6 +555,15 @@ def v7_cells(spark, d):
     return vectors.probe_cells(cells, model, V.query_vectors(spark, d), 5, 12)
 
 
+@query()
+def v7_codes(spark, d):
+    """The five nearest rows of each query by product-quantised codes; a test holds them to those of an exact search."""
+    e, path = V.table(spark, d, "embeddings"), f"{G.shared_root(spark)}/codes-{uuid.uuid4().hex}"
+    books = codes.fit_books(e)
+    codes.write_codes(e, path, books)
+    return codes.search_codes(spark, path, books, V.query_vectors(spark, d), 5, 50)
+
+
 @query("select vec_id, case when vec_id % 2 = 0 then 0.0 else round(list_cosine_similarity(embedding::double[], list_reverse(embedding::double[])), 6) end::double as similarity from embeddings")
 def v8_zero_vector(spark, d):
     e = V.table(spark, d, "embeddings")

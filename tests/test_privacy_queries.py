@@ -78,13 +78,43 @@ def test_merged_report_and_gate(spark, sf_dir, texts, found):
     assert {r["doc_id"] for r in QUERIES["p10_gate"](spark, sf_dir).collect()} == clean
 
 
-def test_log_scan(spark, sf_dir, texts):
-    want = {}
-    for t in texts.values():
-        for line in t.split("\n"):
-            for kind in {e[2] for e in plain_entities(line)}:
-                want[kind] = want.get(kind, 0) + 1
-    assert {r["type"]: r["n"] for r in QUERIES["s19_scan_logs"](spark, sf_dir).collect()} == want
+#: Lines and the types that they are found to hold.
+LOG_LINES = [
+    ("mail to ann.lee@school.org now", {"email"}), ("ssn 123-45-6789", {"ssn"}), ("call 555-123-4567 x", {"phone"}), ("card 4111 1111 1111 1111", {"credit_card"}), ("card 4111111111111111", {"credit_card"}),
+    ("student 42 logged in", {"student_id"}), ("SID-7 and nothing", {"student_id"}), ("StudentID_99", {"student_id"}), ("the real name: Ann Lee", {"real_name_context"}), ("ACTUAL-NAMES  bob jones", {"real_name_context"}),
+    ("true name Ann", set()), ("students 42", set()), ("(555) 123-4567", set()), ("10.0.0.1", set()), ("", set()), ("  padded SID 5 ann@b.co  ", {"student_id", "email"}),
+]
+
+
+def test_log_types():
+    from learnmill.sources import io
+
+    for line, want in LOG_LINES:
+        assert {kind for kind, p in io.LOG_PATTERNS.items() if re.search(p, line, re.IGNORECASE)} == want, line
+
+
+def test_log_scan(spark, texts, tmp_path):
+    """Files, line numbers, types and previews of logs that are read in many splits, against a plain loop; line ends of
+    three kinds."""
+    from learnmill.sources import io
+
+    lines = [line for line, _ in LOG_LINES] + [x for t in list(texts.values())[:300] for x in t.split("\n")]
+    lines = [x.replace("\r", " ") for x in lines]
+    files = {"a.log": lines[: len(lines) // 2], "b.log": lines[len(lines) // 2 :]}
+    for (name, own), end in zip(files.items(), ("\n", "\r\n"), strict=True):
+        (tmp_path / name).write_bytes((end.join(own) + end).encode())
+    want = sorted((name, n, kind, x.strip()[:100]) for name, own in files.items() for n, x in enumerate(own, 1) for kind, p in io.LOG_PATTERNS.items() if re.search(p, x, re.IGNORECASE))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "20000")
+    spark.conf.set(names[1], "0")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 6
+        got = sorted((r["file"].rsplit("/", 1)[1], r["line_number"], r["type"], r["preview"]) for r in io.scan_logs(spark, str(tmp_path)).collect())
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert got == want and {x[2] for x in want} == set(io.LOG_PATTERNS)
 
 
 def test_masking_stream_is_the_batch(spark, sf_dir):
