@@ -16,7 +16,7 @@ from learnmill.operators import mastery as M
 from learnmill.operators import merge as U
 from learnmill.operators import privacy as P
 from learnmill.operators import questions as Q
-from learnmill.operators import codes, quality, text, vectors
+from learnmill.operators import codes, grams, quality, text, vectors
 from learnmill.sources import io
 from learnmill.streaming import streams as S
 
@@ -386,6 +386,14 @@ def f4_search_questions(spark, d):
     return Q.search(V.questions(spark, d), "Tion", ["question_text"], 20).select("question_id")
 
 
+@query("select question_id from q0 where contains(lower(question_text), 'ations') order by question_id limit 20")
+def f4_search_by_trigrams(spark, d):
+    """The same search over posting lists of all texts."""
+    rows, path = V.questions(spark, d), f"{G.shared_root(spark)}/grams-{uuid.uuid4().hex}"
+    grams.write_grams(rows, path, "question_id", ["question_text"])
+    return grams.search_grams(rows, path, "question_id", "Ations", ["question_text"], 20).select("question_id")
+
+
 @query("select node_id, label from nodes where domain = 'Brand#23' and contains(lower(label), '1') order by node_id limit 5")
 def f5_search_concepts(spark, d):
     return Q.search(G.nodes_in_domain(V.nodes(spark, d), "Brand#23"), "1", ["label"], 5, "node_id").select("node_id", "label")

@@ -106,3 +106,18 @@ def test_seed_rows_have_their_descriptions(spark):
     one = nodes.where("label = 'Glucose'").select(F.get_json_object("properties", "$.description"), G.domain()).first()
     assert tuple(one) == ("Sugar produced during photosynthesis", "Biology")
     assert edges.where(F.get_json_object("properties", "$.importance") == "high").count() == 5
+
+
+def test_trigrams_find_the_same_rows(spark, sf_dir, tmp_path):
+    """For every kind of query the rows of a full search, and few candidates for a rare one."""
+    from learnmill.operators import grams
+    from learnmill.operators import questions as Q
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "source")
+    rows = rows.unionByName(spark.createDataFrame([(10_001, None, None), (10_002, "xy", "s"), (10_003, "Ünïcode Öffnung 100% a_b", "s")], rows.schema))
+    path = str(tmp_path / "grams")
+    grams.write_grams(rows, path, "id", ["text", "source"])
+    for query in ("tion", "Öffn", "100%", "a_b", "xy", "zzzzqqq", "src1", "e a"):
+        got = [r["id"] for r in grams.search_grams(rows, path, "id", query, ["text", "source"], 5000).collect()]
+        assert got == [r["id"] for r in Q.search(rows, query, ["text", "source"], 5000, "id").collect()], query
+    assert grams.candidates(spark, path, "öffnung").count() == 1
