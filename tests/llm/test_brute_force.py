@@ -158,7 +158,9 @@ def test_compression_chunks_reach_the_end(spark, sf_dir):
     prose = next(p for _, t in sorted(docs.items()) if len(p := t.encode()[:4100]) == 4100 and not compression_rules.verdict(p, compress)[2])
     junk = b" ".join(base64.b64encode(rnd.randbytes(9)) for _ in range(400))[:4030]
     ratio, bad, reason = compression_rules.verdict(prose + junk, compress)
-    assert (bad, reason) == (0.5, "chunks")
+    assert (bad, reason) == (0.5, "incompressible")  # the whole is below its lower limit too
+    upper = [compression_rules.Band(b.min_bytes, 0.0, b.high) for b in compression_rules.BANDS]
+    assert compression_rules.verdict(prose + junk, compress, upper)[1:] == (0.5, "chunks")
     assert compression_rules.verdict(prose * 2, lambda c: bytes(len(c) // 2)) == (2.0, 0.0, None)
     seen = []
     compression_rules.verdict(prose + junk, lambda c: seen.append(c) or compress(c))
