@@ -32,3 +32,19 @@ def test_queries_meet_the_first_names_of_a_word_only(spark, monkeypatch):
     assert max(met) <= 40 * 2 * 3
     assert {(r["concept"], r["rank"]) for r in got} == {("Bright thing 0", 1), ("Bright thing 1", 2), ("Bright thing 2", 3)}
     assert len(got) == 40 * 3 * 5 and {r["nth"] for r in got} == {1, 2, 3, 4, 5}
+
+
+def test_paths_keep_two_balls_of_half_the_distance(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    steps = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 4000, (12_000, 2))], "src long, dst long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 400, 20)], "a long, b long")
+    kept, grow = [], G.Layers.grow
+
+    def spy(self, keys):
+        out = grow(self, keys)
+        kept.append(self.rows)
+        return out
+
+    monkeypatch.setattr(G.Layers, "grow", spy)
+    got = {(r["a"], r["b"]): len(r["path"]) - 1 for r in G.paths(pairs, steps).collect()}
+    assert 0 < len(got) <= 20 and sum(kept) < 20 * 4000 / 4
