@@ -48,3 +48,36 @@ def test_paths_keep_two_balls_of_half_the_distance(spark, monkeypatch):
     monkeypatch.setattr(G.Layers, "grow", spy)
     got = {(r["a"], r["b"]): len(r["path"]) - 1 for r in G.paths(pairs, steps).collect()}
     assert 0 < len(got) <= 20 and sum(kept) < 20 * 4000 / 4
+
+
+def test_cosines_are_held_in_tiles(spark, sf_dir, monkeypatch):
+    e, q = V.table(spark, sf_dir, "embeddings"), V.query_vectors(spark, sf_dir)
+    row = lambda r: (r["query_id"], r["key"], round(r["similarity"], 9), r["rank"])
+    want = sorted(map(row, vectors.many_top_k(e, q, 5).collect()))
+    ids = np.arange(4096)
+    rng = np.random.default_rng(1)
+    matrix, rows = rng.normal(size=(4096, 8)), rng.normal(size=(3000, 8))
+    held, inner = [], vectors.BlockTop.merge
+    monkeypatch.setattr(vectors.BlockTop, "merge", lambda self, keys, scores: held.append(scores.size) or inner(self, keys, scores))
+    top = vectors.BlockTop(ids, matrix, 3, None)
+    top.add(np.arange(3000), rows)
+    assert max(held) <= 1 << 21
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = np.argsort(-(unit(matrix) @ unit(rows).T), axis=1)[:, :3]
+    assert all(list(top.best[i][1]) == list(best[i]) for i in range(4096))
+    monkeypatch.setattr(vectors.BlockTop, "merge", inner)
+    joined = vectors.joined_top_k(e, q, 5)
+    assert sorted(map(row, joined.collect())) == want
+    assert "NestedLoop" not in plan(joined) and "Cartesian" not in plan(joined)
+
+
+def test_cells_meet_their_queries_in_blocks(spark, sf_dir, monkeypatch):
+    e, q = V.table(spark, sf_dir, "embeddings"), V.query_vectors(spark, sf_dir)
+    cells, model = vectors.build_cells(e, 4)
+    row = lambda r: (r["query_id"], r["key"], round(r["similarity"], 9), r["rank"])
+    exact = sorted(map(row, vectors.many_top_k(e, q, 5).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "PART_ROWS", 40)
+    found = vectors.probe_cells(cells, model, q, 5, 4)
+    assert sorted(map(row, found.collect())) == exact
+    assert "CoGroup" in plan(found)
