@@ -81,3 +81,16 @@ def test_cells_meet_their_queries_in_blocks(spark, sf_dir, monkeypatch):
     found = vectors.probe_cells(cells, model, q, 5, 4)
     assert sorted(map(row, found.collect())) == exact
     assert "CoGroup" in plan(found)
+
+
+def test_next_steps_join_learners_last(spark):
+    """The rows of a plain division for each user, and no shuffle of a row for each user and node."""
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(a), int(b), "X") for a, b in rng.integers(0, 60, (90, 2))], EDGE)
+    states = spark.createDataFrame([(u, f"s{k}", float(rng.choice([0.5, 0.95]))) for u in range(30) for k in range(5)], "user_id long, skill_id string, probability_mastery double")
+    concepts = spark.createDataFrame([(f"s{n % 5}", n) for n in range(50)] + [("s1", n) for n in range(0, 50, 7)], "skill_id string, node long")
+    known = states.where("probability_mastery > 0.9").join(concepts, "skill_id").select(F.col("user_id").alias("learner"), "node")
+    want = sorted(map(tuple, G.knowledge_gaps(edges, known).collect()))
+    got = G.next_steps(states, concepts, edges)
+    assert sorted(map(tuple, got.collect())) == want and want
+    assert "hashpartitioning" not in plan(got)
