@@ -94,3 +94,15 @@ def test_next_steps_join_learners_last(spark):
     got = G.next_steps(states, concepts, edges)
     assert sorted(map(tuple, got.collect())) == want and want
     assert "hashpartitioning" not in plan(got)
+
+
+def test_limits_are_laid_on_rounded_means(spark):
+    """Means of 0.55 and 0.85 whose sums in doubles are a little off."""
+    rows = [("a", x) for x in (0.4, 0.55, 0.7)] + [("b", x) for x in (0.7, 0.8500000000000001, 1.0)]
+    rows = [(u, f"s{i}", p, 9, 1) for i, (u, p) in enumerate(rows)]
+    states = spark.createDataFrame(rows, "user_id string, skill_id string, probability_mastery double, total_attempts long, last_attempt_us long")
+    cards = {r["user_id"]: r for r in M.class_mastery(states).collect()}
+    assert (cards["a"]["avg_mastery"], cards["b"]["avg_mastery"]) == (0.55, 0.85)
+    assert cards["b"]["overall_status"] == "LEARNING"
+    assert [r["user_id"] for r in M.class_mastery(states, True, 0.55).collect()] == ["a"]
+    assert M.class_totals(M.class_mastery(states)).first()["ready"] == 0
