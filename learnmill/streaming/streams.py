@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from learnmill.operators import mastery, privacy
 from learnmill.operators.merge import merge, read_swapped, write_swapped
 
-STATE = "p double, last_us long, n long, ok long, right long, wrong long"
+#: A user's skills, and the six numbers of each in the same order.
+STATE = "skills array<string>, p array<double>, last_us array<long>, n array<long>, ok array<long>, right array<long>, wrong array<long>"
 MOVES = (
     "user_id string, skill_id string, event_id long, us long, is_correct boolean, probability_mastery double, total_attempts long, "
     "correct_attempts long, consecutive_correct long, consecutive_incorrect long"
@@ -21,31 +22,33 @@ MOVES = (
 
 def mastery_stream(events: DataFrame, rule: str = "bayes") -> DataFrame:
     """Every event with the state after it, per (user, skill). Inside a micro-batch the answers of a
-    key are put in order of (time, id); the state is six numbers a key."""
+    user are put in order of (time, id); the state is six numbers a skill, read and written once a user, since a
+    call for each skill costs more than its answers."""
     if rule not in ("bayes", "simple"):
         raise ValueError(rule)
 
     def walk(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p, last, n, ok, right, wrong = state.get if state.exists else (mastery.START, None, 0, 0, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        held = {skill: numbers for skill, *numbers in zip(*state.get, strict=True)} if state.exists else {}
+        columns = [[], [], [], [], []]
+        for f in frames:
+            for column, name in zip(columns, ("us", "event_id", "skill_id", "is_correct", "attempts"), strict=True):
+                column += f[name].tolist()
         out = []
-        for e in rows.itertuples():
+        for us, event, skill, hit, attempts in sorted(zip(*columns, strict=True), key=lambda e: e[:2]):
+            p, last, n, ok, right, wrong = held.get(skill, (mastery.START, None, 0, 0, 0, 0))
+            hit = bool(hit)
             if rule == "bayes":
-                hours = None if last is None else (e.us - last) / 3.6e9
-                if hours is not None and hours > mastery.RESET_HOURS:
-                    share = min(mastery.RESET_MOST, (hours - mastery.RESET_HOURS) / mastery.RESET_SPAN)
-                    p = p * (1 - share) + mastery.START * share
-                p = mastery.bayes_step(p, bool(e.is_correct))
+                p = mastery.bayes_step(mastery.reset_step(p, None if last is None else (us - last) / 3.6e9), hit)
             else:
-                p = min(1.0, p + 0.1) if e.is_correct else max(0.0, p - 0.05)
-            last, n, ok = int(e.us), n + int(e.attempts), ok + bool(e.is_correct)
-            right, wrong = (right + 1, 0) if e.is_correct else (0, wrong + 1)
-            out.append((key[0], key[1], int(e.event_id), last, bool(e.is_correct), p, n, ok, right, wrong))
-        state.update((p, last, n, ok, right, wrong))
+                p = min(1.0, p + 0.1) if hit else max(0.0, p - 0.05)
+            right, wrong = (right + 1, 0) if hit else (0, wrong + 1)
+            held[skill] = numbers = (p, int(us), n + int(attempts), ok + hit, right, wrong)
+            out.append((key[0], skill, int(event), int(us), hit, p, *numbers[2:]))
+        state.update((list(held), *map(list, zip(*held.values(), strict=True))))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in MOVES.split(", ")])
 
     rows = mastery.with_time(events).select(F.col("user_id").cast("string").alias("user_id"), "skill_id", "event_id", "us", "is_correct", "attempts")
-    return rows.groupBy("user_id", "skill_id").applyInPandasWithState(walk, MOVES, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(walk, MOVES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def into_table(path: str, keys: list[str], update: list[str]):

@@ -106,3 +106,57 @@ def test_limits_are_laid_on_rounded_means(spark):
     assert cards["b"]["overall_status"] == "LEARNING"
     assert [r["user_id"] for r in M.class_mastery(states, True, 0.55).collect()] == ["a"]
     assert M.class_totals(M.class_mastery(states)).first()["ready"] == 0
+
+
+class Value:
+    """A state value that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.state, self.timers = Value(), []
+
+    def getValueState(self, *_):
+        return self.state
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_a_user_reads_and_writes_one_value_a_batch():
+    import pandas as pd
+    from learnmill.streaming import stateful as T
+
+    handle, cards = Handle(), T.LiveCards()
+    cards.init(handle)
+    rows = pd.DataFrame({"us": range(40), "event_id": range(40), "skill_id": [f"s{i % 8}" for i in range(40)], "is_correct": [True] * 40, "attempts": [1] * 40})
+    first = pd.concat(cards.handleInputRows(("u",), iter([rows]), None))
+    again = pd.concat(cards.handleInputRows(("u",), iter([rows]), None))
+    assert handle.state.calls == 4 and list(first["sign"]) == [1] and list(again["sign"]) == [-1, 1]
+    assert again.iloc[0].drop("sign").tolist() == first.iloc[0].drop("sign").tolist()
+    handle, batches = Handle(), T.ClickBatches(3, 10)
+    batches.init(handle)
+    list(batches.handleInputRows(("u",), iter([rows[["us", "event_id"]]]), None))
+    assert handle.state.calls == 2 and len(handle.timers) == 1
+
+
+def test_the_mastery_stream_is_dealt_by_user(spark, sf_dir):
+    from learnmill.plans import queries as base
+    from learnmill.streaming import streams as S
+
+    text = S.mastery_stream(base.event_stream(spark, sf_dir))._jdf.queryExecution().analyzed().toString()
+    line = next(x for x in text.split("\n") if "WithState" in x)
+    assert "user_id" in line.split("walk")[0] + line and "[skill_id" not in line and S.STATE.startswith("skills array")
