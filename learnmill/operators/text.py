@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learnmill.functions.scalar import col, truncate, word_count
+from learnmill.session import bound_batches
 
 MAX_WORDS, OVERLAP = 800, 2
 # How a chapter, a section, a kind of content begins.
@@ -134,10 +135,11 @@ def pack(sizes: list[int], max_words: int, overlap: int) -> list[tuple[int, int]
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = r"\n\n+", max_words: int = MAX_WORDS, overlap: int = OVERLAP, joiner: str = "\n\n") -> DataFrame:
-    """(key, chunk_number, content, word_count) of long documents too: Arrow batches of documents, a
-    plain walk over each one's paragraphs."""
+    """(key, chunk_number, content, word_count) of long documents too: Arrow batches of documents, bounded in rows and
+    bytes, a plain walk over each one's paragraphs."""
     import re
 
+    bound_batches(docs.sparkSession)
     cut = re.compile(separator)
     kind = docs.schema[key].dataType.simpleString()
 
