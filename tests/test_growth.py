@@ -160,3 +160,23 @@ def test_the_mastery_stream_is_dealt_by_user(spark, sf_dir):
     text = S.mastery_stream(base.event_stream(spark, sf_dir))._jdf.queryExecution().analyzed().toString()
     line = next(x for x in text.split("\n") if "WithState" in x)
     assert "user_id" in line.split("walk")[0] + line and "[skill_id" not in line and S.STATE.startswith("skills array")
+
+
+def test_topics_of_two_subjects_are_one_scan(spark, sf_dir):
+    from learnmill.operators import questions as Q
+    from learnmill.plans.queries import QUERIES
+
+    assert plan(QUERIES["a9_topics"](spark, sf_dir)).count("FileScan") == 1
+    rows = spark.createDataFrame([("An ATOM and a gene of a cell",), ("nothing",), (None,)], "t string")
+    got = rows.select(Q.subject_by_votes(F.col("t")).alias("s"), Q.topic(F.col("t")).alias("x")).collect()
+    assert [tuple(r) for r in got] == [("Biology", "Genetics"), ("Biology", None), ("Physics", None)]
+
+
+def test_chunking_bounds_its_batches(spark):
+    from learnmill.operators import text
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch",)}
+    for k in before:
+        spark.conf.unset(k)
+    text.chunk_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
