@@ -8,9 +8,9 @@ decoding a segment and all its one-bit neighbours gives each segment one to seve
 at least one of which both share. A key is a full segment with one codeword index of the next.
 
 Two bits are much narrower than a shingle similarity of 0.8, whose fingerprints differ by some ten
-bits, beyond what Golay keys of 64 bits can hold. So ``drop_near_duplicates`` finds its candidates by
-bands of least hashes instead, turns away what outlines of the shingle sets rule out, and checks the rest
-by the shingles themselves.
+bits, beyond what Golay keys of 64 bits can hold. So ``drop_near_duplicates`` takes as candidates what the Golay
+keys tie and what bands of least hashes add, turns away what outlines of the shingle sets rule out, and checks the
+rest by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -284,16 +284,16 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Add ``s``, the hash of the shingle set, and ``bands`` to each document, in one narrow pass. Null, empty and blank
+    """Add ``s``, the hash of the shingle set, ``bands`` and the fingerprint ``fp`` to each document, in one narrow pass. Null, empty and blank
     texts share one ``s`` and have no bands; equal texts get equal ones; an empty table gives an empty table; kept
-    columns named s or bands give way."""
+    columns named s, bands or fp give way."""
     tune(docs.sparkSession)
 
     def make():
         factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-        return lambda texts: list(zip(*(sketch(shingle_set(t), factors) for t in texts), strict=True)) if texts else [[], []]
+        return lambda texts: list(zip(*((*sketch(shingle_set(t), factors), fingerprint(t)) for t in texts), strict=True)) if texts else [[], [], []]
 
-    return map_texts(docs, keep, "text", make, "s long, bands array<long>")
+    return map_texts(docs, keep, "text", make, "s long, bands array<long>, fp long")
 
 
 def _follow_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,12 +345,25 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
 
 
+def golay_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets of ``rows`` (s, fp) whose fingerprints ``links`` ties, and each set with the first of its
+    own fingerprint. A set whose texts have several fingerprints goes by the least."""
+    prints = checkpointed(rows.groupBy("s").agg(F.min("fp").alias("fp")))
+    heads = checkpointed(prints.groupBy("fp").agg(F.min("s").alias("head")))
+    same = prints.join(heads, "fp").where("head <> s").select(F.col("head").alias("a"), F.col("s").alias("b"))
+    near = links(heads)
+    for end in "ab":
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"of_{end}")), end)
+    return checkpointed(same.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).distinct())
+
+
 def copy_links(hashed: DataFrame, rows: DataFrame, own: tuple[str, str]) -> DataFrame:
-    """(a, b) links between shingle sets of ``rows`` (doc_id, key, s, bands), whose closure is that of
+    """(a, b) links between shingle sets of ``rows`` (doc_id, key, s, bands, fp), whose closure is that of
     all pairs that share a band and have a Jaccard similarity of at least 4/5. ``own`` names the columns
     of ``hashed`` that ``doc_id`` and ``key`` stand for.
 
-    First each set is compared with the first and the one before it of each of its keys. What this links
+    First come the pairs that the Golay keys of their fingerprints tie. They and each set with the first and the one before
+    it of each of its keys are compared. What this links
     need not be compared again. Of the pairs of a key that are still apart, those come out of the join
     whose outlines allow the similarity, and only they are counted by their shingles: no pair is left
     out, and a key full of texts that are not alike gives no rows.
@@ -359,7 +372,9 @@ def copy_links(hashed: DataFrame, rows: DataFrame, own: tuple[str, str]) -> Data
     keyed = distinct.select(F.explode("bands").alias("key"), "s")
     runs = checkpointed(keyed.repartition("key").sortWithinPartitions("key", "s").mapInArrow(_follow_runs, "key long, s long, first long, prior long"))
     members = checkpointed(runs.select("key", "s").unionByName(runs.select("key", F.col("first").alias("s")).distinct()))
-    home = rows.join(members.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "key")).alias("at"))
+    golay = golay_pairs(rows.where(F.size("bands") > 0))
+    judged = members.select("s").unionByName(golay.select(F.col("a").alias("s"))).unionByName(golay.select(F.col("b").alias("s"))).distinct()
+    home = rows.join(judged, "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "key")).alias("at"))
     home = sized_side(home.select("s", F.col("at.doc_id").alias("__id"), F.col("at.key").alias("__key")))
     met = hashed.select(F.col(own[0]).alias("doc_id"), F.col(own[1]).alias("key"), "text").join(home, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     full = map_texts(met, ["s"], "text", lambda: shingle_sets, "shingles array<long>, size int, outline array<long>")
@@ -369,7 +384,7 @@ def copy_links(hashed: DataFrame, rows: DataFrame, own: tuple[str, str]) -> Data
     def with_facts(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(facts.select(F.col("s").alias(column), F.col("f").alias(name)), column)
 
-    tried = runs.select(F.col("first").alias("a"), F.col("s").alias("b")).unionByName(runs.select(F.col("prior").alias("a"), F.col("s").alias("b"))).distinct()
+    tried = runs.select(F.col("first").alias("a"), F.col("s").alias("b")).unionByName(runs.select(F.col("prior").alias("a"), F.col("s").alias("b"))).unionByName(golay).distinct()
     likely = with_facts(with_facts(tried, "a", "fa"), "b", "fb").where(_near("fa", "fb")).select("a", "b")
     linked = _alike(likely, sets)
     roots = checkpointed(connected(linked))
