@@ -180,3 +180,16 @@ def test_chunking_bounds_its_batches(spark):
         spark.conf.unset(k)
     text.chunk_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_patterns_and_their_sql_know_words_digits_and_spaces_of_unicode(spark, tmp_path):
+    from learnmill.plans.queries import ORACLES, QUERIES
+
+    from .oracle import differences
+
+    texts = ["+1 (467) 555-3280 zuch stöbe", "3280 zuch st.", "éab@cd.ef é_ab@cd.ef", "٣٤٥-67-8901 é123-45-6789", "555 123 4567 5551234567é", "12 main drıve, 1 maın ſt", "foo saidbar said foé said @usKr", "a‍b@cd.ef 12́ elm st 1.2.3.4́", "", None]
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    got = QUERIES["a21_pattern_counts"](spark, folder)
+    assert differences(got, ORACLES["a21_pattern_counts"], folder) == ""
+    assert [r["address"] for r in got.orderBy("doc_id").collect()] == [0, 1, 0, 0, 0, 2, 0, 0, 0, 0]
