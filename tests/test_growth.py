@@ -108,6 +108,43 @@ def test_limits_are_laid_on_rounded_means(spark):
     assert M.class_totals(M.class_mastery(states)).first()["ready"] == 0
 
 
+def test_components_of_a_graph_that_hangs_together_need_few_rounds(spark, monkeypatch):
+    """Labels walk only what is left beside the large component, and the edges are read once."""
+    from collections import defaultdict
+
+    rng = np.random.default_rng(7)
+    pairs = [(int(a) + off, int(b) + off) for off in (0, 1000) for a, b in rng.integers(0, 300, (700, 2))] + [(2000, 2001), (2001, 2002), (2002, 2000)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(300), *range(1000, 1300), *range(2000, 2004)]], "node_id long")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(a, b, "X") for a, b in pairs], EDGE).mapInArrow(counted, EDGE)
+    sizes, inner = [], G.least_labels
+    monkeypatch.setattr(G, "least_labels", lambda ids, steps: sizes.append(ids.count()) or inner(ids, steps))
+    row = G.statistics(nodes, edges).first()
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+
+    def seen(a):
+        got, todo = {a}, [a]
+        while todo:
+            for b in out[todo.pop()] - got:
+                got.add(b)
+                todo.append(b)
+        return got
+
+    ids = [r["node_id"] for r in nodes.collect()]
+    far = {a: seen(a) for a in ids}
+    assert row["strong_components"] == len({min(b for b in far[a] if a in far[b]) for a in ids})
+    assert (row["nodes"], row["relationships"], row["weakly_connected"]) == (604, len(pairs), False)
+    assert reads.value == len(pairs) and sum(sizes) < 60
+
+
 class Value:
     """A state value that counts its calls."""
 
