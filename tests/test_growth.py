@@ -145,6 +145,20 @@ def test_components_of_a_graph_that_hangs_together_need_few_rounds(spark, monkey
     assert reads.value == len(pairs) and sum(sizes) < 60
 
 
+def test_trigrams_are_numbers_of_whole_characters(spark, tmp_path):
+    from learnmill.operators import grams
+
+    texts = ["Banana\n\x00a", "😀b😀b", None, "ab", "ÄÖÜ ana"]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "id int, text string, again string")
+    grams.write_grams(rows, str(tmp_path / "g"), "id", ["text", "again"])
+    lists = spark.read.parquet(str(tmp_path / "g"))
+    sign = lambda n: "".join(chr(n >> s & 0x1FFFFF) for s in (42, 21, 0))
+    want = sorted({(t.lower()[i : i + 3], k) for k, t in enumerate(texts) if t for i in range(len(t) - 2)})
+    assert sorted((sign(r["gram"]), r["key"]) for r in lists.collect()) == want
+    assert [r["key"] for r in grams.candidates(spark, str(tmp_path / "g"), "ANA").orderBy("key").collect()] == [0, 4]
+    assert lists.schema["key"].dataType.simpleString() == "int"
+
+
 class Value:
     """A state value that counts its calls."""
 
