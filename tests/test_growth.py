@@ -96,6 +96,40 @@ def test_next_steps_join_learners_last(spark):
     assert "hashpartitioning" not in plan(got)
 
 
+def shuffled(spark, run):
+    """Rows that ``run`` writes to shuffles."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        lists = gateway.jvm.java.util.ArrayList
+        stages = context.statusStore().stageList(lists(), False, False, gateway.new_array(gateway.jvm.double, 0), lists())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_next_steps_of_more_learners_than_a_broadcast_holds(spark, monkeypatch):
+    """Lists of learners and of nodes are shuffled, not a row for each node and set of skills; no row is lost or doubled."""
+    edges = spark.createDataFrame([(n % 6, n, "X") for n in range(10, 3010)], EDGE)
+    states = spark.createDataFrame([(u, f"s{k}", 0.95) for u in range(630) for k in range(6) if (u % 63 + 1) >> k & 1], "user_id long, skill_id string, probability_mastery double")
+    concepts = spark.createDataFrame([(f"s{n}", n) for n in range(6)], "skill_id string, node long")
+    want = sorted((u, n) for u in range(630) for n in range(10, 3010) if (u % 63 + 1) >> n % 6 & 1)
+    monkeypatch.setattr(G, "BROADCAST_LEARNERS", 0)
+    monkeypatch.setattr(G, "LIST_IDS", 64, raising=False)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = G.next_steps(states, concepts, edges)
+        assert shuffled(spark, lambda: got.write.format("noop").mode("overwrite").save()) < 10_000
+        assert sorted(map(tuple, got.collect())) == want
+        assert "Coalesce" in plan(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
 def test_limits_are_laid_on_rounded_means(spark):
     """Means of 0.55 and 0.85 whose sums in doubles are a little off."""
     rows = [("a", x) for x in (0.4, 0.55, 0.7)] + [("b", x) for x in (0.7, 0.8500000000000001, 1.0)]
