@@ -50,6 +50,21 @@ def test_paths_keep_two_balls_of_half_the_distance(spark, monkeypatch):
     assert 0 < len(got) <= 20 and sum(kept) < 20 * 4000 / 4
 
 
+def test_paths_need_no_second_walk_and_sides_are_chosen_by_open_pairs(spark, monkeypatch):
+    """A pair without a path ends on its short side, whatever a pair that has met left there; a round writes three tables."""
+    rows = [(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 3) for i in range(0, 60, 2)] + [(i + 1, i + 2) for i in range(0, 60, 2)] + [(i + 1, i + 3) for i in range(0, 60, 2)]
+    rows += [(1000 + i, 1001 + i) for i in range(3)]
+    rows += [(2000, 2001 + i) for i in range(2)] + [(2001 + i, 2100) for i in range(50)] + [(2500, 2001 + i) for i in range(50)] + [(2100, 2101), (2000, 1500)]
+    steps = spark.createDataFrame(rows, "src long, dst long")
+    grown, written = [], []
+    grow, write = G.Layers.grow, G.Shelf.write
+    monkeypatch.setattr(G.Layers, "grow", lambda self, keys: grown.append(1) or grow(self, keys))
+    monkeypatch.setattr(G.Shelf, "write", lambda self, df: written.append(1) or write(self, df))
+    pairs = spark.createDataFrame([(0, 1003), (2000, 2101)], "a long, b long")
+    assert [tuple(r) for r in G.paths(pairs, steps).collect()] == [(2000, 2101, [2000, 2001, 2100, 2101])]
+    assert len(grown) <= 10 and len(written) <= 5 + 3 * len(grown)
+
+
 def test_cosines_are_held_in_tiles(spark, sf_dir, monkeypatch):
     e, q = V.table(spark, sf_dir, "embeddings"), V.query_vectors(spark, sf_dir)
     row = lambda r: (r["query_id"], r["key"], round(r["similarity"], 9), r["rank"])
